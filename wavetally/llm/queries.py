@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavetally.llm import exact_dedup, mixing, url_filter
+from wavetally.llm import exact_dedup, html_extract, mixing, packing, url_filter
 from wavetally.llm.common import table
 
 
@@ -13,15 +13,23 @@ def op3_exact_dedup(spark, sf_dir):
     return found.withColumnRenamed("digest", "text_sha256")
 
 
+def op5_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_url_filter, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_html_extraction, op6_url_filter, op7_packing, op8_mixing)}
 
 ORACLES = {
     "op3_exact_dedup": """
