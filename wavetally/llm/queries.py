@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavetally.llm import exact_dedup, html_extract, mixing, packing, url_filter
+from wavetally.llm import exact_dedup, html_extract, media, mixing, packing, url_filter
 from wavetally.llm.common import table
 
 
@@ -29,7 +29,11 @@ def op8_mixing(spark, sf_dir):
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_html_extraction, op6_url_filter, op7_packing, op8_mixing)}
+def op9_media_flac(spark, sf_dir):
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_html_extraction, op6_url_filter, op7_packing, op8_mixing, op9_media_flac)}
 
 ORACLES = {
     "op3_exact_dedup": """
