@@ -21,13 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavetally.llm.common import WORD
+from wavetally.llm.common import WORD, stash
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MAX_EPOCHS = 2
 SEED = "mix-1"
 BUCKET_ROWS, SUPER = 256, 256
+SALTS = 64
 #: Characters that prose rarely holds; their share lowers a document's quality.
 SYMBOLS = "#$%&*|{}<>~^=+@_"
 
@@ -78,11 +79,20 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share_percent: in
 
 def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, epochs, chosen, taken."""
-    rows = docs.select(
-        "doc_id", "source", words(F.col("text")).alias("size"), exponential_key(F.col("doc_id"), quality(F.col("text")), seed).alias("key")
+    # The texts are read once; what is kept of them is a few numbers a row.
+    rows = stash(
+        docs.select(
+            "doc_id",
+            "source",
+            words(F.col("text")).alias("size"),
+            exponential_key(F.col("doc_id"), quality(F.col("text")), seed).alias("key"),
+            F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        )
     )
+    # Each source's row meets its documents in as many parts as there are salts.
     targets = source_targets(rows, weights, share_percent, max_epochs).withColumnRenamed("source", "of")
-    at = rows.join(targets, rows["source"].eqNullSafe(targets["of"])).drop("of")
+    targets = targets.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    at = rows.join(targets, rows["source"].eqNullSafe(targets["of"]) & (rows["salt"] == targets["part"])).drop("of", "part", "salt")
     # exp(-key) falls with the key, so buckets follow the order of keys.
     spread = F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n") / BUCKET_ROWS))
     at = at.withColumns({"bucket": spread.cast("long"), "src": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
