@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavetally.llm import exact_dedup, html_extract, media, mixing, packing, url_filter
+from wavetally.llm import exact_dedup, html_extract, media, mixing, packing, simhash, url_filter
 from wavetally.llm.common import table
 
 
+def op2_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     found = exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("digest", "text_sha256")
@@ -33,7 +37,7 @@ def op9_media_flac(spark, sf_dir):
     return media.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_html_extraction, op6_url_filter, op7_packing, op8_mixing, op9_media_flac)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_exact_dedup, op5_html_extraction, op6_url_filter, op7_packing, op8_mixing, op9_media_flac)}
 
 ORACLES = {
     "op3_exact_dedup": """
