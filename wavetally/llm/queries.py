@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavetally.llm import exact_dedup, html_extract, media, mixing, packing, simhash, url_filter
-from wavetally.llm.common import table
+from wavetally.llm import exact_dedup, html_extract, media, mixing, packing, simhash, toxicity, url_filter
+from wavetally.llm.common import held_out, table
 
 
 def op2_simhash_near_dedup(spark, sf_dir):
@@ -17,6 +17,13 @@ def op3_exact_dedup(spark, sf_dir):
     return found.withColumnRenamed("digest", "text_sha256")
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_segments")
+
+
 def op5_html_extraction(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -37,7 +44,7 @@ def op9_media_flac(spark, sf_dir):
     return media.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_exact_dedup, op5_html_extraction, op6_url_filter, op7_packing, op8_mixing, op9_media_flac)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_exact_dedup, op4_toxicity, op5_html_extraction, op6_url_filter, op7_packing, op8_mixing, op9_media_flac)}
 
 ORACLES = {
     "op3_exact_dedup": """
