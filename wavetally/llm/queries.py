@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavetally.llm import exact_dedup, html_extract, media, mixing, packing, simhash, toxicity, url_filter
+from wavetally.llm import exact_dedup, html_extract, importance, media, mixing, packing, simhash, toxicity, url_filter
 from wavetally.llm.common import held_out, table
 
 
@@ -44,7 +44,11 @@ def op9_media_flac(spark, sf_dir):
     return media.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_exact_dedup, op4_toxicity, op5_html_extraction, op6_url_filter, op7_packing, op8_mixing, op9_media_flac)}
+def op10_importance_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_exact_dedup, op4_toxicity, op5_html_extraction, op6_url_filter, op7_packing, op8_mixing, op9_media_flac, op10_importance_resampling)}
 
 ORACLES = {
     "op3_exact_dedup": """
