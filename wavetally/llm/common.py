@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bins of a histogram, and most rows that the last step of a selection brings to the driver.
+HISTOGRAM = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +54,28 @@ def lower_ascii(text: Column) -> Column:
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of the id as text falls in the given fold; a null id never does."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
+    """The k-th largest value of a double column (the least if there are fewer; None if k < 1 or without rows)."""
+    values = df.select(F.col(column).alias("x")).where("x IS NOT NULL")
+    if k < 1:
+        return None
+    while True:
+        low, high, n = values.agg(F.min("x"), F.max("x"), F.count("x")).first()
+        if not n:
+            return None
+        if n <= k:
+            return low
+        if n <= HISTOGRAM or low == high:
+            return low if low == high else sorted((r["x"] for r in values.collect()), reverse=True)[k - 1]
+        width = (high - low) / HISTOGRAM
+        if low + width == low:  # the range is as narrow as numbers are
+            return low
+        bins = F.least(F.lit(HISTOGRAM - 1), F.floor((F.col("x") - low) / width)).alias("bin")
+        counted = sorted(((r["bin"], r["count"]) for r in values.groupBy(bins).count().collect()), reverse=True)
+        for at, count in counted:
+            if k <= count:
+                break
+            k -= count
+        values = values.withColumn("bin", bins).where(F.col("bin") == at).select("x")

@@ -9,7 +9,7 @@ given, it is the good ones' share of the labels.
 
 Counts of raw text cover every document. The target model uses at most MAX_TARGET
 labelled documents, the first by a hash of their ids. The k-th largest key is found by
-histograms of narrowing range, so that no more than HISTOGRAM rows reach the driver.
+histograms of narrowing range, so that no more than a few thousand rows reach the driver.
 
 Defined cases: a null or empty text has log importance 0; noise comes from the md5 of
 the id (null: an empty one), so reruns agree; rows whose key equals the last one that is
@@ -28,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.llm.common import stash
+from wavetally.llm.common import kth_largest, stash
 
 BUCKETS = 1 << 14
 MAX_TARGET = 20_000
 SMOOTHING = 1.0
 SEED = "resample-1"
-HISTOGRAM = 4096
 REMEMBERED = 300_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Odd multipliers that mix a pair's hashes.
@@ -97,31 +96,6 @@ def gumbel(doc_id: Column, seed: str = SEED) -> Column:
     return -F.log(-F.log((F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))))
 
 
-def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
-    """The k-th largest value of a double column (the least if there are fewer; None if k < 1 or without rows)."""
-    values = df.select(F.col(column).alias("x")).where("x IS NOT NULL")
-    if k < 1:
-        return None
-    while True:
-        low, high, n = values.agg(F.min("x"), F.max("x"), F.count("x")).first()
-        if not n:
-            return None
-        if n <= k:
-            return low
-        if n <= HISTOGRAM or low == high:
-            return low if low == high else sorted((r["x"] for r in values.collect()), reverse=True)[k - 1]
-        width = (high - low) / HISTOGRAM
-        if low + width == low:  # the range is as narrow as numbers are
-            return low
-        bins = F.least(F.lit(HISTOGRAM - 1), F.floor((F.col("x") - low) / width)).alias("bin")
-        counted = sorted(((r["bin"], r["count"]) for r in values.groupBy(bins).count().collect()), reverse=True)
-        for at, count in counted:
-            if k <= count:
-                break
-            k -= count
-        values = values.withColumn("bin", bins).where(F.col("bin") == at).select("x")
-
-
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, max_target: int = MAX_TARGET, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_grams, log_importance, key, kept for every row. labels: doc_id, quality (1: target)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))

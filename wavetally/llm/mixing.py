@@ -121,9 +121,9 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHA
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them: each row as often as its epochs and the selection say.
 
-    Rows are matched by doc_id, so doc_id must be unique; documents without words are not taken.
+    Rows are matched by doc_id, and rows that share one are taken as often as the least of them.
+    Documents without words are not taken.
     """
-    planned = plan_mix(docs, **how)
-    times = planned.where(F.col("taken") > 0).select(F.col("doc_id").alias("taken_id"), (F.col("epochs") + F.col("chosen").cast("long")).alias("times"))
+    times = plan_mix(docs, **how).where("size > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.min(F.col("epochs") + F.col("chosen").cast("long")).alias("times")).where("times > 0")
     joined = docs.join(times, docs["doc_id"].eqNullSafe(times["taken_id"]))
     return joined.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*[docs[c] for c in docs.columns])
