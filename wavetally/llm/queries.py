@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavetally.llm import exact_dedup, html_extract, importance, media, mixing, packing, simhash, toxicity, url_filter
+from wavetally.llm import exact_dedup, html_extract, importance, lm_mix, media, mixing, packing, simhash, toxicity, url_filter
 from wavetally.llm.common import held_out, table
 
 
+def op1_lm_scoring(spark, sf_dir):
+    out = held_out(F.col("doc_id"), 7, 2)
+    return lm_mix.score(table(spark, sf_dir, "documents"), ~out).withColumn("held_out", out)
+
+
 def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_importance_resampling(spark, sf_dir):
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_exact_dedup, op4_toxicity, op5_html_extraction, op6_url_filter, op7_packing, op8_mixing, op9_media_flac, op10_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_simhash_near_dedup, op3_exact_dedup, op4_toxicity, op5_html_extraction, op6_url_filter, op7_packing, op8_mixing, op9_media_flac, op10_importance_resampling)}
 
 ORACLES = {
     "op3_exact_dedup": """
