@@ -214,7 +214,10 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     roots = components(links(nodes.select("fp"), hot)).withColumnRenamed("node", "fp")
     at = nodes.join(roots, "fp")
     ids = at.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(at.join(ids, "root").select("fp", "component_id"), "fp", "left")
+    # A component may be large: its id meets its nodes in salted parts.
+    ids = ids.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    at = at.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    named = nodes.join(at.join(ids, ["root", "part"]).select("fp", "component_id"), "fp", "left")
     named = named.select("fp", F.coalesce("component_id", "least").alias("component_id"))
     by_part = parts.select("fp", "salt").join(named, "fp")
     found = salted.join(by_part, ["fp", "salt"])
