@@ -2,5 +2,587 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from wavetally.config import DEFAULTS
+from wavetally.functions import codes, measures
+from wavetally.functions import text as T
+from wavetally.operators import folds, formats, health, linking, observation, sync, tables, vote
+from wavetally.plans import roles
+from wavetally.sources import readers
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+READINGS = "SELECT event_id AS id, 'C' || user_id AS city, event_type AS condition, floor(value / 50)::BIGINT AS value, ts AS captured_at FROM events"
+FORECASTS = (
+    "SELECT o_orderkey AS id, o_custkey % 7 AS city, o_orderdate AS issued_at, (o_orderkey % 7)::INT AS lead, floor(o_totalprice % 60)::INT AS high_f,"
+    " (o_orderkey % 4)::INT AS step, (o_orderkey % 101)::INT AS precip_pct FROM orders"
+)
+OBSERVATIONS = (
+    "SELECT l_suppkey % 7 AS city, l_shipdate + to_minutes((l_orderkey * 37 % 1440)::INT) AS at, l_quantity::DOUBLE AS value, (l_partkey % 4)::INT AS step FROM lineitem"
+)
+
+
+def voted_sql(depth: str, seconds: int | None, keys: str = "city, condition", source: str = READINGS, order: str = "captured_at, id") -> str:
+    """The vote as a self join on row numbers."""
+    using = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    clock = f" AND b.captured_at >= a.captured_at - INTERVAL {seconds} SECOND" if seconds is not None else ""
+    return f"""
+        WITH r AS ({source}), s AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn FROM r),
+        pool AS (SELECT a.id AS id, b.value AS v, b.rn AS rn FROM s a JOIN s b ON {using} AND b.rn BETWEEN a.rn - ({depth}) + 1 AND a.rn{clock}),
+        per AS (SELECT id, v, count(*) AS n, max(rn) AS newest FROM pool GROUP BY ALL),
+        top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, newest DESC) AS k, sum(n) OVER (PARTITION BY id) AS total FROM per),
+        voted AS (SELECT s.*, top.v AS voted, top.n::INT AS votes, top.total::INT AS total FROM s JOIN top USING (id) WHERE k = 1)"""
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _voted(spark, d):
+    return vote.vote(roles.readings(spark, d), ["city", "condition"], ["captured_at", "id"], "value", "captured_at", 15, 14400)
+
+
+VOTED = voted_sql("15", 14400)
+LATEST = f"""{VOTED},
+        latest AS (SELECT city, condition, arg_max(voted, (captured_at, id)) AS value, arg_max(votes, (captured_at, id)) AS votes,
+                          arg_max(total, (captured_at, id)) AS total, count(*) AS sightings, min(captured_at) AS first_seen, max(captured_at) AS last_seen
+                   FROM voted GROUP BY city, condition)"""
+
+
+def _latest(spark, d):
+    return tables.latest_with_sightings(_voted(spark, d), ["city", "condition"], ["captured_at", "id"])
+
+
+@query(VOTED + " SELECT id, city, condition, value, captured_at, voted, votes, total FROM voted")
+def conditions_vote(spark, d):
+    return _voted(spark, d)
+
+
+@query(
+    voted_sql("CASE WHEN a.condition = 'temperature_f' THEN 5 ELSE 15 END", 2700, source=READINGS.replace("event_type AS condition", "CASE event_type WHEN 'view' THEN 'temperature_f' ELSE event_type END AS condition").replace("'C' || user_id", "'C' || (user_id % 5)"))
+    + " SELECT id, voted, votes, total FROM voted"
+)
+def temperature_vote(spark, d):
+    r = roles.readings(spark, d).withColumn("condition", F.when(F.col("condition") == "view", "temperature_f").otherwise(F.col("condition")))
+    r = r.withColumn("city", F.concat(F.lit("C"), (F.substring("city", 2, 20).cast("bigint") % 5).cast("string")))
+    return vote.vote_conditions(r, ["captured_at", "id"]).select("id", "voted", "votes", "total")
+
+
+@query(voted_sql("15", None, "condition") + " SELECT id, condition, voted, votes, total FROM voted")
+def almanac_vote(spark, d):
+    return vote.vote(roles.readings(spark, d), ["condition"], ["captured_at", "id"], "value").select("id", "condition", "voted", "votes", "total")
+
+
+@query(voted_sql("15", None, "period, field", "SELECT o_orderkey AS id, o_custkey % 9 AS period, o_orderpriority AS field, floor(o_totalprice / 20000)::BIGINT AS value, o_orderdate AS captured_at FROM orders") + " SELECT id, period, field, voted, votes, total FROM voted")
+def forecast_vote(spark, d):
+    o = roles.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 9).alias("period"), F.col("o_orderpriority").alias("field"), F.floor(F.col("o_totalprice") / 20000).cast("bigint").alias("value"), F.col("o_orderdate").alias("captured_at"))
+    return vote.vote(o, ["period", "field"], ["captured_at", "id"], "value").select("id", "period", "field", "voted", "votes", "total")
+
+
+@query(LATEST + " SELECT * FROM latest")
+def conditions_latest(spark, d):
+    return _latest(spark, d)
+
+
+@query(f"WITH r AS ({READINGS}) SELECT date_trunc('hour', captured_at) AS captured_at, city, condition, arg_min(value, id) AS value FROM r GROUP BY ALL")
+def obs_history_dedup(spark, d):
+    r = roles.readings(spark, d).withColumn("captured_at", F.to_timestamp_ntz(F.date_format("captured_at", "yyyy-MM-dd HH:00:00")))
+    return tables.first_wins(r, ["captured_at", "city", "condition"], ["id"]).select("captured_at", "city", "condition", "value")
+
+
+@query(LATEST + " SELECT condition, count(*) AS n, max(last_seen) AS last_seen FROM latest WHERE sightings >= 2 GROUP BY condition")
+def conditions_index(spark, d):
+    return _latest(spark, d).where(F.col("sightings") >= DEFAULTS.min_sightings).groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.max("last_seen").alias("last_seen"))
+
+
+@query(LATEST + " SELECT city, count(*) AS n, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM latest WHERE sightings >= 2 GROUP BY city")
+def cities_index(spark, d):
+    return _latest(spark, d).where(F.col("sightings") >= DEFAULTS.min_sightings).groupBy("city").agg(F.count(F.lit(1)).alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
+@query(f"WITH r AS (SELECT * FROM ({READINGS}) WHERE condition = 'view' AND captured_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') SELECT *, (SELECT count(*) FROM r) AS total, CASE WHEN 150 < (SELECT count(*) FROM r) THEN 150 END AS next_offset FROM r ORDER BY captured_at DESC, id DESC LIMIT 100 OFFSET 50")
+def condition_history_page(spark, d):
+    r = roles.readings(spark, d).where((F.col("condition") == "view") & F.col("captured_at").between(F.expr("timestamp_ntz'2024-01-05'"), F.expr("timestamp_ntz'2024-01-20'")))
+    return sync.page(r, [F.desc("captured_at"), F.desc("id")], 100, 50)
+
+
+@query(
+    LATEST
+    + f""", t AS (SELECT *, epoch(TIMESTAMP '{roles.NOW}' - last_seen) / 60 > 1440 AS stale, votes::DOUBLE / total AS agreement FROM latest)
+        SELECT city, condition, value, stale, agreement, agreement * least(1.0, sightings / 6.0::DOUBLE) * CASE WHEN stale THEN 0.5 ELSE 1.0 END AS trust FROM t WHERE lower(city) = lower('c7')"""
+)
+def city_conditions_trust(spark, d):
+    rows = _latest(spark, d).where(F.lower("city") == F.lower(F.lit("c7"))).withColumn("stale", measures.is_stale(F.col("last_seen"), roles.now(), DEFAULTS.almanac_stale_minutes))
+    return rows.select("city", "condition", "value", "stale", measures.agreement(F.col("votes"), F.col("total")).alias("agreement"), measures.trust(F.col("votes"), F.col("total"), F.col("sightings"), F.col("stale")).alias("trust"))
+
+
+@query(LATEST + f" SELECT city, condition, epoch(TIMESTAMP '{roles.NOW}' - last_seen) / 60 > 60 AS stale FROM latest WHERE condition = 'click'")
+def stale_flags(spark, d):
+    return _latest(spark, d).where("condition = 'click'").select("city", "condition", measures.is_stale(F.col("last_seen"), roles.now()).alias("stale"))
+
+
+@query(f"WITH f AS ({FORECASTS}) SELECT f.* FROM f JOIN (SELECT city, max(issued_at) AS issued_at FROM f GROUP BY city) USING (city, issued_at)")
+def latest_issuance(spark, d):
+    return linking.latest_issuance(roles.forecasts(spark, d))
+
+
+@query(
+    """WITH f AS (SELECT o_orderkey AS id, o_orderdate + to_hours((o_orderkey % 24)::INT) AS issued, (o_orderkey % 7)::INT AS w, o_orderkey % 3 AS kind FROM orders),
+        l AS (SELECT *, timezone('America/New_York', timezone('UTC', issued)) AS loc FROM f),
+        t AS (SELECT *, CASE kind WHEN 2 THEN loc::DATE ELSE loc::DATE + CASE WHEN (w - (isodow(loc) - 1) + 7) % 7 = 0 THEN 7 ELSE (w - (isodow(loc) - 1) + 7) % 7 END::INT END AS base FROM l)
+        SELECT id, timezone('UTC', timezone('America/New_York', base::TIMESTAMP + CASE WHEN kind = 0 THEN INTERVAL 6 HOUR ELSE INTERVAL 18 HOUR END)) AS valid_from,
+               timezone('UTC', timezone('America/New_York', base::TIMESTAMP + CASE WHEN kind = 0 THEN INTERVAL 18 HOUR ELSE INTERVAL 30 HOUR END)) AS valid_to FROM t"""
+)
+def period_window(spark, d):
+    o = roles.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))).alias("issued"))
+    name = F.element_at(F.array(*map(F.lit, measures.WEEKDAYS)), (F.col("id") % 7 + 1).cast("int"))
+    period = F.when(F.col("id") % 3 == 0, F.initcap(name)).when(F.col("id") % 3 == 1, F.concat(F.initcap(name), F.lit(" Night"))).otherwise("Tonight")
+    return o.select("id", measures.period_window(period, F.col("issued"), "America/New_York").alias("w")).select("id", "w.valid_from", "w.valid_to")
+
+
+@query(
+    f"""WITH f AS ({FORECASTS}), a AS (SELECT max(l_shipdate) AS aired FROM lineitem WHERE l_returnflag = 'R')
+        SELECT id, greatest(issued_at, aired) AS last_confirmed, epoch(TIMESTAMP '2030-01-01' - greatest(issued_at, aired)) / 60 AS age_min FROM f, a"""
+)
+def forecast_confirmed_age(spark, d):
+    aired = F.broadcast(roles.load(spark, d, "lineitem").where("l_returnflag = 'R'").agg(F.max("l_shipdate").alias("aired")))  # one row
+    f = roles.forecasts(spark, d).crossJoin(aired).withColumn("last_confirmed", F.greatest("issued_at", "aired"))
+    return f.select("id", "last_confirmed", measures.age_minutes(F.col("last_confirmed"), F.expr("timestamp_ntz'2030-01-01'")).alias("age_min"))
+
+
+@query(
+    """WITH a AS (SELECT event_id AS id, ts AS captured_at, ts + to_minutes(((event_id % 12) * 10)::INT) AS expires_at FROM events WHERE event_type = 'error'),
+        s AS (SELECT event_id AS report_id, ts AS said_at FROM events WHERE event_type = 'purchase')
+        SELECT a.id, count(report_id) AS n, arg_max(report_id, said_at) AS newest, arg_min(report_id, said_at) AS oldest
+        FROM a LEFT JOIN s ON said_at BETWEEN captured_at - INTERVAL 120 SECOND AND expires_at GROUP BY a.id"""
+)
+def alert_detail_link(spark, d):
+    a = roles.alerts(spark, d).withColumn("expires_at", tables.alert_expiry(F.col("captured_at"), F.col("purge_minutes")))
+    linked = linking.link_details(a, roles.details(spark, d))
+    at = lambda i: F.when(F.size("spoken") > 0, F.element_at("spoken", i)["report_id"])
+    return linked.select("id", F.size("spoken").cast("bigint").alias("n"), at(1).alias("newest"), at(-1).alias("oldest"))
+
+
+@query("SELECT event_id AS id, ts AS captured_at, ts + to_minutes(((event_id % 12) * 10)::INT) AS expires_at FROM events WHERE event_type = 'error' AND ts + to_minutes(((event_id % 12) * 10)::INT) > TIMESTAMP '2024-01-15'")
+def active_alerts(spark, d):
+    a = tables.alerts_table(roles.alerts(spark, d), ["captured_at"])
+    return a.where(F.col("expires_at") > F.expr("timestamp_ntz'2024-01-15'")).select("id", "captured_at", "expires_at")
+
+
+SECTIONS = """WITH rows AS (
+            SELECT 'alerts' AS section, date_trunc('hour', ts) AS "at", event_id AS id, 40 AS lim FROM events WHERE event_type = 'error' AND ts > TIMESTAMP '2024-01-10'
+            UNION ALL SELECT 'observations', date_trunc('hour', ts), event_id, 90 FROM events WHERE event_type = 'view' AND ts > TIMESTAMP '2024-01-10'
+            UNION ALL SELECT 'forecasts', date_trunc('hour', ts), event_id, 60 FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-10'),
+        n AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY "at", id) AS rn FROM rows)"""
+
+
+def _sections(spark, d):
+    e = roles.load(spark, d, "events").where(F.col("ts") > F.expr("timestamp_ntz'2024-01-10'")).select("event_type", F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:00:00")).alias("at"), F.col("event_id").alias("id"))
+    return {name: e.where(F.col("event_type") == kind).select("at", "id") for name, kind in (("alerts", "error"), ("observations", "view"), ("forecasts", "click"))}
+
+
+@query(
+    SECTIONS
+    + """, edge AS (SELECT section, "at" AS edge FROM n WHERE rn = lim + 1),
+        safe AS (SELECT coalesce(max(n."at") FILTER (WHERE n."at" < edge), edge) AS safe FROM n JOIN edge USING (section) WHERE rn <= lim GROUP BY section, edge),
+        c AS (SELECT min(safe) AS cutoff FROM safe)
+        SELECT section, "at", id, cutoff FROM n, c WHERE rn <= lim AND (cutoff IS NULL OR "at" <= cutoff)"""
+)
+def export_sync_window(spark, d):
+    return sync.sync_window(_sections(spark, d), {"alerts": 40, "observations": 90, "forecasts": 60})
+
+
+@query(SECTIONS + ' SELECT section, "at", id FROM n WHERE rn <= lim')
+def stream_merge(spark, d):
+    limits = {"alerts": 40, "observations": 90, "forecasts": 60}
+    return sync.merge_streams({name: (df, limits[name]) for name, df in _sections(spark, d).items()})
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS id, o_custkey AS grp, o_totalprice / 1000 AS value FROM orders),
+        m AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, median(value) OVER (PARTITION BY grp) AS med FROM r)
+        SELECT id, grp, value FROM m WHERE n < 3 OR abs(value - med) <= 30"""
+)
+def peer_outlier_drop(spark, d):
+    r = roles.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("grp"), (F.col("o_totalprice") / 1000).alias("value"))
+    return vote.median_filter(r, ["grp"], "value")
+
+
+TEMPS = f"""WITH f AS (SELECT *, issued_at::DATE + lead AS day FROM ({FORECASTS})), o AS ({OBSERVATIONS}),
+        w AS (SELECT f.id, f.lead, f.high_f, max(o.value) AS top, count(*) AS n FROM f JOIN o ON f.city = o.city AND o.at BETWEEN f.day + INTERVAL 6 HOUR AND f.day + INTERVAL 21 HOUR GROUP BY ALL HAVING count(*) >= 6)"""
+
+
+def _verified(spark, d):
+    f = roles.forecasts(spark, d).withColumn("day", F.date_add("issued_at", F.col("lead")))
+    return linking.window_extreme(f, roles.observations(spark, d), 6, 21, True)
+
+
+@query(TEMPS + " SELECT count(*) AS n, avg(high_f - top) AS bias_f, avg(abs(high_f - top)) AS mae_f FROM w")
+def verify_temps(spark, d):
+    err = F.col("high_f") - F.col("observed")
+    return _verified(spark, d).agg(F.count(F.lit(1)).alias("n"), F.avg(err).alias("bias_f"), F.avg(F.abs(err)).alias("mae_f"))
+
+
+@query(TEMPS + " SELECT lead, avg(abs(high_f - top)) AS mae_f FROM w GROUP BY lead")
+def verify_by_lead(spark, d):
+    return _verified(spark, d).groupBy("lead").agg(F.avg(F.abs(F.col("high_f") - F.col("observed"))).alias("mae_f"))
+
+
+@query(
+    f"""WITH f AS (SELECT *, issued_at::DATE + lead AS day FROM ({FORECASTS})), o AS ({OBSERVATIONS}),
+        c AS (SELECT f.id, f.step AS said, o.step, count(*) AS n FROM f JOIN o ON f.city = o.city AND o.at BETWEEN f.day + INTERVAL 8 HOUR AND f.day + INTERVAL 20 HOUR GROUP BY ALL),
+        m AS (SELECT id, said, step AS modal, sum(n) OVER (PARTITION BY id) AS n_obs, row_number() OVER (PARTITION BY id ORDER BY n DESC, step) AS k FROM c)
+        SELECT count(*) AS n, 100.0::DOUBLE * count(*) FILTER (WHERE said = modal) / count(*) AS exact_pct, 100.0::DOUBLE * count(*) FILTER (WHERE abs(said - modal) <= 1) / count(*) AS within_one_pct FROM m WHERE k = 1 AND n_obs >= 3"""
+)
+def verify_sky_mode(spark, d):
+    f = roles.forecasts(spark, d).withColumn("day", F.date_add("issued_at", F.col("lead")))
+    o = roles.observations(spark, d).select("city", "at", F.col("step").alias("value"))
+    met = linking.observed_in_windows(f, o, 8, 20)
+    m = linking.modal_step(met, ["id"], "value").join(f.select("id", "step"), "id")
+    off = F.abs(F.col("step") - F.col("modal"))
+    n = F.count(F.lit(1))
+    return m.agg(n.alias("n"), (100.0 * F.count_if(off == 0) / n).alias("exact_pct"), (100.0 * F.count_if(off <= 1) / n).alias("within_one_pct"))
+
+
+RAIN = """WITH t AS (SELECT ts::DATE AS day, sum((value * 100)::BIGINT)::BIGINT AS total FROM events GROUP BY 1),
+        r AS (SELECT t.day, t.total - b.total AS rain FROM t JOIN t b ON b.day = t.day - 1 WHERE t.total >= b.total)"""
+
+
+def _rain(spark, d):
+    t = roles.load(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("total"))
+    return linking.daily_difference(t)
+
+
+@query(RAIN + " SELECT day, rain FROM r")
+def daily_rain(spark, d):
+    return _rain(spark, d)
+
+
+@query(
+    RAIN
+    + """, pop AS (SELECT ts::DATE + 1 AS day, arg_max(event_id % 101, (ts, event_id)) AS pct FROM events GROUP BY 1),
+        s AS (SELECT pct / 100.0::DOUBLE AS p, CASE WHEN rain > 50000 THEN 1.0 ELSE 0.0 END::DOUBLE AS o FROM r JOIN pop USING (day)),
+        b AS (SELECT count(*) AS n, avg((p - o) * (p - o)) AS brier, avg(o) AS base_rate FROM s)
+        SELECT n, brier, base_rate, 1 - brier / nullif(base_rate * (1 - base_rate), 0) AS skill FROM b"""
+)
+def brier_scorecard(spark, d):
+    e = roles.load(spark, d, "events")
+    pop = e.groupBy(F.date_add(F.to_date("ts"), 1).alias("day")).agg(F.max_by(F.col("event_id") % 101, F.struct("ts", "event_id")).alias("pct"))
+    s = _rain(spark, d).join(pop, "day").select((F.col("pct") / 100.0).alias("p"), F.when(F.col("rain") > 50000, 1.0).otherwise(0.0).alias("o"))
+    b = s.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") - F.col("o")) * (F.col("p") - F.col("o"))).alias("brier"), F.avg("o").alias("base_rate"))
+    return b.withColumn("skill", 1 - F.col("brier") / F.nullif(F.col("base_rate") * (1 - F.col("base_rate")), F.lit(0.0)))
+
+
+@query(
+    """WITH t AS (SELECT conv_id AS station, turn AS seq, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS pass, length(text) % 5 AS key FROM conversations),
+        h AS (SELECT station, key, max(pass) AS heard FROM t GROUP BY ALL), l AS (SELECT station, max(pass) AS pass FROM t GROUP BY station)
+        SELECT h.station, key, l.pass - heard <= 2 AS fresh FROM h JOIN l USING (station)"""
+)
+def forecast_staleness(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = roles.load(spark, d, "conversations").select(F.col("conv_id").alias("station"), F.sum((F.col("role") == "user").cast("int")).over(w).alias("pass"), (F.length("text") % 5).cast("bigint").alias("key"))
+    last = t.groupBy("station").agg(F.max("pass").alias("now"))
+    return t.groupBy("station", "key").agg(F.max("pass").alias("heard")).join(last, "station").select("station", "key", (F.col("now") - F.col("heard") <= 2).alias("fresh"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id AS station, turn AS seq, length(text) % 3 = 0 AS clears, CASE WHEN length(text) % 2 = 0 THEN 'P' || (length(text) % 7) END AS last_header FROM conversations),
+        e AS (SELECT *, coalesce(last_header, CASE WHEN clears THEN '(none)' END) AS e FROM t),
+        c AS (SELECT *, last_value(e IGNORE NULLS) OVER (PARTITION BY station ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM e)
+        SELECT station, seq, CASE WHEN NOT clears AND carried <> '(none)' THEN carried END AS open_period FROM c"""
+)
+def carry_over_fill(spark, d):
+    from wavetally.operators import forecast
+
+    n = F.length("text")
+    t = roles.load(spark, d, "conversations").select(F.col("conv_id").alias("station"), F.col("turn").alias("seq"), (n % 3 == 0).alias("clears"), (n % 4 == 0).alias("new_pass"), F.when(n % 2 == 0, F.concat(F.lit("P"), (n % 7).cast("string"))).alias("last_header"))
+    return forecast.passes(t).select("station", "seq", "open_period")
+
+
+@query(
+    voted_sql("15", None, "period, field", "SELECT event_id AS id, user_id % 6 AS period, event_type AS field, floor(value / 100)::BIGINT AS value, ts AS captured_at FROM events")
+    + """, grid AS (SELECT s.id AS seq, s.captured_at AS stamp, k.period, k.field FROM voted s, (SELECT period, field, min((captured_at, id)) AS since FROM voted GROUP BY ALL) k WHERE (s.captured_at, s.id) >= k.since AND s.period = 0),
+        own AS (SELECT g.seq, g.stamp, string_agg(g.period || '/' || g.field || '=' || (SELECT arg_max(v.voted, (v.captured_at, v.id)) FROM voted v WHERE v.period = g.period AND v.field = g.field AND (v.captured_at, v.id) <= (g.stamp, g.seq)), ',' ORDER BY g.period, g.field) AS m
+                FROM grid g WHERE g.period = 0 GROUP BY ALL),
+        c AS (SELECT *, lag(m) OVER (ORDER BY stamp, seq) AS before FROM own)
+        SELECT seq, m FROM c WHERE m IS DISTINCT FROM before"""
+)
+def change_detection(spark, d):
+    e = roles.load(spark, d, "events").where(F.col("user_id") % 6 == 0).select(F.col("event_id").alias("id"), F.col("event_type").alias("field"), F.floor(F.col("value") / 100).cast("bigint").alias("value"), F.col("ts").alias("captured_at"))
+    v = vote.vote(e, ["field"], ["captured_at", "id"], "value")
+    w = Window.partitionBy(F.lit(0)).orderBy("captured_at", "id")
+    kinds = ("click", "error", "purchase", "signup", "view")  # the data's five series
+    parts = [F.concat(F.lit(f"0/{k}="), F.last(F.when(F.col("field") == k, F.col("voted")), ignorenulls=True).over(w).cast("string")) for k in kinds]
+    maps = v.select(F.col("id").alias("seq"), "captured_at", "id", F.concat_ws(",", *parts).alias("m"))
+    return maps.withColumn("before", F.lag("m").over(w)).where(~F.col("m").eqNullSafe(F.col("before"))).select("seq", "m")
+
+
+@query(
+    f"""WITH r AS ({READINGS}), l AS (SELECT city, condition, max(captured_at) AS at FROM r GROUP BY ALL),
+        p AS (SELECT r.city, r.condition, r.value, count(*) AS n, max(r.captured_at) AS newest FROM r JOIN l ON r.city = l.city AND r.condition = l.condition AND r.captured_at >= l.at - INTERVAL 18 HOUR GROUP BY ALL),
+        k AS (SELECT *, sum(n) OVER (PARTITION BY city, condition) AS total, row_number() OVER (PARTITION BY city, condition ORDER BY n DESC, newest DESC) AS rn FROM p)
+        SELECT city, condition, value, n::DOUBLE / total AS agreement FROM k WHERE rn = 1"""
+)
+def revote_window(spark, d):
+    key = ["city", "condition"]
+    r = roles.readings(spark, d).withColumn("last", F.max("captured_at").over(Window.partitionBy(*key))).where(F.col("captured_at") >= F.col("last") - F.expr("interval 18 hours"))
+    p = r.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"), F.max("captured_at").alias("newest"))
+    return p.groupBy(*key).agg(F.max_by(F.struct("value", "n"), F.struct("n", "newest")).alias("b"), F.sum("n").alias("total")).select(*key, "b.value", (F.col("b.n") / F.col("total")).alias("agreement"))
+
+
+TENS = "['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']"
+UNITS = "['one','two','three','four','five','six','seven','eight','nine']"
+
+
+def _spoken(n):
+    tens = F.array(*[F.lit(w) for w in T.TENS.split()])
+    units = F.array(*[F.lit(w) for w in T.UNITS.split()[1:10]])
+    unit = F.when(n % 10 > 0, F.concat(F.lit("-"), F.element_at(units, F.greatest(F.lit(1), n % 10)))).otherwise("")
+    return F.concat(F.element_at(tens, F.greatest(F.lit(1), F.floor(n / 10).cast("int") - 1)), unit)
+
+
+@query("SELECT l_orderkey, l_linenumber, (20 + (l_orderkey + l_linenumber) % 80)::INT AS number FROM lineitem")
+def word_to_int(spark, d):
+    n = (F.lit(20) + (F.col("l_orderkey") + F.col("l_linenumber")) % 80).cast("int")
+    said = F.when(F.col("l_orderkey") % 2 == 0, _spoken(n)).otherwise(n.cast("string"))
+    return roles.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.words_to_int(said).alias("number"))
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN (o_custkey % 9 + 1) * 10 + [1, 5, 8][o_custkey % 3 + 1] WHEN 1 THEN 20 + o_custkey % 80 WHEN 2 THEN (o_custkey % 9 + 1) * 10 + 5 ELSE NULL END::INT AS degrees FROM orders"""
+)
+def temp_phrase(spark, d):
+    key, c = F.col("o_orderkey"), F.col("o_custkey")
+    band = F.element_at(F.array(F.lit("lower"), F.lit("mid"), F.lit("upper")), (c % 3 + 1).cast("int"))
+    ten = ((c % 9 + 1) * 10).cast("string")
+    phrase = F.when(key % 4 == 0, F.concat(F.lit("in the "), band, F.lit(" "), ten, F.lit("s"))).when(key % 4 == 1, F.concat(F.lit("around "), (20 + c % 80).cast("string"))).when(key % 4 == 2, F.concat(F.lit("in the "), ten, F.lit("s"))).otherwise("near normal")
+    return roles.load(spark, d, "orders").select("o_orderkey", T.temp_phrase(phrase).alias("degrees"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity * 3 <= 130 THEN (l_quantity * 3)::INT END AS temperature_f, (l_orderkey % 101)::INT AS humidity_pct,
+        (2900 + l_orderkey % 200) / 100.0::DOUBLE AS pressure_in, CASE WHEN l_orderkey % 2 = 0 THEN 'falling' ELSE 'rising' END AS pressure_trend,
+        CASE WHEN l_linenumber = 1 THEN 'calm' ELSE 'west at ' || l_linenumber END AS wind, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber END::INT AS wind_speed_mph, 'mostly cloudy' AS sky FROM lineitem"""
+)
+def extract_observation(spark, d):
+    q = F.col("l_quantity").cast("int") * 3
+    wind = F.when(F.col("l_linenumber") == 1, "The wind was calm.").otherwise(F.concat(F.lit("The wind was west at "), F.col("l_linenumber").cast("string"), F.lit(" miles an hour.")))
+    said = F.concat(
+        F.lit("At Muncie, it was mostly cloudy. The temperature was "), q.cast("string"), F.lit(" degrees, the relative humidity "), (F.col("l_orderkey") % 101).cast("string"), F.lit("%. "), wind,
+        F.lit(" The barometric pressure was "), F.format_string("%.2f", (2900 + F.col("l_orderkey") % 200) / 100.0), F.lit(" inches and "), F.when(F.col("l_orderkey") % 2 == 0, "falling").otherwise("rising"), F.lit("."),
+    )
+    o = roles.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", observation.observation(said).alias("o"))
+    return o.select("l_orderkey", "l_linenumber", *[f"o.{c}" for c in ("temperature_f", "humidity_pct", "pressure_in", "pressure_trend", "wind", "wind_speed_mph", "sky")])
+
+
+@query("SELECT o_orderkey, ((o_custkey % 9 + 1) * 10 + 1)::INT AS high_f, CASE WHEN 20 + o_custkey % 80 <= 84 THEN 20 + o_custkey % 80 END::INT AS low_f, (o_orderkey % 101)::INT AS precip_pct, 'partly cloudy' AS sky FROM orders")
+def extract_forecast(spark, d):
+    c = F.col("o_custkey")
+    said = F.concat(F.lit("Saturday, partly cloudy. Highs in the lower "), ((c % 9 + 1) * 10).cast("string"), F.lit("s. Lows around "), (20 + c % 80).cast("string"), F.lit(". Chance of rain, "), (F.col("o_orderkey") % 101).cast("string"), F.lit("%."))
+    o = roles.load(spark, d, "orders").select("o_orderkey", observation.forecast_fields(said).alias("f"))
+    return o.select("o_orderkey", "f.high_f", "f.low_f", "f.precip_pct", "f.sky")
+
+
+@query(
+    """SELECT o_orderkey, (o_custkey % 12 + 1) || ':' || lpad((o_custkey % 60)::VARCHAR, 2, '0') || ' AM' AS sunrise, CASE WHEN (1000 + o_custkey) / 100.0 <= 200 THEN (1000 + o_custkey) / 100.0 END::DOUBLE AS precip_year_in,
+        CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * (o_orderkey % 900 + 100) / 100.0::DOUBLE AS precip_departure_in, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 100 END::INT AS heating_degree_days FROM orders"""
+)
+def extract_almanac(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    said = F.concat(
+        F.lit("Total precipitation for the year now stands at "), F.format_string("%.2f", (1000 + c) / 100.0), F.lit(" inches, which is "), F.format_string("%.2f", (k % 900 + 100) / 100.0),
+        F.lit(" inches "), F.when(k % 2 == 0, "below").otherwise("above"), F.lit(" normal. There were "), F.when(k % 3 == 0, "no").otherwise((k % 100).cast("string")),
+        F.lit(" heating degree days. Sunrise tomorrow is at "), (c % 12 + 1).cast("string"), F.lit("."), F.lpad((c % 60).cast("string"), 2, "0"), F.lit("am."),
+    )
+    o = roles.load(spark, d, "orders").select("o_orderkey", observation.almanac(said).alias("a"))
+    return o.select("o_orderkey", "a.sunrise", "a.precip_year_in", "a.precip_departure_in", "a.heating_degree_days")
+
+
+@query(
+    """SELECT o_orderkey, (o_custkey % 12 + 1) || ':15 PM' AS until_text, (o_custkey % 60)::INT AS mph, 'tornado|hail 1.5in|wind ' || (50 + o_orderkey % 40) || 'mph' AS threats, 'Yorktown|New Castle' AS locations, o_orderkey % 2 = 0 AS spotter_activation FROM orders"""
+)
+def alert_details(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    said = F.concat(
+        F.lit("A tornado was reported near Yorktown moving northeast at "), (c % 60).cast("string"), F.lit(" mph until "), (c % 12 + 1).cast("string"),
+        F.lit(":15 PM. Hail of 1.5 inch and winds up to "), (50 + k % 40).cast("string"), F.lit(" mph over the New Castle area, near Yorktown. "), F.when(k % 2 == 0, "Spotter activation is requested.").otherwise(""),
+    )
+    o = roles.load(spark, d, "orders").select("o_orderkey", observation.alert_details(said).alias("a"))
+    return o.select("o_orderkey", "a.until_text", "a.motion.mph", F.array_join("a.threats", "|").alias("threats"), F.array_join("a.locations", "|").alias("locations"), "a.spotter_activation")
+
+
+@query("SELECT o_orderkey, 'TOR' AS event, (o_orderkey % 24 * 60 + o_custkey % 60)::INT AS purge_minutes, 2::INT AS n_areas, 'KJY93' AS station, 'Tornado Warning' AS label, 'Delaware County, IN' AS county FROM orders")
+def same_header(spark, d):
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    raw = F.concat(F.lit("ZCZC-WXR-TOR-018035-018999+"), two(F.col("o_orderkey") % 24), two(F.col("o_custkey") % 60), F.lit("-1741830-KJY93-"))
+    o = roles.load(spark, d, "orders").select("o_orderkey", T.same_header(raw).alias("h"))
+    return o.select("o_orderkey", "h.event", "h.purge_minutes", F.size("h.areas").alias("n_areas"), "h.station", codes.event_label(F.col("h.event")).alias("label"), F.array_join(F.array_compact(F.transform("h.areas", lambda a: codes.county(a))), "|").alias("county"))
+
+
+@query("SELECT n_nationkey, coalesce(CASE upper(substr(n_name, 1, 3)) WHEN 'EAN' THEN 'Emergency Action Notification' END, substr(n_name, 1, 3)) AS label, r_name AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+def label_lookup(spark, d):
+    n = roles.load(spark, d, "nation").withColumn("code", F.substring("n_name", 1, 3))
+    r = F.broadcast(roles.load(spark, d, "region"))  # five rows
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"], "left").select("n_nationkey", codes.event_label(F.col("code")).alias("label"), F.col("r_name").alias("region"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9%. ]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM documents")
+def normalize_text(spark, d):
+    return roles.load(spark, d, "documents").select("doc_id", T.normalise(F.col("text")).alias("norm"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Highs around ' || o_custkey WHEN 1 THEN 'lows near ' || o_custkey WHEN 2 THEN 'Chance of rain ' || o_custkey || '%' ELSE 'the wind was east at ' || o_custkey || ' miles an hour' END AS folded FROM orders")
+def term_fold(spark, d):
+    c = F.col("o_custkey").cast("string")
+    said = F.element_at(F.array(F.concat(F.lit("Pies around "), c), F.concat(F.lit("those near "), c), F.concat(F.lit("Chants of brain "), c, F.lit("%")), F.concat(F.lit("the wind was eased at "), c, F.lit(" miles an hour"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return roles.load(spark, d, "orders").select("o_orderkey", T.fold_terms(said).alias("folded"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, lower(trim(text, ' ')) AS t FROM documents WHERE text NOT LIKE E'%\n%'), s AS (SELECT doc_id, string_split(t, ' ') AS ws FROM w)
+        SELECT doc_id, len(ws) >= 12 AND len(list_distinct(ws))::DOUBLE / len(ws) < 0.35 OR list_aggregate(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i >= 6 AND len(list_distinct(ws[i - 5:i])) = 1 THEN 1 ELSE 0 END), 'sum') > 0 AS loop FROM s WHERE len(ws) >= 3""")
+def repetition_guard(spark, d):
+    docs = roles.load(spark, d, "documents").where(~F.col("text").contains("\n"))
+    return docs.where(F.size(F.split(F.trim("text"), " ")) >= 3).select("doc_id", T.is_loop(F.col("text")).alias("loop"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'tornado_warning' WHEN 1 THEN 'current_conditions' WHEN 2 THEN 'almanac' WHEN 3 THEN 'zone_forecast' ELSE 'unknown' END AS product FROM orders")
+def classify(spark, d):
+    n = (20 + F.col("o_custkey") % 80).cast("string")
+    said = F.array(
+        F.lit("The weather service has issued a Tornado Warning."), F.concat(F.lit("It was clear, "), n, F.lit(" at Marion")), F.lit("Sunset today is at 9.15pm."),
+        F.concat(F.lit("Tonight, clear. Lows around "), n), F.concat(F.lit("Good evening "), n),
+    )
+    return roles.load(spark, d, "orders").select("o_orderkey", observation.classify(F.element_at(said, (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("product"))
+
+
+@query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE NOT (coalesce(quality * 0.3, 0) > 0 AND coalesce(quality * 0.3, 0) < 0.5)")
+def confidence_gate(spark, d):
+    docs = roles.load(spark, d, "documents").select("doc_id").join(roles.load(spark, d, "labels"), "doc_id", "left").withColumn("avg_confidence", F.col("quality") * 0.3)
+    return tables.confident(docs).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE text ILIKE '%license%'")
+def text_search(spark, d):
+    return roles.load(spark, d, "documents").where(F.ilike("text", F.lit("%license%"))).select("doc_id")
+
+
+@query(
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+        SELECT a.vec_id, max(list_inner_product(a.v, b.v)) AS best, max(list_inner_product(a.v, b.v)) >= 0.5 AS is_repeat FROM e a JOIN e b ON b.vec_id BETWEEN a.vec_id - 20 AND a.vec_id - 1 GROUP BY a.vec_id"""
+)
+def cosine_recent(spark, d):
+    frame = Window.partitionBy((F.lit(0))).orderBy("vec_id").rangeBetween(-20, -1)
+    e = roles.load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    near = e.withColumn("past", F.collect_list("v").over(frame)).where(F.size("past") > 0)
+    dots = F.transform("past", lambda p: F.aggregate(F.zip_with("v", p, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
+    return near.select("vec_id", F.array_max(dots).alias("best")).withColumn("is_repeat", F.col("best") >= 0.5)
+
+
+@query("SELECT conv_id, sum((length(text) % 100) / 100.0::DOUBLE * turn) / sum(turn) AS avg_confidence FROM conversations GROUP BY conv_id HAVING sum(turn) > 0")
+def token_confidence(spark, d):
+    s = roles.load(spark, d, "conversations").select("conv_id", ((F.length("text") % 100) / 100.0).alias("confidence"), F.col("turn").alias("tokens"))
+    return readers.weighted_confidence(s.where("tokens > 0"), "conv_id")
+
+
+@query(
+    LATEST
+    + """, n AS (SELECT *, CASE WHEN city IN ('C1', 'C2', 'C3') THEN 'C0' ELSE city END AS name, CASE WHEN city IN ('C1', 'C2', 'C3') THEN 0 ELSE 1 END AS good FROM latest)
+        SELECT name AS city, condition, arg_max(value, (last_seen, good)) AS value, sum(sightings)::BIGINT AS sightings, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM n GROUP BY name, condition"""
+)
+def spelling_merge(spark, d):
+    aliases = spark.createDataFrame([(f"c{i}", "C0") for i in (1, 2, 3)], "heard string, canonical string")
+    return tables.merge_spellings(_latest(spark, d), aliases).select("city", "condition", "value", "sightings", "first_seen", "last_seen")
+
+
+@query(r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word HAVING count(*) >= 50")
+def slot_frequency(spark, d):
+    words = roles.load(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 50")
+
+
+@query(
+    f"""WITH r AS ({READINGS}) SELECT count(*) AS total, count(*) FILTER (WHERE value < 0) AS negative, count(*) FILTER (WHERE value > 8) AS high, count(*) FILTER (WHERE city IS NULL OR city = '') AS no_city,
+        count(*) FILTER (WHERE captured_at > TIMESTAMP '{roles.NOW}') AS future, count(DISTINCT city) AS cities FROM r"""
+)
+def audit_counts(spark, d):
+    r = roles.readings(spark, d)
+    return r.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("value") < 0).alias("negative"), F.count_if(F.col("value") > 8).alias("high"),
+        F.count_if(F.col("city").isNull() | (F.col("city") == "")).alias("no_city"), F.count_if(F.col("captured_at") > roles.now()).alias("future"), F.count_distinct("city").alias("cities"),
+    )
+
+
+@query(
+    f"""WITH h AS (SELECT user_id AS station, max(ts) AS u, max(ts) FILTER (WHERE event_type = 'view') AS a, max(ts) FILTER (WHERE event_type = 'click') AS nv, max(ts) FILTER (WHERE event_type = 'signup') AS s, min(ts) AS st, count(*) % 4 AS q, max(ts) FILTER (WHERE event_type = 'error') AS rd FROM events GROUP BY user_id),
+        g AS (SELECT station, epoch(TIMESTAMP '2024-01-30 12:00:00' - u) / 60 AS u, epoch(TIMESTAMP '2024-01-30 12:00:00' - a) / 60 AS a, epoch(TIMESTAMP '2024-01-30 12:00:00' - coalesce(nv, st)) / 60 AS nv, epoch(TIMESTAMP '2024-01-30 12:00:00' - coalesce(s, st)) / 60 AS s, q, epoch(TIMESTAMP '2024-01-30 12:00:00' - rd) / 60 AS rd FROM h),
+        c AS (SELECT station, u IS NULL OR u > 600 AS c1, a IS NULL OR a > 1000 AS c2, nv IS NULL OR nv > 2000 AS c3, q > 1 AND (s IS NULL OR s > 3000) AS c4, coalesce(rd > 4000, false) AS c5 FROM g)
+        SELECT station, CASE WHEN c1 THEN 'down' WHEN c2 OR c3 OR c4 OR c5 THEN 'degraded' ELSE 'ok' END AS status,
+               concat_ws('|', CASE WHEN c1 THEN 'heartbeat' END, CASE WHEN c2 THEN 'audio' END, CASE WHEN c3 THEN 'novel' END, CASE WHEN c4 THEN 'stt' END, CASE WHEN c5 THEN 'readings' END) AS checks FROM c"""
+)
+def health_status(spark, d):
+    last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
+    h = roles.load(spark, d, "events").groupBy(F.col("user_id").alias("station")).agg(
+        F.max("ts").alias("updated_at"), F.min("ts").alias("started_at"), last("view").alias("last_segment_at"), last("click").alias("last_novel_at"), last("signup").alias("last_stt_ok_at"),
+        (F.count(F.lit(1)) % 4).alias("queue_depth"), last("error").alias("reading_at"),
+    )
+    limits = {"heartbeat": 600, "audio": 1000, "novel": 2000, "stt": 3000, "readings": 4000}
+    return health.assess(h, F.expr("timestamp_ntz'2024-01-30 12:00:00'"), limits).withColumn("checks", F.array_join("checks", "|"))
+
+
+@query(
+    """SELECT o_orderkey, '_' || strftime(o_orderdate, '%m%d%H%M') || 'c' || CASE o_orderkey % 3 WHEN 0 THEN '270' WHEN 1 THEN '045' ELSE '...' END || 's' || lpad((o_custkey % 40)::VARCHAR, 3, '0') || 'g...t'
+        || CASE WHEN o_custkey % 120 - 20 < 0 THEN '-' || lpad(abs(o_custkey % 120 - 20)::VARCHAR, 2, '0') ELSE lpad((o_custkey % 120 - 20)::VARCHAR, 3, '0') END
+        || 'h' || lpad((CASE WHEN o_orderkey % 101 >= 100 THEN 0 ELSE o_orderkey % 101 END)::VARCHAR, 2, '0') AS report FROM orders"""
+)
+def aprs_weather(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    direction = F.when(k % 3 == 0, "west").when(k % 3 == 1, "northeast")
+    line = formats.aprs_weather(F.col("o_orderdate"), direction, (c % 40).cast("double"), (c % 120 - 20).cast("double"), (k % 101).cast("double"), F.lit(None).cast("double"))
+    return roles.load(spark, d, "orders").select("o_orderkey", line.alias("report"))
+
+
+@query(
+    """SELECT o_orderkey, ':BLN' || (o_orderkey % 9 + 1) || 'WX   :' || substr('Tornado Warning Delaware County, IN til ' || strftime(o_orderdate, '%H%M') || 'Z' || CASE WHEN o_custkey % 2 = 0 THEN ' SPOTTERS' ELSE '' END, 1, 67) AS line FROM orders"""
+)
+def aprs_bulletins(spark, d):
+    line = formats.aprs_bulletin(F.col("o_orderkey") % 9 + 1, F.lit("Tornado Warning"), F.lit("Delaware County, IN"), F.col("o_orderdate"), F.col("o_custkey") % 2 == 0)
+    return roles.load(spark, d, "orders").select("o_orderkey", line.alias("line"))
+
+
+@query(LATEST + f" SELECT city, condition, last_seen FROM latest WHERE city = 'C7' OR last_seen >= TIMESTAMP '{roles.NOW}' - INTERVAL 48 HOUR")
+def prune_stale(spark, d):
+    return tables.prune(_latest(spark, d), "C7", roles.now(), 48).select("city", "condition", "last_seen")
+
+
+@query(
+    """WITH e AS (SELECT user_id AS station, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR AS gap FROM events),
+        g AS (SELECT *, sum(CASE WHEN coalesce(gap, true) THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY ts) AS n FROM e)
+        SELECT station, min(ts) AS start_at, max(ts) AS end_at, count(*) AS frames FROM g GROUP BY station, n"""
+)
+def segment_islands(spark, d):
+    w = Window.partitionBy("station").orderBy("ts")
+    e = roles.load(spark, d, "events").select(F.col("user_id").alias("station"), "ts")
+    gap = F.coalesce(F.col("ts") - F.lag("ts").over(w) > F.expr("interval 6 hours"), F.lit(True))
+    g = e.withColumn("gap", gap.cast("int")).withColumn("n", F.sum("gap").over(w))
+    return g.groupBy("station", "n").agg(F.min("ts").alias("start_at"), F.max("ts").alias("end_at"), F.count(F.lit(1)).alias("frames")).drop("n")
+
+
+@query()
+def text_dedup(spark, d):
+    rows = roles.load(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("station"), F.col("turn").alias("seq"), F.col("turn").cast("string").alias("id"), T.normalise(F.col("text")).alias("text"), F.col("role").alias("product_type"))
+    return folds.dedup_texts(rows)
+
+
+@query()
+def novelty_gate(spark, d):
+    rows = roles.load(spark, d, "embeddings").select(F.concat(F.lit("S"), F.col("label").cast("string")).alias("station"), F.col("vec_id").alias("seq"), (F.col("vec_id") * 7.0).alias("at"), F.col("embedding").alias("vector"))
+    return folds.gate(rows)
