@@ -100,7 +100,7 @@ def wind_speed(phrase: Column) -> Column:
 def dbfs(samples: Column, peak: bool = False) -> Column:
     """Level of an array of 16-bit samples against full scale; silence is -120."""
     scaled = F.transform(samples, lambda x: F.abs(x.cast("double")) / 32768.0)
-    level = F.array_max(scaled) if peak else F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x) / F.size(samples))
+    level = F.array_max(scaled) if peak else F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x) / F.nullif(F.size(samples), F.lit(0)))
     return F.when(level > 1e-9, 20 * F.log10(level)).otherwise(F.lit(-120.0))
 
 
