@@ -126,8 +126,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name in VOID or m[3].endswith("/"):
             continue
         unwanted = _unwanted(name, m[3], articles > 0)
-        if unwanted and not skipped:
-            end_line()
+        if unwanted and not skipped and name not in INLINE:
             out.append(("", 0, articles > 0))
         stack.append((name, unwanted))
         skipped += unwanted

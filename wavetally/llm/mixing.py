@@ -39,7 +39,7 @@ def words(text: Column) -> Column:
 
 def quality(text: Column) -> Column:
     """From 0.05 to 1: the share of ordinary characters to the fourth power; 1 for no text."""
-    share = F.length(F.translate(text, SYMBOLS, "")) / F.length(text)
+    share = F.length(F.translate(text, SYMBOLS, "")) / F.nullif(F.length(text), F.lit(0))
     return F.coalesce(F.greatest(F.lit(0.05), share * share * share * share), F.lit(1.0))
 
 
