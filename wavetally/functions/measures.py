@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wavetally.config import DEFAULTS
+from wavetally.functions.text import once
 
 # Condition names by how they are asked for, and weekdays from Monday.
 ALIASES = {
@@ -26,7 +27,7 @@ def condition_key(name: Column) -> Column:
 def in_range(field: str, value: Column, ranges: dict | None = None) -> Column:
     """The value, or null outside the field's plausible range."""
     low, high = (ranges or DEFAULTS.ranges)[field]
-    return F.when(value.between(low, high), value)
+    return once(value, lambda v: F.when(v.between(low, high), v))
 
 
 def number_of(condition: Column, value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,10 +55,14 @@ STOCK_PHRASES = ("i hate it", "thank you", "thanks for watching", "please subscr
 SILENCE_MARKERS = ("[blank_audio]", "(dramatic music)")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match; null without a match."""
-    got = F.regexp_extract(text, pattern, group)
-    return F.when(F.regexp_like(text, F.lit(pattern)), got)
+    """A group of the first match; null without a match or with nothing in the group."""
+    return once(F.regexp_extract(text, pattern, group), lambda got: F.when(got != "", got))
 
 
 def normalise(text: Column) -> Column:
@@ -67,16 +73,22 @@ def normalise(text: Column) -> Column:
 
 def words_to_int(text: Column) -> Column:
     """Digits, or the sum of spoken units and tens; null if any word is neither."""
+
+
+    def spoken(plain: Column) -> Column:
+        values = F.transform(F.filter(F.split(plain, r"\s+"), lambda w: w != ""), lambda w: lookup(NUMBERS, w))
+        return once(values, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0), lambda a, x: a + x)))  # a null makes the sum null
+
     plain = F.trim(F.replace(F.lower(text), F.lit("-"), F.lit(" ")))
-    parts = F.filter(F.split(plain, r"\s+"), lambda w: w != "")
-    values = F.transform(parts, lambda w: lookup(NUMBERS, w))
-    spoken = F.when((F.size(parts) > 0) & F.forall(values, lambda v: v.isNotNull()), F.aggregate(values, F.lit(0), lambda a, v: a + v))
-    return F.when(plain.rlike(r"^\d+$"), plain.try_cast("int")).otherwise(spoken)
+    return once(plain, lambda p: F.when(p.rlike(r"^\d+$"), p.try_cast("int")).otherwise(spoken(p)))
 
 
 def temp_phrase(phrase: Column) -> Column:
     """Degrees of a phrase such as "in the mid 60s" or "around 81"."""
-    p = F.substring(F.lower(phrase), 1, PHRASE_CHARS)
+    return once(F.substring(F.lower(phrase), 1, PHRASE_CHARS), _degrees)
+
+
+def _degrees(p: Column) -> Column:
     words, offsets = "|".join(DECADES), "|".join(OFFSETS)
     part = rf"({offsets})\s+(\d{{1,3}})s"
     spelled = rf"({offsets})\s+({words})"
@@ -92,7 +104,10 @@ def temp_phrase(phrase: Column) -> Column:
 
 def clock(spoken: Column) -> Column:
     """"9.15pm" to "9:15 PM", "6 AM" to "6:00 AM"."""
-    s = F.lower(F.trim(spoken))
+    return once(F.lower(F.trim(spoken)), _clock)
+
+
+def _clock(s: Column) -> Column:
     half = F.when(s.rlike(r"p\.?\s?m"), "PM").otherwise("AM")
     minutes = r"(\d{1,2})[:.\s]+(\d{2})"
     hour = F.coalesce(found(s, minutes, 1), found(s, r"(\d{1,2})")).try_cast("int")

@@ -128,7 +128,8 @@ def segments(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         if last := s.flush():
             out.append(last)
         station = rows["station"].iloc[0]
-        return pd.DataFrame({"station": [station] * len(out), "first_frame": [a for a, _ in out], "last_frame": [b for _, b in out]}).astype({"first_frame": "int64", "last_frame": "int64"})
+        ends = [pd.Series([x[i] for x in out], dtype="int64") for i in range(2)]
+        return pd.DataFrame({"station": pd.Series([station] * len(out), dtype="object"), "first_frame": ends[0], "last_frame": ends[1]})
 
     return df.select("station", "frame", "dbfs").groupBy("station").applyInPandas(run, "station string, first_frame bigint, last_frame bigint")
 

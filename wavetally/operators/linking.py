@@ -28,8 +28,7 @@ def link_details(alerts: DataFrame, details: DataFrame, pre_buffer_s: int = DEFA
     said = details.select(F.col("report_id"), F.col("captured_at").alias("said_at"), _hour(F.col("captured_at")).alias("__h"))
     met = spans.join(said, "__h").where(F.col("said_at").between(F.col("__a"), F.col("__b")))
     lists = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("said_at", "report_id")), lambda x, y: F.when(x < y, 1).when(x > y, -1).otherwise(0)).alias("spoken"))
-    none = F.array().cast("array<struct<said_at:timestamp_ntz,report_id:bigint>>")
-    return alerts.join(lists, "id", "left").withColumn("spoken", F.coalesce("spoken", none))
+    return alerts.join(lists, "id", "left").withColumn("spoken", F.coalesce("spoken", F.array()))
 
 
 def observed_in_windows(forecasts: DataFrame, observed: DataFrame, first_hour: float, last_hour: float) -> DataFrame:

@@ -52,39 +52,50 @@ PERIOD_HEADER = rf"(?i)(?:^|[.,]\s+|\b(?:for|fore|four)\s+)({PERIOD})\b(?=[\s,.]
 def observation(text: Column) -> Column:
     """struct of the conditions stated in a text; nulls for what it doesn't state."""
     number = lambda pattern: T.words_to_int(F.trim(T.found(text, pattern)))
-    calm = text.rlike(CALM)
-    direction, speed = F.lower(T.found(text, WIND, 1)), T.words_to_int(F.trim(T.found(text, WIND, 2)))
-    blowing = F.when(speed.isNotNull(), F.concat(direction, F.lit(" at "), speed.cast("string"))).otherwise(direction)
+
+    def blowing(direction: Column, speed: Column) -> Column:
+        phrase = F.concat_ws(" at ", direction, speed.cast("string"))
+        return F.struct(F.when(direction.isNotNull(), phrase).alias("wind"), speed.alias("speed"))
+
+    stated = F.struct(F.lower(T.found(text, WIND, 1)).alias("d"), T.words_to_int(F.trim(T.found(text, WIND, 2))).alias("s"))
+    still = F.struct(F.lit("calm").alias("wind"), F.lit(0).alias("speed"))
+    return T.once(F.when(text.rlike(CALM), still).otherwise(T.once(stated, lambda w: blowing(w["d"], w["s"]))), lambda wind: _observation(text, number, wind))
+
+
+def _observation(text: Column, number, wind: Column) -> Column:
     return F.struct(
         in_range("temperature_f", number(TEMPERATURE)).alias("temperature_f"),
         in_range("dewpoint_f", number(DEWPOINT)).alias("dewpoint_f"),
         in_range("humidity_pct", number(HUMIDITY)).alias("humidity_pct"),
         in_range("pressure_in", T.found(text, PRESSURE).try_cast("double")).alias("pressure_in"),
         F.lower(T.found(T.found(text, TREND), r"(?i)\b(rising|falling|steady)\b")).alias("pressure_trend"),
-        F.when(calm, F.lit("calm")).otherwise(blowing).alias("wind"),
-        in_range("wind_speed_mph", F.when(calm, 0).otherwise(speed)).alias("wind_speed_mph"),
+        wind["wind"].alias("wind"),
+        in_range("wind_speed_mph", wind["speed"]).alias("wind_speed_mph"),
         F.lower(T.found(text, OBSERVED_SKY)).alias("sky"),
     )
 
 
 def forecast_fields(text: Column) -> Column:
     """struct(high_f, low_f, steady_f, precip_pct, sky) of one stretch of forecast."""
-    high = in_range("high_f", T.temp_phrase(T.found(text, HIGH)))
-    low = in_range("low_f", T.temp_phrase(T.found(text, LOW)))
+    labelled = F.struct(in_range("high_f", T.temp_phrase(T.found(text, HIGH))).alias("high_f"), in_range("low_f", T.temp_phrase(T.found(text, LOW))).alias("low_f"))
     steady = in_range("steady_f", T.temp_phrase(T.found(text, STEADY)))
-    return F.struct(
-        high.alias("high_f"),
-        low.alias("low_f"),
-        F.when(high.isNull() & low.isNull(), steady).alias("steady_f"),
-        in_range("precip_pct", T.words_to_int(T.found(text, RAIN_CHANCE))).alias("precip_pct"),
-        F.lower(T.found(text, ANY_SKY)).alias("sky"),
-    )
+
+    def fields(t: Column) -> Column:
+        return F.struct(
+            t["high_f"].alias("high_f"),
+            t["low_f"].alias("low_f"),
+            F.when(t["high_f"].isNull() & t["low_f"].isNull(), steady).alias("steady_f"),
+            in_range("precip_pct", T.words_to_int(T.found(text, RAIN_CHANCE))).alias("precip_pct"),
+            F.lower(T.found(text, ANY_SKY)).alias("sky"),
+        )
+
+    return T.once(labelled, fields)
 
 
 def almanac(text: Column) -> Column:
     """struct of the climate summary's fields."""
     number = lambda p: T.found(text, p).try_cast("double")
-    days = lambda p: F.when(F.lower(F.trim(T.found(text, p))) == "no", 0).otherwise(T.words_to_int(T.found(text, p)))
+    days = lambda p: T.once(F.lower(F.trim(T.found(text, p))), lambda d: F.when(d == "no", 0).otherwise(T.words_to_int(d)))
     sign = F.when(F.lower(T.found(text, DEPARTURE, 2)) == "below", -1.0).otherwise(1.0)
     return F.struct(
         T.clock(T.found(text, SUNRISE)).alias("sunrise"),
@@ -125,7 +136,7 @@ def has_details(details: Column) -> Column:
 
 
 def _any(struct: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*[struct[n].cast("string") for n in names]).isNotNull()
+    return T.once(struct, lambda s: F.coalesce(*[s[n].cast("string") for n in names]).isNotNull())
 
 
 def classify(text: Column) -> Column:
