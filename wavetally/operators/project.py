@@ -24,22 +24,20 @@ ALMANAC_FIELDS = ("sunrise", "sunset", "precip_year_in", "precip_departure_in",
 
 def transcripts(raw: DataFrame, profile: Profile) -> DataFrame:
     """Reports that are speech, terms folded, not blank. raw: id, station, captured_at, type, product_type, text, avg_confidence."""
-    speech = raw.where(F.col("type").isNull())
-    folded = speech.withColumn("text", T.fold_terms(F.coalesce("text", F.lit("")), profile.term_corrections))
-    return folded.where(F.trim("text") != "")
+    # Folding never blanks a text, so the filter runs before it.
+    speech = raw.where(F.col("type").isNull() & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    return speech.withColumn("text", T.fold_terms(F.col("text"), profile.term_corrections))
 
 
 def condition_readings(reports: DataFrame, profile: Profile, settings=DEFAULTS) -> DataFrame:
     """station, id, captured_at, pos, city, condition, value (text) in the order in which a text states them."""
-    key = ["station", "id", "captured_at"]
     found = roundup.with_cities(tables.confident(reports, settings.confidence_floor), profile)
-    towns = roundup.roundup_readings(found, profile, key, settings)
-    towns = towns.select(*key, "pos", "city", F.lit("temperature_f").alias("condition"), F.col("temp").cast("string").alias("value"))
-    own = found.where(F.col("home").isNotNull() & ~F.col("home").rlike(observation.RECAP)).select(*key, observation.observation(F.col("home")).alias("o"))
-    fields = F.array(*[F.struct(F.lit(100_000 + i).alias("pos"), F.lit(f).alias("condition"), F.col(f"o.{f}").cast("string").alias("value")) for i, f in enumerate(HOME_FIELDS)])
-    home = own.select(*key, F.explode(fields).alias("r")).where(F.col("r.value").isNotNull())
-    home = home.select(*key, "r.pos", F.lit(profile.primary_city).alias("city"), "r.condition", "r.value")
-    return towns.unionByName(home)
+    reading = lambda city, condition, value: F.struct(city.alias("city"), F.lit(condition).alias("condition"), value.cast("string").alias("value"))
+    towns = F.transform(roundup.town_readings(F.col("hits"), profile, settings), lambda h: reading(h["city"], "temperature_f", h["temp"]))
+    spoken = F.when(~F.col("home").rlike(observation.RECAP), F.col("home"))
+    home = T.once(observation.observation(spoken), lambda o: F.filter(F.array(*[reading(F.lit(profile.primary_city), f, o[f]) for f in HOME_FIELDS]), lambda r: r["value"].isNotNull()))
+    rows = found.select("station", "id", "captured_at", F.posexplode(F.concat(towns, F.coalesce(home, F.array()))).alias("pos", "r"))
+    return rows.select("station", "id", "captured_at", "pos", "r.*")
 
 
 def voted_conditions(readings: DataFrame) -> DataFrame:
@@ -60,10 +58,11 @@ def almanac_readings(reports: DataFrame, settings=DEFAULTS) -> DataFrame:
 
 def detail_rows(reports: DataFrame) -> DataFrame:
     """Alert details of reports that have any or are alert products (low confidence doesn't matter here)."""
-    found = reports.withColumn("d", observation.alert_details(F.col("text")))
     products = [t.replace(" ", "_") for t in T.TITLES]
-    kept = found.where(observation.has_details(F.col("d")) | F.coalesce(F.col("product_type").isin(*products), F.lit(False)))
-    return kept.select(F.col("id").alias("report_id"), "captured_at", "product_type", "d.*", "text")
+    alert = F.coalesce(F.col("product_type").isin(*products), F.lit(False))
+    # The details are generated and filtered in one expression, as a filter over a column would compute them again.
+    kept = F.filter(F.array(observation.alert_details(F.col("text"))), lambda d: observation.has_details(d) | alert)
+    return reports.select("id", "captured_at", "product_type", "text", F.explode(kept).alias("d")).select(F.col("id").alias("report_id"), "captured_at", "product_type", "d.*", "text")
 
 
 def alert_rows(raw: DataFrame, counties: dict[str, str] | None = None) -> DataFrame:

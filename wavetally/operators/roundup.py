@@ -9,12 +9,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetally.config import DEFAULTS
+from wavetally.functions import text as T
+from wavetally.functions.codes import lookup
 from wavetally.operators.observation import CITY
-from wavetally.operators.vote import median_filter
 from wavetally.sources.profile import Profile
 
 # The three phrasings (city and degrees by name), the lead-ins and the home header.
@@ -90,12 +91,21 @@ def with_cities(reports: DataFrame, profile: Profile, text: str = "text") -> Dat
     return reports.mapInArrow(run, f"{schema}, {FOUND}")
 
 
-def roundup_readings(reports: DataFrame, profile: Profile, key: list[str], settings=DEFAULTS) -> DataFrame:
-    """One row per (report, city, temperature), outliers among the report's cities dropped."""
-    rows = reports.select(*key, F.explode("hits").alias("h")).select(*key, "h.pos", "h.city", "h.temp")
-    kept = median_filter(rows, key, "temp", settings.peer_quorum, settings.peer_deviation)
-    named = {heard: city for heard, city in profile.aliases.items()}
-    again = F.coalesce(*[F.when(F.lower("city") == heard, F.lit(city)) for heard, city in named.items()], F.col("city")) if len(named) <= 200 else F.col("city")
+def town_readings(hits: Column, profile: Profile, settings=DEFAULTS) -> Column:
+    """array of struct(city, temp): one report's distinct readings in text order, without outliers among its peers.
+
+    The median of a report's readings is taken inside its array, so that no rows are dealt out.
+    """
+    temps = F.array_sort(F.transform(hits, lambda h: h["temp"]))
+    middle = (F.get(temps, F.floor((F.size(hits) - 1) / 2).cast("int")) + F.get(temps, F.floor(F.size(hits) / 2).cast("int"))) / 2
+    near = T.once(middle, lambda m: F.filter(hits, lambda h: (F.size(hits) < settings.peer_quorum) | (F.abs(h["temp"] - m) <= settings.peer_deviation)))
     low, high = settings.ranges["temperature_f"]
-    kept = kept.withColumn("city", again).where(F.col("temp").between(low, high))
-    return kept.groupBy(*key, "city", "temp").agg(F.min("pos").alias("pos"))
+    again = lambda city: F.coalesce(lookup(profile.aliases, F.lower(city)), city) if profile.aliases else city
+    rows = F.transform(F.filter(near, lambda h: h["temp"].between(low, high)), lambda h: F.struct(again(h["city"]).alias("city"), h["temp"].alias("temp")))
+    return F.array_distinct(rows)
+
+
+def roundup_readings(reports: DataFrame, profile: Profile, key: list[str], settings=DEFAULTS) -> DataFrame:
+    """One row per (report, city, temperature), in text order by pos."""
+    rows = reports.select(*key, F.posexplode(town_readings(F.col("hits"), profile, settings)).alias("pos", "h"))
+    return rows.select(*key, "h.city", "h.temp", "pos")
