@@ -82,7 +82,7 @@ def test_mixing_prefix_sums_equal_one_window(spark):
     """The bucketed prefix sum against a plain sort, with one source holding most rows."""
     rows = [(i, "w " * (1 + i % 9) + "#" * (i % 4), "en", "hot" if i % 8 else f"s{i % 5}", 0) for i in range(4000)]
     plan = mixing.plan_mix(documents(spark, rows)).collect()
-    keys = {r["doc_id"]: r["k"] for r in documents(spark, rows).select("doc_id", mixing.exponential_key(F.col("doc_id"), mixing.quality(F.col("text"))).alias("k")).collect()}
+    keys = {r["doc_id"]: r["k"] for r in documents(spark, rows).select("doc_id", mixing.exponential_key(F.col("doc_id"), F.col("text")).alias("k")).collect()}
     for source in {r["source"] for r in plan}:
         earlier = 0
         own = sorted((r for r in plan if r["source"] == source), key=lambda r: (keys[r["doc_id"]], r["doc_id"]))
@@ -97,7 +97,9 @@ def test_mixing_cases(spark):
     assert plan[3]["size"] == plan[4]["size"] == plan[8]["size"] == 0 and plan[4]["target"] == 0.0
     assert mixing.plan_mix(documents(spark, [])).count() == 0
     assert mixing.plan_mix(documents(spark, [(1, None, "en", "a", 0)])).first()["taken"] == 0
-    mixed = mixing.mix(documents(spark)).collect()
+    clash = documents(spark).withColumns({c: F.lit(c) for c in ("times", "size", "key", "salt", "taken", "bucket")})
+    mixed = mixing.mix(clash).collect()
+    assert all(r["times"] == "times" and r["bucket"] == "bucket" for r in mixed)
     assert {r["doc_id"] for r in mixed} <= {1, 2, 5, 6, 7, None} and all(sum(r["doc_id"] == i for r in mixed) <= 2 for i in (1, 2, 5, 6))
 
 

@@ -12,7 +12,7 @@ keys, then windows within buckets of about BUCKET_ROWS rows, so that one source
 with a third of all rows is spread over many tasks.
 
 Defined cases: null text: size 0 and never counted; null source: a source of its
-own, last; null doc_id: keyed as an empty id; repeated rows: each a row of its
+own, last; null doc_id: keyed by its text; repeated rows: each a row of its
 own, in either order; sources without words: target 0; empty table: empty result.
 """
 
@@ -43,11 +43,12 @@ def quality(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.05), share * share * share * share), F.lit(1.0))
 
 
-def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / weight; u comes from the md5 of seed and id, so that reruns agree."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13)
+def exponential_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """-ln(u) / quality; u comes from the md5 of seed and id (without one, of the text's md5), so that reruns agree."""
+    name = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    return -F.ln(u) / weight
+    return -F.ln(u) / quality(text)
 
 
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -85,7 +86,7 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHA
             "doc_id",
             "source",
             words(F.col("text")).alias("size"),
-            exponential_key(F.col("doc_id"), quality(F.col("text")), seed).alias("key"),
+            exponential_key(F.col("doc_id"), F.col("text"), seed).alias("key"),
             F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
         )
     )
@@ -124,6 +125,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     Rows are matched by doc_id, and rows that share one are taken as often as the least of them.
     Documents without words are not taken.
     """
-    times = plan_mix(docs, **how).where("size > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.min(F.col("epochs") + F.col("chosen").cast("long")).alias("times")).where("times > 0")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["taken_id"]))
-    return joined.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    times = F.min(F.col("epochs") + F.col("chosen").cast("long")).alias("__times")
+    taken = plan_mix(docs, **how).where("size > 0").groupBy(F.col("doc_id").alias("__taken")).agg(times).where("__times > 0")
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__taken"]))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[docs[c] for c in docs.columns])

@@ -100,7 +100,7 @@ ORACLES = {
                    coalesce(length(translate(text, '#$%&*|{}<>~^=+@_', ''))::DOUBLE / nullif(length(text), 0), 1.0) AS share FROM documents),
         keyed AS (
             SELECT doc_id, source, size,
-                   -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+                   -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
                        / greatest(0.05::DOUBLE, share * share * share * share) AS key FROM d),
         per AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
         ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM per),
