@@ -255,6 +255,8 @@ PAGES = {
     "<main><header><h1>Head</h1></header><!-- <p>no</p> --><p>text <span class='ad'>buy</span>on</p><style>p{}</style><noscript>n</noscript></main>": "Head\ntext on",
     "": "",
     "<div class='ad'>buy</div>": "",
+    "<div class='site header'><p>Welcome to this very long header of a site that goes on for more than sixty letters</p></div><p>The only paragraph, long enough to make the text surge on this page.</p>": "The only paragraph, long enough to make the text surge on this page.",
+    "<article><div class='header'><h1>T</h1></div><p>x</p><div id='reader_comments'><p>c</p></div></article>": "T\nx",
     "<nav>never closed <p>x": "",
 }
 

@@ -43,8 +43,10 @@ CLOSES = {"p": "p", "li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td",
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Words in class, id or role that mark what is not the article.
 UNWANTED = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebar|side-?bar|aside|footer|masthead|site-?header|page-?header|toolbar|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|comment-?list|replies|disqus|respond|widgets?|pagination|pager|skip|hidden|complementary|contentinfo|navigation|tags)(?![a-z])"
+    r"(?<![a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebar|side-?bar|aside|footer|masthead|site-?header|page-?header|toolbar|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|comment-?list|replies|disqus|respond|widgets?|pagination|pager|copyright|overlay|skip|hidden|complementary|contentinfo|navigation|tags)(?![a-z])"
 )
+#: The same outside of article elements only.
+UNWANTED_OUTSIDE = re.compile(r"(?<![a-z])(?:header|topbar|top-bar|legal|imprint)(?![a-z])")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _BLANK = re.compile(r"\s+")
@@ -63,8 +65,10 @@ def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key in ("class", "id", "role") and UNWANTED.search(value.replace("_", "-")):
-            return True
+        if key in ("class", "id", "role"):
+            value = value.replace("_", "-")
+            if UNWANTED.search(value) or (not in_article and UNWANTED_OUTSIDE.search(value)):
+                return True
     return False
 
 
