@@ -1,11 +1,14 @@
 """Known answers of the text operators over short transcripts."""
 
+from itertools import groupby
+
 import pytest
 from pyspark.sql import functions as F
 
 from wavetally.functions import codes
 from wavetally.functions import text as T
 from wavetally.operators import forecast, observation, project, roundup
+from wavetally.plans import catalog
 from wavetally.sources.profile import Profile
 
 PROFILE = Profile(
@@ -108,6 +111,24 @@ def test_blank_and_loops(spark):
     assert one(spark, loops, T.is_loop(F.col("t"))) == [True, True, False, False]
 
 
+def plain_loop(text):
+    words = (text or "").lower().split()
+    runs = max((sum(1 for _ in g) for _, g in groupby(words)), default=0)
+    return len(words) >= 3 and (runs >= 6 or (len(words) >= 12 and len(set(words)) / len(words) < 0.35))
+
+
+def test_every_document_gets_a_loop_verdict(spark, tmp_path):
+    """Texts of several lines, of few words and null ones too, against plain Python."""
+    texts = ["\nthe the\nthe the\tthe  the\n", "It was\n" * 7, "a\u00a0a\u2003a\u3000a\x1ca\x85a", "\none two\n", " a\na\na\na\na ", "line one\nline two", "", " \n ", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.QUERIES["repetition_guard_all"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["loop"] for r in found} == {i: plain_loop(t) for i, t in rows} and len(found) == len(rows)
+    small = "/root/testdata/sf0.001"
+    found = {r["doc_id"]: r["loop"] for r in catalog.QUERIES["repetition_guard_all"](spark, small).collect()}
+    assert found == {r["doc_id"]: plain_loop(r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+
+
 def test_header_and_labels(spark):
     (got,) = one(spark, ["noise ZCZC-WXR-TOR-018035-018057+0045-1741830-KJY93- noise"], T.same_header(F.col("t")))
     assert got["originator"] == "WXR" and got["event"] == "TOR" and got["areas"] == ["018035", "018057"] and got["purge_minutes"] == 45 and got["station"] == "KJY93"

@@ -140,9 +140,13 @@ def is_blank(text: Column) -> Column:
     return t.isin("", *SILENCE_MARKERS) | t.startswith("[blank") | core.isin("", *STOCK_PHRASES)
 
 
+#: What str.split() splits at, beyond ASCII too.
+WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def is_loop(text: Column, run: int = DEFAULTS.repeat_run, least: int = DEFAULTS.repeat_words, ratio: float = DEFAULTS.repeat_ratio) -> Column:
     """A repetition loop: a long run of one word, or few different words among many."""
-    words = F.split(F.lower(F.trim(text)), r"\s+")
+    words = F.filter(F.split(F.lower(text), WHITE), lambda w: w != "")
     start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
     def step(acc: Column, word: Column) -> Column:

@@ -454,6 +454,12 @@ def repetition_guard(spark, d):
     return docs.where(F.size(F.split(F.trim("text"), " ")) >= 3).select("doc_id", T.is_loop(F.col("text")).alias("loop"))
 
 
+@query()
+def repetition_guard_all(spark, d):
+    """The guard over every document; repetition_guard holds the part that its SQL reads."""
+    return roles.load(spark, d, "documents").select("doc_id", T.is_loop(F.col("text")).alias("loop"))
+
+
 @query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'tornado_warning' WHEN 1 THEN 'current_conditions' WHEN 2 THEN 'almanac' WHEN 3 THEN 'zone_forecast' ELSE 'unknown' END AS product FROM orders")
 def classify(spark, d):
     n = (20 + F.col("o_custkey") % 80).cast("string")
