@@ -1,5 +1,7 @@
 """Known answers of the text operators over short transcripts."""
 
+import random
+from datetime import datetime, timedelta
 from itertools import groupby
 
 import pytest
@@ -215,6 +217,43 @@ def test_stale_periods_leave(spark):
     assert {r["city"] for r in rows} == {"Muncie"}
 
 
+def plain_changes(rows, depth=15, stale=15):
+    """The served map before and after each reading, as differences: (seq, key, value)."""
+    pools, last, now, out = {}, {}, 0, []
+
+    def served():
+        best = {}
+        for k, p in pools.items():
+            if now - last[k] <= stale:
+                best[k] = max(p, key=lambda v: (p.count(v), max(i for i, x in enumerate(p) if x == v)))
+        return best
+
+    for _, seq, period, field, value in rows:
+        before = served()
+        now += period == 0
+        if value is not None:
+            pools[period, field] = [*pools.get((period, field), []), value][-depth:]
+            last[period, field] = now
+        after = served()
+        out += [(seq, *k, after.get(k)) for k in before.keys() | after.keys() if before.get(k) != after.get(k)]
+    return sorted(out, key=str)
+
+
+def test_changes_cover_every_series_and_staleness(spark, tmp_path):
+    rnd = random.Random(4)
+    kinds, start = ["click", "view", "sixth kind", "rare"], datetime(2024, 1, 1)
+    rows = []
+    for i in range(1500):
+        kind = "rare" if i % 97 == 0 else rnd.choice(kinds[:3])
+        value = None if rnd.random() < 0.05 else rnd.choice([10.0, 120.0, 130.0, 250.0])
+        rows.append((i, rnd.choice([0, 6, 1, 2, 5]) if kind != "rare" else 4, kind, value, start + timedelta(minutes=11 * (i // 2))))
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, ts timestamp_ntz").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    found = [tuple(r) for r in catalog.QUERIES["change_detection_all"](spark, str(tmp_path)).select("seq", "period", "field", "value").collect()]
+    want = plain_changes([(t, i, u % 6, k, None if v is None else int(v // 100)) for i, u, k, v, t in rows])
+    assert sorted(found, key=str) == want
+    assert {p for _, p, _, _ in found} == {0, 1, 2, 4, 5} and any(v is None for *_, v in found) and any(k == "sixth kind" for _, _, k, _ in found)
+
+
 def test_replay(spark):
     raw = spark.createDataFrame(
         [

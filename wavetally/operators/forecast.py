@@ -159,6 +159,38 @@ def issuances(texts: DataFrame, state: DataFrame) -> DataFrame:
     return per.select("station", "seq", "period", *[(get(f) if f == "sky" else get(f).cast("int")).alias(f) for f in FIELDS], "confidence", "since")
 
 
+def numbered(rows: DataFrame, clock: str, order: list[str]) -> DataFrame:
+    """rows (with new_pass) and pass, the readouts begun so far: a sum over hours, then windows within hours."""
+    begun = F.coalesce(F.col("new_pass").cast("long"), F.lit(0))
+    hour = F.floor(F.unix_micros(F.col(clock).cast("timestamp")) / 3_600_000_000)
+    at = rows.withColumn("__hour", F.coalesce(hour, F.lit(-(1 << 60))))
+    earlier = Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)  # over a row an hour
+    per = at.groupBy("__hour").agg(F.sum(begun).alias("__n"))
+    per = per.select("__hour", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__hour").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = at.withColumn("__in", F.sum(begun).over(within)).join(per, "__hour")
+    return out.withColumn("pass", F.col("__base") + F.col("__in")).drop("__hour", "__base", "__in")
+
+
+def changes(readings: DataFrame, keys: list[str], order: list[str], value: str = "value", depth: int = DEFAULTS.vote_depth, stale_passes: int = DEFAULTS.stale_passes) -> DataFrame:
+    """seq, keys, value: every change of the served map; value is null where a key goes stale.
+
+    readings: seq, new_pass, pass, keys, value. The map changes after a reading exactly where this has rows with its seq:
+    its own key is new, back from stale or of another voted value, or the pass it begins leaves keys behind.
+    A null value casts no vote.
+    """
+    order = [*order, value, "pass"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    prior = F.col("pass") - F.coalesce(F.col("new_pass").cast("long"), F.lit(0))  # the pass as the reading comes in
+    heard = vote(readings.where(F.col(value).isNotNull()), keys, order, value, depth=depth)
+    heard = heard.withColumns({"__prior": prior, "__last": F.lag("pass").over(w), "__was": F.lag("voted").over(w), "__next": F.lead(prior).over(w)})
+    own = heard.where(F.col("__last").isNull() | (F.col("__prior") - F.col("__last") > stale_passes) | (F.col("voted") != F.col("__was")))
+    left = heard.where(F.col("__next").isNull() | (F.col("__next") - F.col("pass") > stale_passes))
+    begins = readings.where("new_pass").select("seq", F.col("pass").alias("__at"))
+    gone = left.select(*keys, (F.col("pass") + stale_passes + 1).alias("__at"), F.lit(None).cast(readings.schema[value].dataType).alias("value")).join(begins, "__at")
+    return own.select("seq", *keys, F.col("voted").alias("value")).unionByName(gone.select("seq", *keys, "value"))
+
+
 def project_forecasts(reports: DataFrame) -> DataFrame:
     """Issuances out of transcripts (station, seq, text): a full snapshot whenever a voted value changes."""
     texts = reports.withColumn("text", canonical(F.col("text"))).where(~F.col("text").rlike(OUTLOOK))

@@ -326,6 +326,20 @@ def change_detection(spark, d):
     return maps.withColumn("before", F.lag("m").over(w)).where(~F.col("m").eqNullSafe(F.col("before"))).select("seq", "m")
 
 
+@query()
+def change_detection_all(spark, d):
+    """Changes in all periods and fields, by staleness too; each reading of period 0 begins a pass."""
+    from wavetally.operators import forecast
+
+    e = roles.load(spark, d, "events").select(
+        F.col("event_id").alias("seq"), (F.col("user_id") % 6).alias("period"), F.col("event_type").alias("field"),
+        F.floor(F.col("value") / 100).cast("bigint").alias("value"), F.col("ts").alias("captured_at"),
+    )
+    e = e.withColumn("new_pass", F.coalesce(F.col("period") == 0, F.lit(False)))
+    passed = forecast.numbered(e, "captured_at", ["captured_at", "seq", "period", "field", "value"])
+    return forecast.changes(passed, ["period", "field"], ["captured_at", "seq"])
+
+
 @query(
     f"""WITH r AS ({READINGS}), l AS (SELECT city, condition, max(captured_at) AS at FROM r GROUP BY ALL),
         p AS (SELECT r.city, r.condition, r.value, count(*) AS n, max(r.captured_at) AS newest FROM r JOIN l ON r.city = l.city AND r.condition = l.condition AND r.captured_at >= l.at - INTERVAL 18 HOUR GROUP BY ALL),
