@@ -92,6 +92,16 @@ def test_simhash_repeats_and_null_ids(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == ["5", "9", "None"]
 
 
+def test_near_copies_go_by_row(spark):
+    """Rows that share an id or have none: one of each component stays, whatever other rows the id has."""
+    a, b, c = "a b c d e", "other words are here", "a third text of its own"
+    cases = [(5, a), (7, a), (7, b), (None, a), (None, c), (None, c), (3, c), (3, a), (3, a)]
+    got = simhash.keep_one(documents(spark, [t for _, t in cases], [i for i, _ in cases])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, a), (3, c), (7, b)]
+    got = simhash.keep_one(documents(spark, [a, a, b], [None, None, None])).collect()
+    assert sorted(r["text"] for r in got) == [a, b]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7), (2000, 2001), (2001, 2000)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}

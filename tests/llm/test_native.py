@@ -1,7 +1,8 @@
 """Exact dedup, mixing and URL filter: edge cases, and SQL over small tables."""
 
 import hashlib
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -103,6 +104,25 @@ def test_mixing_cases(spark):
     assert {r["doc_id"] for r in mixed} <= {1, 2, 5, 6, 7, None} and all(sum(r["doc_id"] == i for r in mixed) <= 2 for i in (1, 2, 5, 6))
 
 
+def test_mix_decides_by_row(spark):
+    """Rows without an id, of one id, and equal ones: the mix holds what the plan takes of each."""
+    rnd = random.Random(3)
+    rows = [(None if i % 3 == 0 else i % 40, " ".join(f"w{i}x{k}" for k in range(rnd.randrange(1, 30))), "en", f"s{i % 4}", 0) for i in range(400)]
+    rows += rows[:60]
+    docs = documents(spark, rows)
+    want = Counter()
+    for r in mixing.plan_mix(docs).collect():
+        want[r["doc_id"], r["source"]] += r["taken"]
+    got, texts = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        got[r["doc_id"], r["source"]] += len(r["text"].split())
+        texts[r["text"]] += 1
+    by_source = lambda c: {s: sum(n for (_, t), n in c.items() if t == s) for s in {t for _, t in c}}
+    # Among rows of equal key the plan is free to choose, so single ids are held against the plan by source.
+    assert by_source(got) == by_source(want) and sum(n for (i, _), n in got.items() if i is None) > 0
+    assert texts == Counter(r["text"] for r in mixing.mix(docs.repartition(7)).collect())
+
+
 URLS = [
     (1, "https://M.Example.NET/en/5?x#y"), (2, "http://example.net/de/5"), (3, "http://example.com/de/1"), (4, "http://a.example.com/de"), (5, "http://x.org/fr/1"),
     (6, None), (7, "no host"), (8, "http://notexample.com/de/1"), (9, "http://x.org"), (10, "http://x.net"), (11, "://y.net/"), (11, "://y.net/"),

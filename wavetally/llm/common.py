@@ -46,6 +46,15 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """docs, written once, with a key for each row: a hash of its columns (but maps), then a number of its own.
+
+    Only rows that are equal are told apart by the number, so that choices by the key are the same in every run.
+    """
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return stash(docs.withColumn(name, F.struct(F.xxhash64(*plain).alias("hash"), F.monotonically_increasing_id().alias("id"))))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, UPPER, LOWER)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavetally.llm.common import WORD, stash
+from wavetally.llm.common import WORD, keyed, stash
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -78,8 +78,9 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share_percent: in
     return full.select("source", "source_size", "n", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(shared).alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, epochs, chosen, taken."""
+def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, epochs, chosen, taken, and the column row (its key) if named."""
+    own = [row] if row else []
     # The texts are read once; what is kept of them is a few numbers a row.
     rows = stash(
         docs.select(
@@ -87,7 +88,8 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHA
             "source",
             words(F.col("text")).alias("size"),
             exponential_key(F.col("doc_id"), F.col("text"), seed).alias("key"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
+            F.pmod(F.xxhash64(row or "doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
+            *own,
         )
     )
     # Each source's row meets its documents in as many parts as there are salts.
@@ -108,24 +110,25 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHA
         "bucket",
         (F.col("base_high") + F.coalesce(F.sum("sum").over(earlier(["src", "none", "above"], "bucket")), F.lit(0))).alias("base"),
     )
-    inside = Window.partitionBy("src", "none", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src", "none", "bucket").orderBy("key", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     summed = at.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(low, ["src", "none", "bucket"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     chosen = (F.col("size") > 0) & (2 * (F.col("base") + F.col("within")) + F.col("size") <= 2 * rest)
     out = summed.withColumn("epochs", epochs).withColumn("chosen", chosen)
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", "epochs", "chosen", (F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "epochs", "chosen", (F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))).alias("taken"), *own
     )
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mix takes them: each row as often as its epochs and the selection say.
+    """docs as the mix takes them: each row as often as its own epochs and selection say.
 
-    Rows are matched by doc_id, and rows that share one are taken as often as the least of them.
+    Rows carry a key through the plan, so rows that share a doc_id, or have none, are each decided alone.
     Documents without words are not taken.
     """
-    times = F.min(F.col("epochs") + F.col("chosen").cast("long")).alias("__times")
-    taken = plan_mix(docs, **how).where("size > 0").groupBy(F.col("doc_id").alias("__taken")).agg(times).where("__times > 0")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__taken"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    rows = keyed(docs)
+    times = (F.col("epochs") + F.col("chosen").cast("long")).alias("__times")
+    taken = plan_mix(rows, row="__row", **how).where("size > 0").select("__row", times).where("__times > 0")
+    joined = rows.join(taken, "__row")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.llm.common import stash
+from wavetally.llm.common import keyed, stash
 from wavetally.llm.components import components
 
 SHINGLE, SEED = 4, 42
@@ -231,3 +231,17 @@ def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """
     gone = near_duplicates(docs, hot).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (none is last; ties by the other columns).
+
+    Rows carry a key, so one goes or stays for itself, whether or not others share its doc_id.
+    """
+    rows = keyed(docs)
+    found = near_duplicates(rows.select(F.col("__row.id").alias("doc_id"), "text"), hot).select(F.col("doc_id").alias("id"), "component_id")
+    ranked = rows.select(F.col("__row.id").alias("id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("rank"))
+    at = stash(found.join(ranked, "id"))
+    first = at.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.__row.id").alias("id"))
+    gone = at.join(first, "id", "left_anti").select(F.col("id").alias("__gone"))
+    return rows.join(gone, F.col("__row.id") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
