@@ -2,21 +2,22 @@
 
 A fingerprint has a bit set where over half of the document's shingle hashes have it
 set. Two fingerprints link at RADIUS or fewer differing bits. They are cut into
-SEGMENTS parts; by the pigeonhole principle two linked ones agree in some part up to
-a small ball: with 3 parts and 4 bits, up to one bit in one of the first two parts, or
-wholly in the third. Each fingerprint is stored under its parts and looked up under
+parts; by the pigeonhole principle two linked ones agree in some part up to a small
+ball: with 3 parts and 4 bits, up to one bit in one of the first two parts, or wholly
+in the third; with the 2 parts that very many fingerprints ask for, up to two bits. Each fingerprint is stored under its parts and looked up under
 the ball around them (of two values that differ in one bit, the one with the zero
 there looks up the other). What meets under a key is verified by the complete
 distance, and each key's links are passed on as a spanning forest, never as all pairs.
 
 Keys under which more than HOT fingerprints are stored are cut further by the same
-rule over the remaining bits. Documents of one fingerprint count as one node and
+rule over the remaining bits, up to CUTS times. Documents of one fingerprint count as one node and
 are joined back in salted parts. Components are found by ``components``.
 
 Defined cases: a null text or one without words has fingerprint zero, linked like any
 other; fewer words than a shingle make one shingle; null doc_ids are never the
 smallest and a component of nothing else has a null id; rows that repeat a doc_id
-share its component; an empty table gives an empty result.
+share its component; a text of any length is hashed whole; other columns are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.llm.common import keyed, stash
+from wavetally.llm.common import stash
 from wavetally.llm.components import components
 
 SHINGLE, SEED = 4, 42
 RADIUS = 4
-#: Bits of the parts; the first two are looked up within one bit.
-PARTS = (22, 21, 21)
-SUB_PARTS = (15, 14, 14)
-#: Most fingerprints stored under a key before it is cut further.
-HOT = 2048
+#: Most distinct fingerprints for which three parts tell enough apart; beyond, there are two of 32 bits.
+MANY = 1 << 30
+#: Most fingerprints stored under a key before it is cut further, and how often it is: then a group's values
+#: agree in all but 20 bits, up to one bit in each part.
+HOT, CUTS = 2048, 2
 SALTS = 64
 #: Pairs that a worker compares at a time.
 PAIRS = 1 << 20
@@ -145,69 +146,94 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, fp, stored) sorted by key to links; a group may span batches."""
-    left: list[np.ndarray] = []
-
-    def out(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, fp, stored = parts
-        for u, v in _links(key, fp.view(np.uint64), stored, RADIUS) if len(key) else []:
+    for key, fp, stored in whole_groups(batches):
+        for u, v in _links(key, fp.view(np.uint64), stored, RADIUS):
             yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
+
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[list[np.ndarray]]:
+    """The columns of many whole groups at a time, from rows in order of the first column."""
+    parts: list[list[np.ndarray]] = []
+    n = 0
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        left = [np.concatenate(p) for p in zip(left, now, strict=True)] if left else now
-        if len(left[0]) >= 1 << 17:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        parts.append(now)
+        n += batch.num_rows
+        # One group that fills many batches is put together once, when it ends.
+        if n >= rows and parts[0][0][0] != now[0][-1]:
+            left = [np.concatenate(p) for p in zip(*parts, strict=True)]
             whole = int(np.searchsorted(left[0], left[0][-1], "left"))
-            if whole:
-                yield from out([p[:whole] for p in left])
-                left = [p[whole:] for p in left]
-    if left:
-        yield from out(left)
+            yield [p[:whole] for p in left]
+            parts, n = [[p[whole:] for p in left]], n - whole
+    if parts:
+        yield [np.concatenate(p) for p in zip(*parts, strict=True)]
+
 
+def _lookups(value: str, bits: int, near: int) -> str:
+    """SQL for an array of (value, stored) under which values within near bits meet.
 
-def _lookups(value: str, bits: int, near: bool, label: str) -> str:
-    """SQL for an array of (key, stored): the value itself, and, if near, the values with one more bit set."""
-    own = f"array(named_struct('key', {label} + {value}, 'stored', true))"
+    For one bit, of two values the one with the zero there looks up the other; for two, both are
+    stored under all values within one bit.
+    """
+    own = f"array(named_struct('value', {value}, 'stored', true))"
     if not near:
         return own
-    return f"concat({own}, transform(filter(sequence(0, {bits - 1}), i -> shiftright({value}, i) & 1 = 0), i -> named_struct('key', {label} + ({value} | shiftleft(1L, i)), 'stored', false)))"
+    flips = f"sequence(0, {bits - 1})" if near == 2 else f"filter(sequence(0, {bits - 1}), i -> shiftright({value}, i) & 1 = 0)"
+    changed = f"{value} ^ shiftleft(1L, i)"
+    return f"concat({own}, transform({flips}, i -> named_struct('value', {changed}, 'stored', {'true' if near == 2 else 'false'})))"
 
 
-def _keys(parts: tuple[int, ...], column: str) -> str:
-    """SQL for all of a value's keys, a part's number above its bits."""
+def _keys(parts: tuple[tuple[int, int], ...], column: str) -> str:
+    """SQL for an array of (part, value, stored, rest) of a column's keys; rest: the bits of the other parts."""
     found, low = [], 0
-    for t, bits in enumerate(parts):
-        value = f"(shiftright({column}, {low}) & {(1 << bits) - 1}L)"
-        found.append(_lookups(value, bits, t < len(parts) - 1, f"{t << 22}L"))
+    for t, (bits, near) in enumerate(parts):
+        value = f"(shiftrightunsigned({column}, {low}) & {(1 << bits) - 1}L)"
+        above = f"shiftleft(shiftrightunsigned({column}, {low + bits}), {low})" if low + bits < 64 else "0L"
+        rest = f"(({column} & {(1 << low) - 1}L) | {above})"
+        found.append(f"transform({_lookups(value, bits, near)}, k -> named_struct('part', {t}, 'value', k.value, 'stored', k.stored, 'rest', {rest}))")
         low += bits
     return f"concat({', '.join(found)})"
 
 
-def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
-    """u, v: a spanning forest of the links for each key, over distinct fingerprints (column fp)."""
-    rows = prints.select("fp", F.explode(F.expr(_keys(PARTS, "fp"))).alias("k")).select("k.key", "fp", "k.stored")
+def parts_of(bits: int) -> tuple[tuple[int, int], ...]:
+    """(bits, near) of three parts: four differing bits leave one of them within its ball."""
+    third = bits // 3
+    return ((bits - 2 * third, 1), (third, 1), (third, 0))
+
+
+def _cut(rows: DataFrame, parts: tuple[tuple[int, int], ...]) -> DataFrame:
+    """key, fp, stored, rest: rows under their keys and their old key. Keys are hashes; what meets by chance is told apart by its distance."""
+    cut = rows.select("key", "fp", F.explode(F.expr(_keys(parts, "rest"))).alias("k"))
+    return cut.select(F.xxhash64("key", "k.part", "k.value").alias("key"), "fp", F.col("k.stored").alias("stored"), F.col("k.rest").alias("rest"))
+
+
+def _met(rows: DataFrame, bits: int, hot: int, cuts: int) -> DataFrame:
+    """Links of the rows' groups; a crowded key is cut by the bits that its part leaves."""
+    meet = lambda df: df.select("key", "fp", "stored").repartition("key").sortWithinPartitions("key").mapInArrow(_matched, LINKS)
+    if not cuts:
+        return meet(rows)
     crowded = rows.where("stored").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key").checkpoint()
-    meet = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(_matched, LINKS)
     if crowded.isEmpty():
         return meet(rows)
-    cold = rows.join(crowded, "key", "left_anti")
-    # Under a crowded key the other bits decide: what links there agrees in a sub-part up to its ball.
-    first, second = PARTS[0], PARTS[0] + PARTS[1]
-    low = lambda bits: f"{(1 << bits) - 1}L"
-    other = F.expr(
-        f"CASE shiftright(key, 22) WHEN 0 THEN shiftrightunsigned(fp, {first})"
-        f" WHEN 1 THEN (fp & {low(first)}) | shiftleft(shiftrightunsigned(fp, {second}), {first})"
-        f" ELSE fp & {low(second)} END"
-    )
-    inner = rows.join(crowded, "key").select("key", "fp", other.alias("rest"))
-    inner = inner.select("key", "fp", F.explode(F.expr(_keys(SUB_PARTS, "rest"))).alias("k"))
-    # Under a sub-key any two rows may be a link, so all count as stored.
-    return meet(cold).union(meet(inner.select((F.col("key") * (1 << 24) + F.col("k.key")).alias("key"), "fp", F.lit(True).alias("stored"))))
+    parts = parts_of(bits)
+    # Under a part's key any two rows may be a link, so all count as stored.
+    inner = _cut(rows.join(crowded, "key"), parts).withColumn("stored", F.lit(True))
+    return meet(rows.join(crowded, "key", "left_anti")).union(_met(inner, bits - parts[-1][0], hot, cuts - 1))
+
+
+def links(prints: DataFrame, hot: int = HOT, many: int = MANY) -> DataFrame:
+    """u, v: a spanning forest of the links for each key, over distinct fingerprints (column fp)."""
+    parts = parts_of(64) if prints.count() <= many else ((32, 2), (32, 2))
+    rows = _cut(prints.select(F.lit(0).alias("key"), "fp", F.col("fp").alias("rest")), parts)
+    return _met(rows, 64 - parts[-1][0], hot, CUTS)
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id for every row."""
-    prints = stash(fingerprints(docs))
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # Salts go by row, so that rows without an id, or of one id, are spread too.
+    salted = stash(fingerprints(docs).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")))
     parts = salted.groupBy("fp", "salt").agg(F.min("doc_id").alias("least"))
     nodes = stash(parts.groupBy("fp").agg(F.min("least").alias("least")))
     # Roots are fingerprints; the component's id is the smallest doc_id of its nodes.
@@ -217,31 +243,9 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     # A component may be large: its id meets its nodes in salted parts.
     ids = ids.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     at = at.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-    named = nodes.join(at.join(ids, ["root", "part"]).select("fp", "component_id"), "fp", "left")
+    # Merged, so that both sides are dealt out by part; a broadcast would send a root's rows on from the one task that made them.
+    named = nodes.join(at.hint("merge").join(ids, ["root", "part"]).select("fp", "component_id"), "fp", "left")
     named = named.select("fp", F.coalesce("component_id", "least").alias("component_id"))
     by_part = parts.select("fp", "salt").join(named, "fp")
-    found = salted.join(by_part, ["fp", "salt"])
+    found = salted.hint("merge").join(by_part, ["fp", "salt"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest doc_id.
-
-    Rows are matched by doc_id: rows that repeat the id that stays all stay, so exact copies go first.
-    """
-    gone = near_duplicates(docs, hot).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (none is last; ties by the other columns).
-
-    Rows carry a key, so one goes or stays for itself, whether or not others share its doc_id.
-    """
-    rows = keyed(docs)
-    found = near_duplicates(rows.select(F.col("__row.id").alias("doc_id"), "text"), hot).select(F.col("doc_id").alias("id"), "component_id")
-    ranked = rows.select(F.col("__row.id").alias("id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("rank"))
-    at = stash(found.join(ranked, "id"))
-    first = at.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.__row.id").alias("id"))
-    gone = at.join(first, "id", "left_anti").select(F.col("id").alias("__gone"))
-    return rows.join(gone, F.col("__row.id") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
