@@ -325,6 +325,11 @@ PAGES = {
     "<div class='site header'><p>Welcome to this very long header of a site that goes on for more than sixty letters</p></div><p>The only paragraph, long enough to make the text surge on this page.</p>": "The only paragraph, long enough to make the text surge on this page.",
     "<article><div class='header'><h1>T</h1></div><p>x</p><div id='reader_comments'><p>c</p></div></article>": "T\nx",
     "<nav>never closed <p>x": "",
+    "<h1>Title</h1><p>Hi.</p><p>Short body only.</p>": "Title\nHi.\nShort body only.",
+    "<article><p class='tags-of-iron'>A paragraph about tags that are made of iron.</p><p>And one more of them.</p></article>": "A paragraph about tags that are made of iron.\nAnd one more of them.",
+    "<article><p>First text of the article, which goes on for a while.</p><ul><li><a href=1>Menu one</a></li><li><a href=2>Menu two</a></li><li><a href=3>Menu three</a></li><li><a href=4>Menu four</a></li></ul></article>": "First text of the article, which goes on for a while.",
+    "<article><p>A teaser.</p></article><div>" + "<p>The main text of this page lies in a plain element and is long enough to surge.</p>" * 6 + "</div>": "\n".join(["A teaser."] + ["The main text of this page lies in a plain element and is long enough to surge."] * 6),
+    "<div class=comments><p>" + "What a reader says here. " * 4 + "</p></div><article><p>One.</p><p>Two <i>and</i> three.</p></article><p>Stray.</p>": "One.\nTwo and three.",
 }
 
 
@@ -348,9 +353,36 @@ def test_html_of_the_table(spark):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
-def test_line_windows():
-    assert html_extract.between_surge_and_dive([0, 5, 0, 0, 0, 40, 30, 0, 2, 0, 0, 0], 3, 60) == [(5, 9)]
-    assert html_extract.between_surge_and_dive([], 3, 60) == []
+def test_line_windows_equal_brute_force():
+    """Surges and dives against the definition, line by line."""
+    rnd = random.Random(7)
+    for _ in range(300):
+        weights = [float(rnd.choice([0, 0, 0, 1, 5, 80])) for _ in range(rnd.randrange(0, 30))]
+        sums = [sum(weights[i : i + 3]) for i in range(len(weights))]
+        want, inside = [], False
+        for i, s in enumerate(sums):
+            if not inside and weights[i] > 0:
+                want.append([i])
+                inside = True
+            if inside and s == 0:
+                inside = False
+            elif inside:
+                want[-1].append(i)
+        got = html_extract.between_surge_and_dive(weights, 3)
+        assert got == [(w[0], w[-1] + 1, max(sums[w[0] : w[-1] + 1])) for w in want]
+
+
+def test_pages_take_time_in_proportion():
+    """Unclosed, deep and long pages."""
+    import time
+
+    for unit in ("<div>", "<p><b>x", "<div></p>", "<b><hr>", "<li><i>", "<article>t", "<div class=ad>t", "<span class=ad>", "</div>", "a <", "<script>", "&amp;<br>"):
+        took = []
+        for n in (4000, 16000):
+            start = time.process_time()
+            html_extract.main_text(unit * n)
+            took.append(time.process_time() - start)
+        assert took[1] < 8 * took[0] + 0.3, unit
 
 
 def test_pipeline_equals_its_stages_in_plain_python(spark, tmp_path):
