@@ -7,13 +7,15 @@ a number of segments, and 64 bits beside them. In each segment a document is sto
 under its value and all values within one bit, so that what differs there by up to two
 bits meets under a key; there are as many segments as bring a pair of the least
 similarity together with probability RECALL. What meets is compared by the other 64
-bits, and what stays is verified exactly, by the shingles of whole texts.
+bits, then by the distance of long fingerprints, and what stays is verified exactly,
+by the shingles of whole texts.
 
 Rows are dealt out by a segment's first BUCKET_BITS bits; the ball over its other bits
-is enumerated where they arrive. Links are verified in rounds: first one partner for
-each document, then, between the components so far, ever more, until no pair is left
-out. So a dense group of copies costs about its size and no link between two of the
-final components goes unverified.
+is enumerated where they arrive. Links are verified in rounds: first the nearest partner
+of each document, then, between the components so far, ever more, until no pair is
+left out. So a dense group of copies costs about its size, and no pair that meets
+between two of the final components goes unverified. A worker holds one key's group:
+some 180 bytes a document.
 
 Defined cases: null texts count as empty; fewer words than a shingle make one shingle,
 so texts without words are copies of each other; a text of any length is read whole;
@@ -38,13 +40,15 @@ from wavetally.llm.simhash import whole_groups
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.95
 #: Bits of a segment, while no more documents than 2 ** MANY_BITS share its values, and those that deal rows out.
 SEGMENT_BITS, MANY_BITS, BUCKET_BITS = 22, 26, 8
-#: Each round offers so many times as many partners as the one before.
-FAN = 16
+#: Words of the long fingerprint, by which what has met is told apart before texts are compared.
+LONG = 16
+#: Each round offers a document so many times as many partners as the one before, its nearest of so many that it looks at.
+FAN, LOOK = 4, 8
 
 FOUND = "id bigint, check bigint, keys array<struct<bucket: bigint, value: bigint, own: boolean>>"
 LIVE = "key bigint, node bigint, check bigint"
-OFFERS = "u bigint, v bigint, more boolean"
-SETS = "node bigint, shingles array<bigint>"
+DESCRIBED = "node bigint, size bigint, long binary, shingles array<bigint>"
+OFFERS = "u bigint, v bigint, far bigint, more boolean"
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -54,6 +58,12 @@ def bit_difference(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def reach(bits: int, similarity: float) -> int:
+    """The most differing bits that a pair of this similarity has, but for chance of about 1 in 1000."""
+    p = bit_difference(similarity)
+    return math.floor(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
+
+
 def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
     """(bits of a segment, segments) for n documents."""
     bits = SEGMENT_BITS + max(0, (n - 1).bit_length() - MANY_BITS)
@@ -141,75 +151,90 @@ def _living(batches: Iterator[pa.RecordBatch], bits: int, near: int) -> Iterator
         yield pa.record_batch([pa.array(key[live]), pa.array(node[row]), pa.array(check[row])], names=["key", "node", "check"])
 
 
-def _offered(batches: Iterator[pa.RecordBatch], limit: int, near: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, comp, node, check) in this order to pairs of different components, up to limit for each row;
-    more: whether a row was left with partners that it did not look at."""
-    for key, comp, node, check in whole_groups(batches):
+def _described(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """A text's set of shingles, its size and its long fingerprint."""
+    for batch in batches:
+        hashes = [shingle_hashes(text.as_py(), shingle) for text in batch.column(1)]
+        sizes = np.array([len(h) for h in hashes], dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        values = np.concatenate([h[:, 0] for h in hashes]).view(np.int64) if hashes else np.zeros(0, np.int64)
+        longs = [np.packbits(wide_fingerprint(h, LONG)).tobytes() for h in hashes]
+        yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(longs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "size", "long", "shingles"])
+
+
+def _offered(batches: Iterator[pa.RecordBatch], best: int, near: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, comp, node, size, long) in this order to pairs of different components that may be similar:
+    for each row the nearest ones of those that it looks at; more: whether there may be others."""
+    for key, comp, node, size, long in whole_groups(batches):
         n = len(key)
+        prints = np.frombuffer(b"".join(long), dtype=np.uint64).reshape(n, LONG)
         edge = np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (comp[1:] != comp[:-1]), True]) + 1
         at = np.arange(n)
-        to = edge[np.searchsorted(edge, at, "right")]
-        checks, count = check.view(np.uint64), np.zeros(n, dtype=np.int64)
+        to, looked = edge[np.searchsorted(edge, at, "right")], np.zeros(n, dtype=np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        ended = np.zeros(n, dtype=bool)
         while len(at):
             inside = to < n
             at, to = at[inside], to[inside]
             inside = key[at] == key[to]
             at, to = at[inside], to[inside]
-            hit = np.bitwise_count(checks[at] ^ checks[to]) <= near
-            left, right = at[hit], to[hit]
-            count[left] += 1
-            ended = count[left] >= limit
-            following = np.minimum(right + 1, n - 1)
-            more = ended & (right + 1 < n) & (key[following] == key[left])
-            yield pa.record_batch([pa.array(node[left]), pa.array(node[right]), pa.array(more)], names=["u", "v", "more"])
-            goes = count[at] < limit
-            at, to = at[goes], to[goes] + 1
-
-
-def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_hashes(text.as_py(), shingle)[:, 0].view(np.int64) for text in batch.column(1)]
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        values = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
-        yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], names=["node", "shingles"])
+            like = np.minimum(size[at], size[to]) >= similarity * np.maximum(size[at], size[to])
+            left, right = at[like], to[like]
+            far = np.bitwise_count(prints[left] ^ prints[right]).sum(axis=1, dtype=np.int64)
+            hit = far <= near
+            found.append((left[hit], right[hit], far[hit]))
+            looked[left[hit]] += 1
+            stop = looked[at] >= LOOK * best
+            ended[at[stop]] = True
+            at, to = at[~stop], to[~stop] + 1
+        left, right, far = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        # Both rows of a pair have it among theirs.
+        one, two, far = np.r_[left, right], np.r_[right, left], np.r_[far, far]
+        turn = np.lexsort((node[two], far, one))
+        one, two, far = one[turn], two[turn], far[turn]
+        first = np.searchsorted(one, one, "left")
+        kept = np.arange(len(one)) - first < best
+        more = ended | (np.bincount(one, minlength=n) > best)
+        yield pa.record_batch([pa.array(node[one[kept]]), pa.array(node[two[kept]]), pa.array(far[kept]), pa.array(more[one[kept]])], names=["u", "v", "far", "more"])
 
 
 def similar_links(texts: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame | None:
     """u, v: verified links of rows (columns id, text) that give the components of all; None if nothing meets."""
     bits, segments = layout(texts.count(), similarity, recall)
-    p = bit_difference(similarity)
-    near = math.floor(64 * p + 3 * math.sqrt(64 * p * (1 - p)))
     prints = texts.select("id", "text").mapInArrow(partial(_printed, bits=bits, segments=segments, shingle=shingle), FOUND)
     rows = prints.select("id", "check", F.explode("keys").alias("k")).select("k.bucket", "k.value", "k.own", F.col("id").alias("node"), "check")
-    live = stash(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_living, bits=bits, near=near), LIVE))
+    meet = partial(_living, bits=bits, near=reach(64, similarity))
+    live = stash(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, LIVE))
     if live.isEmpty():
         return None
     of_live = texts.join(live.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    sets = stash(of_live.select("id", "text").mapInArrow(partial(_sets, shingle=shingle), SETS))
+    described = stash(of_live.select("id", "text").mapInArrow(partial(_described, shingle=shingle), DESCRIBED))
+    live = stash(live.join(described.drop("shingles"), "node"))
+    first, second = (described.select(F.col("node").alias(c), F.col("shingles").alias(d)) for c, d in (("u", "a"), ("v", "b")))
     tested = edges = labels = None
-    limit = 1
+    best = 1
     while True:
         at = live.withColumn("comp", F.col("node"))
         if labels is not None:
             at = live.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-        at = at.select("key", "comp", "node", "check").repartition("key").sortWithinPartitions("key", "comp", "node")
-        offers = at.mapInArrow(partial(_offered, limit=limit, near=near), OFFERS)
-        if tested is None:  # one partner for each
-            pairs = stash(offers.groupBy("u").agg(F.min("v").alias("v"), F.lit(True).alias("more")))
-            fresh = pairs
-        else:
-            pairs = stash(offers.groupBy("u", "v").agg(F.max("more").alias("more")))
-            fresh = pairs.join(tested, ["u", "v"], "left_anti")
-        both = fresh.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+        at = at.select("key", "comp", "node", "size", "long").repartition("key").sortWithinPartitions("key", "comp", "node")
+        offers = at.mapInArrow(partial(_offered, best=best, near=reach(64 * LONG, similarity), similarity=similarity), OFFERS)
+        # Of what all keys offer a row, its nearest: a bounded number for each key.
+        own = offers.groupBy("u").agg(F.array_sort(F.collect_set(F.struct("far", "v"))).alias("all"), F.max("more").alias("more"))
+        own = own.select("u", F.explode(F.slice("all", 1, best)).alias("one"), (F.col("more") | (F.size("all") > best)).alias("more"))
+        pairs = own.groupBy(F.least("u", "one.v").alias("u"), F.greatest("u", "one.v").alias("v")).agg(F.max("more").alias("more"))
+        pairs = stash(pairs)
+        fresh = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
+        both = fresh.join(first, "u").join(second, "v")
         common = F.size(F.array_intersect("a", "b"))
         linked = stash(both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v"))
         edges = linked if edges is None else edges.union(linked)
-        ended = tested is not None and pairs.where("more").isEmpty()
-        if ended:
+        # A round that leaves nothing out has verified all pairs between the components before it.
+        if pairs.where("more").isEmpty():
             return edges
         tested = pairs.select("u", "v") if tested is None else tested.union(pairs.select("u", "v"))
         labels = stash(components(edges))
-        limit *= FAN
+        best *= FAN
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
