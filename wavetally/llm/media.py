@@ -8,7 +8,8 @@ alone.
 
 Defined cases: a null text counts as empty and gives 64 zero bytes; equal texts give
 equal streams; repeated rows give repeated results; an empty table gives an empty
-result. A stream whose check sums are wrong fails the task and is never skipped.
+result. A stream whose check sums are wrong fails the task and is never skipped. A text
+of any length is stored whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wavetally.llm import flac
+from wavetally.llm.common import stash
 
 PAD = 64
 #: Bytes of payload that a worker holds as samples at a time (at least one document).
@@ -45,12 +47,23 @@ def from_pcm(pcm: np.ndarray) -> bytes:
     return (pcm.view(np.uint8) ^ 0x80).tobytes()
 
 
-def feature(pcm: np.ndarray) -> str:
-    """Whole-number features of the samples: sum, energy, peak, sign changes, blocks."""
-    wide = pcm.astype(np.int64)
-    signs = pcm < 0
-    turns = int((signs[1:] != signs[:-1]).sum())
-    return f"sum={int(wide.sum())};energy={int((wide * wide).sum())};peak={int(np.abs(wide).max())};turns={turns};blocks={-(-len(pcm) // flac.BLOCK)}"
+def blocks_of(pcm: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(first sample, samples) of each PCM block."""
+    return [(at, pcm[at : at + flac.BLOCK]) for at in range(0, len(pcm), flac.BLOCK)]
+
+
+def feature(blocks: list[tuple[int, np.ndarray]]) -> str:
+    """Whole-number features of the samples, block by block: sum, energy, peak, sign changes, blocks."""
+    total = energy = peak = turns = 0
+    before = None
+    for _, block in blocks:
+        wide, signs = block.astype(np.int64), block < 0
+        total += int(wide.sum())
+        energy += int((wide * wide).sum())
+        peak = max(peak, int(np.abs(wide).max()))
+        turns += int((signs[1:] != signs[:-1]).sum()) + (before is not None and bool(signs[0] != before))
+        before = signs[-1]
+    return f"sum={total};energy={energy};peak={peak};turns={turns};blocks={len(blocks)}"
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str | None]]]:
@@ -96,14 +109,15 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[int
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, _, _, pcm in _streams(batches):
-        rows = [(i, b, b * flac.BLOCK, len(part), part.tobytes()) for i, p in zip(ids, pcm, strict=True) for b in range(-(-len(p) // flac.BLOCK)) for part in [p[b * flac.BLOCK : (b + 1) * flac.BLOCK]]]
+        rows = [(i, b, at, len(part), part.tobytes()) for i, p in zip(ids, pcm, strict=True) for b, (at, part) in enumerate(blocks_of(p))]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "block", "first_sample", "n_samples", "pcm"])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, n, streams, pcm in _streams(_encoded(batches)):
-        back = [from_pcm(p) for p in pcm]
+    for ids, n, streams, pcm in _streams(batches):
+        blocks = [blocks_of(p) for p in pcm]
+        back = [b"".join(from_pcm(part) for _, part in own) for own in blocks]
         columns = {
             "doc_id": pa.array(ids, pa.int64()),
             "n_bytes": pa.array(n, pa.int64()),
@@ -112,7 +126,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "tail_crc32": pa.array([zlib.crc32(b[-PAD:]) for b in back], pa.int64()),
             "media_bytes": pa.array([len(s) for s in streams], pa.int64()),
             "media_sha256": pa.array([hashlib.sha256(s).hexdigest() for s in streams]),
-            "feature": pa.array([feature(p) for p in pcm]),
+            "feature": pa.array([feature(own) for own in blocks]),
         }
         yield pa.record_batch(list(columns.values()), names=list(columns))
 
@@ -127,6 +141,11 @@ def read_blocks(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(_blocks, BLOCKS)
 
 
+def read_digests(media: DataFrame) -> DataFrame:
+    """What stored streams (as of write_media) hold, without the streams themselves."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_digests, DIGEST)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """Each document written, read back and described, without the streams themselves."""
-    return docs.select("doc_id", "text").mapInArrow(_digests, DIGEST)
+    """Each document written as a stream to the shared folder, read back from there block by block, and described."""
+    return read_digests(stash(write_media(docs)))
