@@ -76,18 +76,20 @@ ORACLES = {
         judged AS (
             SELECT *, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' END AS ruled
             FROM ruled),
-        h AS (
-            SELECT host, count(*)::DOUBLE AS n, sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END)::DOUBLE AS bad,
-                   string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain
+        counted AS (
+            SELECT host, count(ruled)::DOUBLE AS n, sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END)::DOUBLE AS bad, string_split(host, '.') AS labels,
+                   CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'or.jp', 'ne.jp',
+                        'co.kr', 'com.br', 'com.cn', 'com.tw', 'com.mx', 'com.ar', 'com.tr', 'co.in', 'co.za', 'co.il') THEN 2 ELSE 1 END AS width
             FROM judged WHERE host <> '' GROUP BY host),
+        h AS (SELECT host, n, bad, array_to_string(labels[-width:], '.') AS suffix, array_to_string(labels[-(width + 1):], '.') AS domain FROM counted),
         d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
         s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
         moments AS (
-            SELECT 'h' AS lv, sum(bad) / sum(n) AS m, sum(bad * bad / n) / sum(n) AS q FROM h
-            UNION ALL SELECT 'd', sum(bad) / sum(n), sum(bad * bad / n) / sum(n) FROM d
-            UNION ALL SELECT 's', sum(bad) / sum(n), sum(bad * bad / n) / sum(n) FROM s),
-        k AS (SELECT lv, m, least(1000.0, greatest(0.5, CASE WHEN q - m * m > 1e-12 THEN m * (1 - m) / (q - m * m) - 1 ELSE 1000.0 END)) AS k FROM moments),
-        ms AS (SELECT suffix, (bad + (SELECT k * m FROM k WHERE lv = 's')) / (n + (SELECT k FROM k WHERE lv = 's')) AS m FROM s),
+            SELECT 'h' AS lv, sum(bad) / nullif(sum(n), 0) AS m, sum(bad * bad / nullif(n, 0)) / nullif(sum(n), 0) AS q, sum(n) AS t, (sum(bad) + 1) / (sum(n) + 2) AS m1 FROM h
+            UNION ALL SELECT 'd' AS lv, sum(bad) / nullif(sum(n), 0) AS m, sum(bad * bad / nullif(n, 0)) / nullif(sum(n), 0) AS q, sum(n) AS t, (sum(bad) + 1) / (sum(n) + 2) AS m1 FROM d
+            UNION ALL SELECT 's' AS lv, sum(bad) / nullif(sum(n), 0) AS m, sum(bad * bad / nullif(n, 0)) / nullif(sum(n), 0) AS q, sum(n) AS t, (sum(bad) + 1) / (sum(n) + 2) AS m1 FROM s),
+        k AS (SELECT lv, m1, least(1000.0, greatest(2.0, least(t, CASE WHEN q - m * m > 1e-12 THEN m * (1 - m) / (q - m * m) - 1 ELSE 1000.0 END))) AS k FROM moments),
+        ms AS (SELECT suffix, (bad + (SELECT k * m1 FROM k WHERE lv = 's')) / (n + (SELECT k FROM k WHERE lv = 's')) AS m FROM s),
         md AS (SELECT domain, (d.bad + (SELECT k FROM k WHERE lv = 'd') * ms.m) / (d.n + (SELECT k FROM k WHERE lv = 'd')) AS m FROM d JOIN ms USING (suffix)),
         mh AS (SELECT host, n + (SELECT k FROM k WHERE lv = 'h') AS w, (h.bad + (SELECT k FROM k WHERE lv = 'h') * md.m) / (h.n + (SELECT k FROM k WHERE lv = 'h')) AS m FROM h JOIN md USING (domain))
         SELECT page_id, judged.host AS host, path, rule,
