@@ -7,13 +7,16 @@ weight (water filling, solved in closed form over the table of sources).
 Selection: a source's complete epochs take every document; the rest of its target
 is filled in the order of exponential keys -ln(u) / quality, by a prefix sum. A
 document is taken when at least half of it fits, so that a source ends within
-half a document of its target. Prefix sums run in two steps: sums per bucket of
-keys, then windows within buckets of about BUCKET_ROWS rows, so that one source
-with a third of all rows is spread over many tasks.
+half a document of its target. Prefix sums run in two steps: rows are dealt out by
+ranges of source and key, whose edges Spark takes from quantiles of these keys, so
+that a range holds about BUCKET_ROWS rows whatever the source's size and quality; sums
+per range, then windows within ranges, make the prefix sums.
 
 Defined cases: null text: size 0 and never counted; null source: a source of its
 own, last; null doc_id: keyed by its text; repeated rows: each a row of its
-own, in either order; sources without words: target 0; empty table: empty result.
+own, in either order; sources without words: target 0; a text of any length counts
+whole; other columns stay as they are in mix, whatever their names; empty table:
+empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MAX_EPOCHS = 2
 SEED = "mix-1"
-BUCKET_ROWS, SUPER = 256, 256
+#: Rows of a range of keys; what one task sorts.
+BUCKET_ROWS = 1 << 16
 SALTS = 64
 #: Characters that prose rarely holds; their share lowers a document's quality.
 SYMBOLS = "#$%&*|{}<>~^=+@_"
@@ -78,40 +82,39 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share_percent: in
     return full.select("source", "source_size", "n", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(shared).alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED, row: str | None = None) -> DataFrame:
+def in_ranges(rows: DataFrame, n: int, order: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """rows (of them n), written once, with their range of source and order as the column bucket."""
+    by = [F.col("source").isNull(), F.col("source"), *map(F.col, order)]
+    return stash(rows.repartitionByRange(max(1, -(-n // bucket_rows)), *by).withColumn("bucket", F.spark_partition_id()))
+
+
+def plan_mix(
+    docs: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED, row: str | None = None, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, epochs, chosen, taken, and the column row (its key) if named."""
     own = [row] if row else []
-    # The texts are read once; what is kept of them is a few numbers a row.
+    order = ["key", "doc_id", "size", *own, "salt"]
+    # The texts are read once; what is kept of them is a few numbers a row. Salts go by row, so rows without an id are spread.
     rows = stash(
         docs.select(
             "doc_id",
             "source",
             words(F.col("text")).alias("size"),
             exponential_key(F.col("doc_id"), F.col("text"), seed).alias("key"),
-            F.pmod(F.xxhash64(row or "doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
+            F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"),
             *own,
         )
     )
     # Each source's row meets its documents in as many parts as there are salts.
     targets = source_targets(rows, weights, share_percent, max_epochs).withColumnRenamed("source", "of")
     targets = targets.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    at = rows.join(targets, rows["source"].eqNullSafe(targets["of"]) & (rows["salt"] == targets["part"])).drop("of", "part", "salt")
-    # exp(-key) falls with the key, so buckets follow the order of keys.
-    spread = F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n") / BUCKET_ROWS))
-    at = at.withColumns({"bucket": spread.cast("long"), "src": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
-    at = at.withColumn("above", F.floor(F.col("bucket") / SUPER))
-    low = at.groupBy("src", "none", "above", "bucket").agg(F.sum("size").alias("sum"))
-    high = low.groupBy("src", "none", "above").agg(F.sum("sum").alias("sum"))
-    earlier = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    high = high.select("src", "none", "above", F.coalesce(F.sum("sum").over(earlier(["src", "none"], "above")), F.lit(0)).alias("base_high"))
-    low = low.join(high, ["src", "none", "above"]).select(
-        "src",
-        "none",
-        "bucket",
-        (F.col("base_high") + F.coalesce(F.sum("sum").over(earlier(["src", "none", "above"], "bucket")), F.lit(0))).alias("base"),
-    )
-    inside = Window.partitionBy("src", "none", "bucket").orderBy("key", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
-    summed = at.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(low, ["src", "none", "bucket"])
+    at = in_ranges(rows, rows.count(), order, bucket_rows).withColumns({"src": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
+    sums = at.groupBy("src", "none", "bucket").agg(F.sum("size").alias("sum"))
+    before = Window.partitionBy("src", "none").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("src", "none", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("src", "none", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = at.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["src", "none", "bucket"])
+    summed = summed.join(targets, summed["source"].eqNullSafe(targets["of"]) & (summed["salt"] == targets["part"])).drop("of", "part", "salt")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     chosen = (F.col("size") > 0) & (2 * (F.col("base") + F.col("within")) + F.col("size") <= 2 * rest)
