@@ -14,7 +14,8 @@ histograms of narrowing range, so that no more than a few thousand rows reach th
 Defined cases: a null or empty text has log importance 0; noise comes from the md5 of
 the id (null: an empty one), so reruns agree; rows whose key equals the last one that is
 taken are all kept; without labels or target text every log importance is 0; repeated
-rows give repeated results; an empty table gives an empty result.
+rows give repeated results; a text of any length is read whole, one at a time; other
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +39,6 @@ REMEMBERED = 300_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Odd multipliers that mix a pair's hashes.
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: The pair of any word with itself is one n-gram.
-_SAME = np.uint64(0x5A5A5A5A5A5A5A5A)
 
 WEIGHED = "doc_id bigint, n_grams bigint, log_importance double"
 
@@ -59,7 +58,6 @@ def grams(text: str | None, hashes: _Hashes, buckets: int = BUCKETS) -> np.ndarr
     flat = [h for chunk in map(hashes.__getitem__, (text or "").lower().split()) for h in chunk]
     one = np.array(flat, dtype=np.uint64)
     two = one[:-1] * _LEFT + (one[1:] ^ (one[1:] >> np.uint64(31))) * _RIGHT
-    two[one[:-1] == one[1:]] = _SAME
     return np.concatenate([one * _LEFT, two]) >> np.uint64(64 - (buckets.bit_length() - 1))
 
 
