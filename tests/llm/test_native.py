@@ -60,6 +60,12 @@ def test_drop_duplicates_keeps_columns(spark):
     assert exact_dedup.drop_duplicates(docs).columns == docs.columns
 
 
+def test_drop_duplicates_carries_maps_and_arrays(spark):
+    docs = documents(spark, [r for r in DOCS if r[0] in (1, 2, 7)]).withColumns({"tags": F.create_map(F.lit("k"), F.col("doc_id")), "parts": F.array("lang"), "c1": F.lit("x")})
+    rows = {r["doc_id"]: r for r in exact_dedup.drop_duplicates(docs).collect()}
+    assert set(rows) == {2, 7} and rows[2]["tags"] == {"k": 2} and rows[2]["parts"] == ["en"] and rows[2]["c1"] == "x"
+
+
 def test_mixing_targets(spark):
     sizes = [("a", 100), ("b", 1000), ("c", 10), (None, 10)]
     got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, size bigint")).collect()}
@@ -84,6 +90,7 @@ def test_mixing_prefix_sums_equal_one_window(spark):
     rows = [(i, "w " * (1 + i % 9) + "#" * (i % 4), "en", "hot" if i % 8 else f"s{i % 5}", 0) for i in range(4000)]
     plan = mixing.plan_mix(documents(spark, rows)).collect()
     keys = {r["doc_id"]: r["k"] for r in documents(spark, rows).select("doc_id", mixing.exponential_key(F.col("doc_id"), F.col("text")).alias("k")).collect()}
+    assert plan_sizes(plan) == plan_sizes(mixing.plan_mix(documents(spark, rows), bucket_rows=100).collect())
     for source in {r["source"] for r in plan}:
         earlier = 0
         own = sorted((r for r in plan if r["source"] == source), key=lambda r: (keys[r["doc_id"]], r["doc_id"]))
@@ -93,6 +100,19 @@ def test_mixing_prefix_sums_equal_one_window(spark):
             earlier += r["size"]
 
 
+def plan_sizes(plan):
+    return sorted((r["doc_id"], r["taken"]) for r in plan)
+
+
+@pytest.mark.parametrize("quality", [1.0, 0.3, 0.05])
+def test_ranges_are_even_at_any_quality(spark, quality):
+    rows = spark.range(200_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"), F.lit(1).alias("size"), (-F.ln(F.rand(4)) / quality).alias("key"), F.lit(0).alias("salt")
+    )
+    sizes = [r["count"] for r in mixing.in_ranges(rows, 200_000, ["key", "doc_id"], 4000).groupBy("bucket").count().collect()]
+    assert max(sizes) <= 4 * 4000 and len(sizes) >= 40
+
+
 def test_mixing_cases(spark):
     plan = {r["doc_id"]: r for r in mixing.plan_mix(documents(spark)).collect()}
     assert plan[3]["size"] == plan[4]["size"] == plan[8]["size"] == 0 and plan[4]["target"] == 0.0
@@ -140,10 +160,21 @@ def test_url_rules(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
 
 
-def test_a_host_that_is_mostly_blocked_is_blocked(spark):
-    pages = [(i, f"http://bad.example.com/de/{i}") for i in range(60)] + [(100, "http://bad.example.com/en/1"), (101, "http://good.example.com/en/1")] + [(200 + i, f"http://good.example.com/fr/{i}") for i in range(60)]
-    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id bigint, url string")).collect()}
-    assert got[100] == "block" and got[101] == "allow"
+def test_hosts_by_their_labels(spark):
+    """Only pages with a rule are labels: mostly blocked hosts are blocked, mostly allowed ones and those of allowed domains not."""
+    rules = (("com/bad/", "block"), ("com/good/", "allow"), ("co.uk/bad/", "block"))
+    urls = [f"http://a.spam.com/bad/{i}" for i in range(40)] + [f"http://b.fine.com/good/{i}" for i in range(40)] + [f"http://x.fine.com/bad/{i}" for i in range(2)]
+    urls += [f"http://only.co.uk/bad/{i}" for i in range(30)]
+    tried = ["http://a.spam.com/x", "http://new.spam.com/x", "http://b.fine.com/x", "http://new.fine.com/x", "http://h.other.org/x", "http://only.co.uk/x"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls + tried)], "page_id bigint, url string").withColumns({"host": F.lit(1), "n": F.lit(2), "rule": F.lit("r")})
+    got = {r["host"] + r["path"]: r["verdict"] for r in url_filter.judge(df, rules).where("rule IS NULL").collect()}
+    assert got == {"a.spam.com/x": "block", "new.spam.com/x": "block", "b.fine.com/x": "allow", "new.fine.com/x": "allow", "h.other.org/x": "allow", "only.co.uk/x": "block"}
+
+
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "www.example.com": ("com", "example.com"), "com": ("com", "com"), "x.com.au": ("com.au", "x.com.au")}
+    got = url_filter.registered(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()
+    assert {r["host"]: (r["suffix"], r["domain"]) for r in got} == hosts
 
 
 @pytest.mark.parametrize("name", ["op3_exact_dedup", "op6_url_filter", "op8_mixing"])

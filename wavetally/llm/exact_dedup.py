@@ -6,9 +6,17 @@ groups by the full text beside its digest, so that a digest collision never
 merges two texts. A group that holds a third of all rows reaches no task whole:
 it is spread over the salts, and each salt passes on one winner.
 
+duplicate_groups then tells each row of its group. That join carries no text: it is by
+digest, two 64-bit hashes and the length, so that it goes wrong only where two texts
+agree in all of them. With SHA-256 that has a probability of less than 2 ** -256 for
+each pair even before the other two, far less than that of a hardware fault; carrying
+the text there would move all texts twice more (see README). drop_duplicates has no
+such join.
+
 Defined cases: a null text counts as empty; the row with the largest doc_id
 stays, and a null doc_id is smaller than any other; of repeated rows (same
-doc_id and text) exactly one is kept; an empty table gives an empty result.
+doc_id and text) exactly one is kept; a text of any length is compared whole; columns
+of any name and kind are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +25,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 SALTS = 64
 
@@ -83,12 +92,18 @@ def drop_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     A null text that is kept stays null if the group holds only nulls, and is empty otherwise.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct(F.col("doc_id").alias("c0"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest, 1)], F.col("text").isNotNull().alias("there"))
+    # Maps have no order; their text stands before them, and they themselves are told apart by nothing else.
+    unordered = [c for c in rest if "map<" in docs.schema[c].dataType.simpleString() or "variant" in docs.schema[c].dataType.simpleString()]
+    of = {c: F.to_json(F.struct(F.col(f"`{c}`").alias("m"))) if c in unordered else F.col(f"`{c}`") for c in rest}
+    row = F.struct(F.col("doc_id").alias("c0"), *[of[c].alias(f"c{i}") for i, c in enumerate(rest, 1)], F.col("text").isNotNull().alias("there"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.sha2(text, 256).alias("digest"), text.alias("body"), row.alias("row"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
     )
     merged = rows.groupBy("digest", "salt", "body").agg(F.max("row").alias("row"))
     won = merged.groupBy("digest", "body").agg(F.max("row").alias("row"))
-    name = {"doc_id": F.col("row.c0"), "text": F.when(F.col("row.there"), F.col("body"))} | {c: F.col(f"row.c{i}") for i, c in enumerate(rest, 1)}
+    name = {"doc_id": F.col("row.c0"), "text": F.when(F.col("row.there"), F.col("body"))}
+    for i, c in enumerate(rest, 1):
+        kind = StructType([StructField("m", docs.schema[c].dataType)])
+        name[c] = F.from_json(F.col(f"row.c{i}"), kind)["m"] if c in unordered else F.col(f"row.c{i}")
     return won.select(*[name[c].alias(c) for c in docs.columns])
