@@ -1,9 +1,10 @@
 """FLAC streams (RFC 9639): an encoder for mono 8-bit PCM and a decoder.
 
 ``encode`` and ``decode`` work on many streams at once: frames are the lanes of numpy
-arrays, and a Rice-coded residual is read one code per lane and step. Frames of any
-other make (several channels, other sample sizes, linear prediction with own
-coefficients, several Rice partitions) are read one by one by ``read_frame``.
+arrays, and a Rice-coded residual is read one code per lane and step. The encoder takes
+fixed predictors up to order 2 or linear prediction of order ORDER, whichever is
+smaller. Frames of any other make (several channels, other sample sizes, other orders,
+several Rice partitions) are read one by one by ``read_frame``.
 Every frame's header CRC-8 and CRC-16 and each stream's MD5 are verified; a
 mismatch raises ``FlacError``. The seek table has a point for each frame, so that
 ``read_samples`` reads any stretch without the frames before it.
@@ -17,10 +18,14 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK = 1024
+BLOCK = 2048
 RATE = 8000
 #: Frames that are encoded or decoded together.
-LANES = 4096
+LANES = 2048
+#: Linear prediction of the encoder: order, bits of a coefficient, right shift of the sum.
+ORDER, PRECISION, SHIFT = 8, 9, 6
+LPC_BITS = 4 + 5 + ORDER * PRECISION
+WARM = max(4, ORDER)
 #: Longest unary part that the encoder writes; frames that would need more are stored verbatim.
 MOST_UNARY = 40
 
@@ -30,6 +35,10 @@ BLOCK_CODES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 10
 SIZE_CODES = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
 
 
+#: The code of a frame of BLOCK samples.
+BLOCK_CODE = next(code for code, n in BLOCK_CODES.items() if n == BLOCK)
+
+
 class FlacError(ValueError):
     pass
 
@@ -59,7 +68,7 @@ def crc16(data: bytes) -> int:
 
 
 @lru_cache(maxsize=1)
-def _crc16_at(most: int = 2048) -> np.ndarray:
+def _crc16_at(most: int = 4096) -> np.ndarray:
     """[d, b]: what a byte b with d bytes after it adds to a CRC-16, which is linear."""
     rows = [CRC16]
     for _ in range(most - 1):
@@ -71,7 +80,7 @@ def _crc16_at(most: int = 2048) -> np.ndarray:
 def _crc16_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """CRC-16 of each data[start:end]; stretches are not empty, in order and don't overlap."""
     n = ends - starts
-    if not len(n) or n.max() > 2048:
+    if not len(n) or n.max() > 4096:
         return np.array([crc16(data[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], dtype=np.uint16)
     at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
     parts = _crc16_at()[np.repeat(ends - 1, n) - at, data[at]]
@@ -90,7 +99,7 @@ def _coded_number(n: int) -> bytes:
 
 
 def _frame_header(number: int, n: int) -> bytes:
-    code, extra = (10, b"") if n == BLOCK else (7, struct.pack(">H", n - 1))
+    code, extra = (BLOCK_CODE, b"") if n == BLOCK else (7, struct.pack(">H", n - 1))
     head = bytes([0xFF, 0xF8, code << 4 | 4, 0x02]) + _coded_number(number) + extra
     return head + bytes([crc8(head)])
 
@@ -107,6 +116,20 @@ def _header(number: int, n: int) -> bytes:
     return found
 
 
+def _predictors(samples: np.ndarray) -> np.ndarray:
+    """[frame, ORDER] coefficients for the last samples, by the autocorrelation of each frame (Levinson and Durbin)."""
+    x = samples.astype(np.float64)
+    r = np.stack([np.einsum("ij,ij->i", x[:, : BLOCK - j], x[:, j:]) for j in range(ORDER + 1)], axis=1)
+    a, error = np.zeros((len(x), ORDER)), r[:, 0] + 1e-9
+    for i in range(ORDER):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(axis=1)) / error
+        a[:, :i] -= k[:, None] * a[:, :i][:, ::-1]
+        a[:, i] = k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    most = 1 << (PRECISION - 1)
+    return np.clip(np.rint(a * (1 << SHIFT)), -most, most - 1).astype(np.int32)
+
+
 def _encode_frames(samples: np.ndarray, n: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     """samples: [frame, BLOCK] with n of them in each frame, the rest zero."""
     lanes, at = len(n), np.arange(BLOCK)
@@ -120,6 +143,17 @@ def _encode_frames(samples: np.ndarray, n: np.ndarray, numbers: np.ndarray) -> l
         better = total < best_sum
         best_sum, order = np.where(better, total, best_sum), np.where(better, o, order)
         residual[better] = e[better]
+    weights = _predictors(samples)
+    guess = np.zeros_like(samples)
+    for j in range(ORDER):
+        guess[:, ORDER:] += weights[:, j, None] * samples[:, ORDER - 1 - j : BLOCK - 1 - j]
+    e = samples - (guess >> SHIFT)
+    total = (np.abs(e) * (inside & (at >= ORDER))).sum(axis=1, dtype=np.int64)
+    # What the smaller residual saves, about, against what the coefficients cost.
+    lpc = (n > 4 * ORDER) & (n * np.log2((best_sum + 1) / (total + 1)) > LPC_BITS + 8 * (ORDER - order))
+    order = np.where(lpc, ORDER, order)
+    residual[lpc] = e[lpc]
+    extra = np.where(lpc, LPC_BITS, 0)
     coded = inside & (at >= order[:, None])
     u = np.where(coded, (residual << 1) ^ (residual >> 31), 0).astype(np.int64)
     count = np.maximum(n - order, 1)
@@ -132,11 +166,11 @@ def _encode_frames(samples: np.ndarray, n: np.ndarray, numbers: np.ndarray) -> l
     k = chosen
     q = u >> k[:, None]
     constant = (np.where(inside, samples, samples[:, :1]) == samples[:, :1]).all(axis=1)
-    verbatim = ~constant & ((bits + 10 + 8 * order >= 8 * n) | (q.max(axis=1) > MOST_UNARY))
+    verbatim = ~constant & ((bits + 10 + 8 * order + extra >= 8 * n) | (q.max(axis=1) > MOST_UNARY))
     rice = ~constant & ~verbatim
     heads = [_header(i, m) for i, m in zip(numbers.tolist(), n.tolist(), strict=True)]
     head_n = np.array([len(h) for h in heads])
-    body = np.where(constant, 16, np.where(verbatim, 8 + 8 * n, 8 + 8 * order + 10 + bits))
+    body = np.where(constant, 16, np.where(verbatim, 8 + 8 * n, 8 + 8 * order + extra + 10 + bits))
     size = head_n + (body + 7) // 8 + 2
     ends = np.cumsum(size)
     first = ends - size
@@ -146,7 +180,7 @@ def _encode_frames(samples: np.ndarray, n: np.ndarray, numbers: np.ndarray) -> l
         r = np.flatnonzero(rice)
         begin = (first + head_n)[r] * 8
         o, kk = order[r], k[r]
-        start = begin + 8 + 8 * o
+        start = begin + 8 + 8 * o + extra[r]
         for b in range(4):  # Rice parameter, after coding method 00 and partition order 0000
             stream[start + 6 + b] = kk >> (3 - b) & 1
         code = (u[r] & ((1 << kk) - 1)[:, None]) | (1 << kk)[:, None]
@@ -156,10 +190,17 @@ def _encode_frames(samples: np.ndarray, n: np.ndarray, numbers: np.ndarray) -> l
         code, end = code[used], end[used]
         for b in range(int(kk.max()) + 1):
             stream[end[(code >> b & 1).astype(bool)] - b] = 1
+        own = lpc[r]
+        fields = [(np.full(own.sum(), PRECISION - 1), 4), (np.full(own.sum(), SHIFT), 5), *((weights[r[own], j], PRECISION) for j in range(ORDER))]
+        bit = (begin + 8 + 8 * o)[own]
+        for value, width in fields:
+            for b in range(width):
+                stream[bit + b] = value >> (width - 1 - b) & 1
+            bit = bit + width
         out |= np.packbits(stream)
-        kind = 0x08 | o  # fixed predictor of that order
+        kind = np.where(own, 0x20 | ORDER - 1, 0x08 | o)  # linear prediction, or the fixed predictor of that order
         out[(first + head_n)[r]] = kind << 1
-        for j in range(2):
+        for j in range(ORDER):
             w = r[o > j]
             out[(first + head_n)[w] + 1 + j] = samples[w, j].astype(np.uint8)
     for i in np.flatnonzero(constant).tolist():
@@ -355,13 +396,13 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: np
     odd = (at(0) != 0xFF) | (at(1) != 0xF8) | (at(3) != 0x02) | (n > BLOCK)
     block, rate, lead = at(2) >> 4, at(2) & 15, at(4)
     more = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0], [0, 1, 2], 3)
-    odd |= (lead >= 0xF8) | (rate >= 12) | ~((block == 10) | (block == 7))
+    odd |= (lead >= 0xF8) | (rate >= 12) | ~((block == BLOCK_CODE) | (block == 7))
     head = 5 + more + 2 * (block == 7)
     odd |= ends - starts < head + 5
     crc = np.zeros(lanes, dtype=np.uint8)
     for i in range(10):
         crc = np.where(i < head, CRC8[crc ^ data[np.minimum(starts + i, len(data) - 1)]], crc)
-    size = np.where(block == 10, BLOCK, at(5 + more) * 256 + data[starts + 6 + more] + 1)
+    size = np.where(block == BLOCK_CODE, BLOCK, at(5 + more) * 256 + data[starts + 6 + more] + 1)
     odd |= size != n
     if (crc != data[starts + head])[~odd].any():
         raise FlacError("a frame header's CRC-8 is wrong")
@@ -371,32 +412,48 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: np
     kind = data[starts + head + 1]
     out = np.zeros((lanes, BLOCK), dtype=np.int32)
     constant, verbatim, fixed = ~odd & (kind == 0), ~odd & (kind == 2), ~odd & (kind & 1 == 0) & (kind >> 1 >= 8) & (kind >> 1 <= 12)
-    odd |= ~(constant | verbatim | fixed)
+    linear = ~odd & (kind == (0x20 | ORDER - 1) << 1)
+    odd |= ~(constant | verbatim | fixed | linear)
     body = starts + head + 2
     out[constant] = data[body[constant]].astype(np.int8)[:, None]
     for i in np.flatnonzero(verbatim).tolist():
         out[i, : n[i]] = data[body[i] : body[i] + n[i]].view(np.int8)
-    f = np.flatnonzero(fixed)
+    f = np.flatnonzero(fixed | linear)
     if len(f):
-        order = (kind[f] >> 1).astype(np.int64) - 8
-        warm = np.zeros((len(f), 4), dtype=np.int64)
-        for j in range(4):
+        lpc = linear[f]
+        order = np.where(lpc, ORDER, (kind[f] >> 1).astype(np.int64) - 8)
+        warm = np.zeros((len(f), WARM), dtype=np.int64)
+        for j in range(WARM):
             warm[:, j] = np.where(order > j, data[np.minimum(body[f] + j, len(data) - 1)].astype(np.int8), 0)
-        s = body[f] + order
-        first = data[s].astype(np.int64) << 8 | data[s + 1]
-        k = first >> 6 & 15
-        plain = (first >> 10 == 0) & (k < 15)  # Rice codes in one partition
+
+        def field(bit: np.ndarray, width: int) -> np.ndarray:
+            """width bits (16 at most) from each bit on."""
+            at, word = bit >> 3, np.zeros(len(bit), dtype=np.int64)
+            for j in range(3):
+                word = word << 8 | data[np.minimum(at + j, len(data) - 1)]
+            return word >> (24 - width - (bit & 7)) & ((1 << width) - 1)
+
+        s = (body[f] + order) * 8
+        weights = np.zeros((len(f), ORDER), dtype=np.int64)
+        for j in range(ORDER):
+            w = field(s + 9 + j * PRECISION, PRECISION)
+            weights[:, j] = w - (w >> (PRECISION - 1) << PRECISION)
+        own = ~lpc | ((field(s, 4) == PRECISION - 1) & (field(s + 4, 5) == SHIFT))
+        s = s + np.where(lpc, LPC_BITS, 0)
+        first = field(s, 10)
+        k = first & 15
+        plain = (first >> 4 == 0) & (k < 15) & own  # Rice codes in one partition
         odd[f[~plain]] = True
-        f, order, warm, s, k = f[plain], order[plain], warm[plain], s[plain], k[plain]
+        f, order, warm, s, k, lpc, weights = (x[plain] for x in (f, order, warm, s, k, lpc, weights))
     if len(f):
         by = np.argsort(-n[f], kind="stable")
-        f, order, warm, s, k = f[by], order[by], warm[by], s[by], k[by]
-        lo = int(s.min())
+        f, order, warm, s, k, lpc, weights = (x[by] for x in (f, order, warm, s, k, lpc, weights))
+        lo = int(s.min()) >> 3
         padded = np.concatenate([data[lo : int(ends[f].max())], np.zeros(16, np.uint8)])
         words = np.zeros(len(padded) - 8, dtype=np.uint64)  # the 64 bits from each byte on
         for j in range(8):
             words |= padded[j : len(padded) - 8 + j].astype(np.uint64) << np.uint64(56 - 8 * j)
-        bit = (s - lo) * 8 + 10
+        bit = s - lo * 8 + 10
         e = np.zeros((BLOCK, len(f)), dtype=np.int64)
         long = np.zeros(len(f), dtype=bool)
         last = len(words) - 1
@@ -416,7 +473,7 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: np
             qu = q.astype(np.uint64)
             v = (q << k[:m]) | ((x << (qu + one)) >> one >> rest[:m]).astype(np.int64)
             r = (v >> 1) ^ -(v & 1)
-            if t < 4:
+            if t < WARM:
                 on = order[:m] <= t
                 e[t, :m] = np.where(on, r, 0)
                 bit[:m] += np.where(on, q + 1 + k[:m], 0)
@@ -425,7 +482,7 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: np
                 bit[:m] += q + 1 + k[:m]
         # The samples are the order-th running sum of the residual; the warm-up's own differences start it.
         for o in range(int(order.max()) + 1):
-            lane = order == o
+            lane = (order == o) & ~lpc
             part = e[:, lane]
             w = warm[lane].T.copy()
             for j in range(o):
@@ -436,6 +493,12 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: np
             for _ in range(o):
                 part = np.cumsum(part, axis=0)
             out[f[lane]] = part.T
+        if lpc.any():
+            part, w = e[:, lpc], weights[lpc].T
+            part[:ORDER] = warm[lpc, :ORDER].T
+            for t in range(ORDER, int(n[f[lpc]].max())):
+                part[t] += (w * part[t - ORDER : t][::-1]).sum(axis=0) >> SHIFT
+            out[f[lpc]] = part.T
         odd[f[long]] = True
     return out, odd
 
