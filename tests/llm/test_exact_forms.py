@@ -292,6 +292,8 @@ def test_flac_round_trip_and_damage():
     for s, p in zip(streams, pcm, strict=True):
         assert flac.read_samples(s, 0, len(p) if len(p) < 9000 else 2000)[0] == p[: len(p) if len(p) < 9000 else 2000].tolist()
         assert flac.read_samples(s, len(p) - 50, 50)[0] == p[-50:].tolist()
+    kinds = {s[flac.Info(s).first + 6] >> 1 for s in streams if flac.Info(s).samples >= flac.BLOCK}
+    assert 0x20 | flac.ORDER - 1 in kinds and len(kinds) > 2  # linear prediction, and others
     for at in (-1, -40, flac.Info(streams[3]).first + 2):
         broken = bytearray(streams[3])
         broken[at] ^= 4
@@ -313,7 +315,7 @@ def test_media_digests_equal_plain_hashes(spark):
     stored = media.write_media(documents(spark, texts))
     blocks = media.read_blocks(stored).where("doc_id = 4").orderBy("block").collect()
     assert media.from_pcm(np.frombuffer(b"".join(b["pcm"] for b in blocks), np.int8)).rstrip(b"\0") == ("long text " * 30000).encode()
-    assert [b["first_sample"] for b in blocks] == [1024 * b["block"] for b in blocks]
+    assert [b["first_sample"] for b in blocks] == [flac.BLOCK * b["block"] for b in blocks]
     assert media.digests(documents(spark, [])).count() == 0
 
 

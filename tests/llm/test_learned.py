@@ -78,21 +78,56 @@ def test_language_model_without_training(spark):
     assert lm_mix.score(docs.limit(0), F.lit(True), table_bits=8).count() == 0
 
 
+def maximal_segments(scores):
+    """By the definition: the best segment (the shortest, then first), then the same left and right of it."""
+    n = len(scores)
+    best = max(((sum(scores[a:b]), -(b - a), -a) for a in range(n) for b in range(a + 1, n + 1)), default=(0, 0, 0))
+    if best[0] <= 1e-12:
+        return []
+    a, b = -best[2], -best[2] - best[1]
+    return maximal_segments(scores[:a]) + [(a, b - 1)] + [(x + b, y + b) for x, y in maximal_segments(scores[b:])]
+
+
 def test_segments_equal_brute_force():
-    """Ruzzo-Tompa: the best segment is the maximum over all; segments don't touch and are positive."""
     rnd = random.Random(5)
-    for _ in range(200):
-        n = rnd.randrange(1, 40)
-        gains = [rnd.choice([0.0, 0.0, 0.0, 0.5, 2.0, 4.0]) for _ in range(n)]
-        at = [i for i, g in enumerate(gains) if g > toxicity.DRIFT]
-        got = toxicity.segments([gains[i] for i in at], at)
-        scores = [g - toxicity.DRIFT for g in gains]
-        best = max((sum(scores[a:b]) for a in range(n) for b in range(a + 1, n + 1)), default=0)
-        assert max((s for s, _, _ in got), default=0) == pytest.approx(max(best, 0), abs=1e-9)
-        for s, a, b in got:
-            assert s == pytest.approx(sum(scores[a : b + 1])) and s > 0
-        spans = sorted((a, b) for _, a, b in got)
-        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+    for _ in range(150):
+        scores = [rnd.choice([-3.0, -1.0, -0.15, -0.15, 0.35, 2.0, 3.85]) + rnd.random() / 1000 for _ in range(rnd.randrange(1, 26))]
+        got = toxicity.segments(np.array(scores))
+        assert [(a, b) for _, a, b in got] == maximal_segments(scores)
+        assert all(s == pytest.approx(sum(scores[a : b + 1])) and s > 0 for s, a, b in got)
+    assert toxicity.segments(np.zeros(0)) == []
+
+
+def test_repeats_are_damped_nearby_only():
+    log_odds = toxicity._Scores({"bad": 3.0, "mild": -1.0})
+    tokens = ["bad"] * 4 + ["x"] * 100 + ["bad", "mild"]
+    want = [3.0, 1.5, 1.0, 0.75] + [0.0] * 100 + [3.0, -1.0]
+    assert toxicity.token_scores(tokens, log_odds) == pytest.approx(np.array(want) - toxicity.DRIFT)
+
+
+def test_hierarchy_equals_its_formula():
+    """Log-odds under the priors by hand, and that pruning changes no word's score by more than its bound."""
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 9))) for _ in range(60)]
+    counts = {}
+    for w in words:
+        for f in toxicity.features(w):
+            t, c = counts.get(f, (0, 0))
+            counts[f] = (t + rnd.randrange(4), c + rnd.randrange(6))
+    base = 100 / 300
+
+    def rate(name):
+        stem = name.rstrip("*")
+        lower = [p for p in toxicity.PREFIXES if p < len(stem)]
+        prior = rate(f"{stem[: lower[-1]]}*") if lower else base
+        t, c = counts[name]
+        return (t + 5 * prior) / (t + c + 5)
+
+    odds = toxicity.hierarchy(counts, 100, 200, 5.0)
+    for f in counts:
+        assert odds[f] == pytest.approx(math.log(rate(f) / (1 - rate(f))) - math.log(0.5))
+    whole, few = toxicity._Scores(odds), toxicity._Scores(toxicity.pruned(odds))
+    assert all(abs(whole[w] - few[w]) <= toxicity.SAME for w in words)
 
 
 def labelled(seed=2, n=600):
@@ -122,6 +157,18 @@ def test_toxicity_finds_held_out_documents(spark):
     assert got[1]["score"] == got[2]["score"] < 0.5 and all(0 <= r["score"] <= 1 for r in got.values()) and got[None]["score"] > 0.5
     found = toxicity.passages(extra, model).where("doc_id = 3").collect()
     assert [(r["first_token"], r["last_token"]) for r in found] == [(20000, 20002)] and found[0]["p_value"] < 0.05
+    # Equal passages at both ends, one behind scattered words of its kind, and one behind a repeated line.
+    plain = [t for _, t, *_ in docs[1:5]]
+    words = " ".join(plain).split()[:200]
+    scattered = " ".join(w + (" idiot" if i % 150 == 75 else "") for i, w in enumerate(words * 6))
+    texts = {10: "idiot scum moron " + " ".join(words) + " idiot scum moron", 11: scattered + " idiot scum moron", 12: ("one line of text again " * 300) + "idiot scum moron"}
+    spans = {}
+    for r in toxicity.passages(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA), model).collect():
+        spans.setdefault(r["doc_id"], []).append((r["first_token"], r["last_token"]))
+    for i, t in texts.items():
+        n = len(t.split())
+        assert any(a <= n - 3 and b == n - 1 and b - a < 8 for a, b in spans[i]), i
+    assert any(a == 0 and 2 <= b < 8 for a, b in spans[10]) and len(spans[10]) == 2
     kept = toxicity.drop_toxic(df.withColumn("score", F.lit(1)), lf)
     assert kept.columns == [*df.columns, "score"] and 480 <= kept.count() <= 520
 

@@ -1,11 +1,13 @@
 """Toxic passages by maximum-scoring segment search.
 
-Tokens score by log-odds of appearing in toxic against clean documents; a token that a
-document repeats counts where it comes first. The rates are
-shrunk by Dirichlet priors in a hierarchy: a token's prior is the posterior of its
-first six letters, theirs that of the first five, four and three, and at last the rate
-of all tokens, so that unseen words of a known stem score too. Every token also pays a
-small drift. A linear scan finds all maximal scoring segments (Ruzzo and Tompa). By
+Every token scores by its log-odds of appearing in toxic against clean documents. The
+rates are shrunk by Dirichlet priors in a hierarchy: a token's prior is the posterior of
+its first six letters, theirs that of the first five, four and three, and at last the
+rate of all documents, so that a rare or unseen word scores as its stem, and a word of
+no stem 0. Every token also pays a small drift. A token that stands among the last
+NEARBY ones already is damped: what it gains is divided by how often it stands there, so
+that a line which a text repeats is no passage, while every passage counts wherever it
+lies. A linear scan finds all maximal scoring segments (Ruzzo and Tompa). By
 extreme-value theory the best segment of a clean document of n tokens has a Gumbel
 distribution with location ln(K n) / lambda; K and lambda are fitted on clean documents
 that the log-odds did not see, and a segment's excess over that location says how
@@ -13,12 +15,14 @@ significant it is. The excesses of a document's segments are combined by a logis
 fit on the same held-back documents.
 
 The fit uses at most MAX_TOXIC and MAX_CLEAN labelled documents, the first by a hash of
-their ids; only the text is an input of a score. The model is bounded by MAX_FEATURES.
+their ids; that bounds the model too. Only the text is an input of a score. A word in
+fewer than LEAST of these documents has no rate of its own.
 
 Defined cases: a null or empty text has no segment and gets the score of an empty
 document; labels that contradict each other count as toxic; without labels of both
 kinds every score is 0; repeated rows give repeated results; an empty table gives an
-empty result. A text of any length is scanned whole, in linear time.
+empty result; other columns are not read, and kept as they are by drop_toxic. A text of
+any length is scanned whole, in linear time.
 """
 
 from __future__ import annotations
@@ -37,12 +41,14 @@ from pyspark.sql import functions as F
 from wavetally.llm.common import stash
 
 MAX_TOXIC, MAX_CLEAN = 15_000, 30_000
-MAX_FEATURES = 200_000
-#: Least toxic documents that a feature must appear in, least log-likelihood ratio of its rate
-#: against the overall one (so many features are tried that chance reaches less), and pseudo-counts of a prior.
-LEAST, EVIDENCE, STRENGTH = 3, 9.0, 4.0
+#: Least documents that a feature must appear in, and pseudo-documents of a prior.
+LEAST, STRENGTH = 5, 30.0
+#: Log-odds that differ less from those of the feature above are the same.
+SAME = 0.02
 DRIFT = 0.15
 PREFIXES = (3, 4, 5, 6)
+#: Tokens within which repeats are damped.
+NEARBY = 64
 #: A third of the labelled documents fits the calibration, the others the log-odds.
 PARTS = 3
 #: Most tokens whose scores a worker remembers.
@@ -51,6 +57,7 @@ REMEMBERED = 400_000
 SIGNIFICANT = 3.0
 
 SCORED = "doc_id bigint, score double, n_segments int"
+MEASURED = "label int, n bigint, best double, total double"
 PASSAGES = "doc_id bigint, first_token int, last_token int, score double, p_value double"
 
 
@@ -94,15 +101,13 @@ class _Scores(dict):
         return found
 
 
-def segments(gains: list[float], at: list[int], drift: float = DRIFT) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first, last token): token at[i] scores gains[i] - drift,
-    every other one -drift. at rises; gains are over drift."""
-    out: list[list] = []  # left sum, right sum, first, last
-    total, before = 0.0, 0
-    for g, i in zip(gains, at, strict=True):
-        total -= drift * (i - before)
-        left, right, first = total, total + g - drift, i
-        total, before = right, i + 1
+def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
+    """All maximal scoring segments (score, first, last token) of a text's token scores."""
+    at = np.flatnonzero(scores > 0)
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    out: list[list] = []  # sum before, sum behind, first, last
+    for i, left, right in zip(at.tolist(), sums[at].tolist(), sums[at + 1].tolist(), strict=True):
+        first = i
         while True:
             j = len(out) - 1
             while j >= 0 and out[j][0] >= left:
@@ -112,16 +117,29 @@ def segments(gains: list[float], at: list[int], drift: float = DRIFT) -> list[tu
                 break
             left, first = out[j][0], out[j][2]
             del out[j:]
-    return [(r - a, s, e) for a, r, s, e in out]
-
-
-def found(text: str | None, scores: dict) -> tuple[int, list[tuple[float, int, int]]]:
+    return [(right - left, first, last) for left, right, first, last in out]
+
+
+def token_scores(tokens: list[str], log_odds: dict) -> np.ndarray:
+    """Log-odds less the drift of every token; what a token gains is divided by how often it stands among the last NEARBY."""
+    scores = np.fromiter(map(log_odds.__getitem__, tokens), np.float64, len(tokens))
+    places: dict[str, list[int]] = {}
+    for i in np.flatnonzero(scores > DRIFT).tolist():
+        own = places.get(tokens[i])
+        if own is None:
+            places[tokens[i]] = [i]
+            continue
+        while own and own[0] <= i - NEARBY:
+            own.pop(0)
+        own.append(i)
+        scores[i] /= len(own)
+    return scores - DRIFT
+
+
+def found(text: str | None, log_odds: dict) -> tuple[int, list[tuple[float, int, int]]]:
     """The number of tokens and the maximal segments of a text."""
     tokens = (text or "").lower().split()
-    gains = np.fromiter(map(scores.__getitem__, tokens), np.float64, len(tokens))
-    seen: set[str] = set()
-    at = [i for i in np.flatnonzero(gains > DRIFT).tolist() if not (tokens[i] in seen or seen.add(tokens[i]))]
-    return len(tokens), segments(gains[at].tolist(), at)
+    return len(tokens), segments(token_scores(tokens, log_odds))
 
 
 def _inputs(n: int, own: list, rate: float, log_k: float) -> tuple[float, float]:
@@ -165,30 +183,48 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _measured(batches: Iterator[pa.RecordBatch], log_odds) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch], log_odds, rate: float | None = None, log_k: float = 0.0) -> Iterator[pa.RecordBatch]:
+    """Of each document the label, its tokens and its best segment; with a rate, the inputs of the last fit instead."""
     scores = _Scores(log_odds.value)
     for batch in batches:
-        rows = [(label, *found(text.as_py(), scores)) for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-        columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([[s for s, _, _ in r[2]] for r in rows], pa.list_(pa.float64()))]
-        yield pa.record_batch(columns, names=["label", "n", "scores"])
+        rows = []
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            n, own = found(text.as_py(), scores)
+            rows.append((label, n, max((s for s, _, _ in own), default=0.0), 0.0) if rate is None else (label, n, *_inputs(n, own, rate, log_k)))
+        kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64())
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["label", "n", "best", "total"])
 
 
 def hierarchy(counts: dict[str, tuple[int, int]], toxic: int, clean_: int, strength: float = STRENGTH) -> dict[str, float]:
-    """Log-odds of each feature against the overall rate; counts: documents (toxic, clean)."""
+    """Log-odds of each feature against the overall rate, but those of the feature above it; counts: documents (toxic, clean)."""
     base = toxic / (toxic + clean_)
     share: dict[str, float] = {}
+    logit = lambda p: math.log(p / (1 - p))
+    odds: dict[str, float] = {}
+    for f in sorted(counts, key=lambda f: (len(f.rstrip("*")), not f.endswith("*"))):
+        above = next((p for p in reversed(above_of(f)) if p in share), None)
+        prior = share[above] if above else base
+        t, c = counts[f]
+        share[f] = (t + strength * prior) / (t + c + strength)
+        odds[f] = logit(share[f]) - logit(base)
+    return odds
 
-    def posterior(f: str) -> float:
-        if f not in share:
-            stem = f[:-1] if f.endswith("*") else f
-            up = [p for p in PREFIXES if p < len(stem)]
-            prior = posterior(f"{stem[: up[-1]]}*") if up else base
-            t, c = counts.get(f, (0, 0))
-            share[f] = (t + strength * prior) / (t + c + strength) if t + c else prior
-        return share[f]
 
-    logit = lambda p: math.log(p / (1 - p))
-    return {f: logit(posterior(f)) - logit(base) for f in counts}
+def above_of(feature: str) -> list[str]:
+    """The stems over a feature, the shortest first."""
+    stem = feature[:-1] if feature.endswith("*") else feature
+    return [f"{stem[:p]}*" for p in PREFIXES if p < len(stem)]
+
+
+def pruned(odds: dict[str, float], same: float = SAME) -> dict[str, float]:
+    """Without the features that score as the one over them that stays does."""
+    kept: dict[str, float] = {}
+    for f in sorted(odds, key=lambda f: (len(f.rstrip("*")), not f.endswith("*"))):
+        above = next((kept[p] for p in reversed(above_of(f)) if p in kept), 0.0)
+        if abs(odds[f] - above) >= same:
+            kept[f] = odds[f]
+    return kept
 
 
 def _gumbel(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -226,22 +262,18 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     if not totals.get(1) or not totals.get(0):
         return Model()
     fit = held.where("part > 0").select("toxic", "text").mapInArrow(_counted, "feature string, toxic bigint, clean bigint")
-    kept = fit.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") >= LEAST)
-    base = totals[1] / (totals[0] + totals[1])
-    n, t, c = F.col("t") + F.col("c"), F.col("t"), F.col("c")
-    gain = t * F.log(t / (n * base)) + F.when(c > 0, c * F.log(c / (n * (1 - base)))).otherwise(0.0)
-    rows = kept.withColumn("gain", gain).where((F.col("gain") >= EVIDENCE) & (t > n * base)).orderBy(F.desc("gain"), "feature").limit(MAX_FEATURES).collect()
-    log_odds = hierarchy({r["feature"]: (r["t"], r["c"]) for r in rows}, totals[1], totals[0])
-    log_odds = {f: v for f, v in log_odds.items() if v > DRIFT}
+    kept = fit.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") + F.col("c") >= LEAST)
+    # The sample's size bounds how many features that many of its documents share.
+    log_odds = pruned(hierarchy({r["feature"]: (r["t"], r["c"]) for r in kept.collect()}, totals[1], totals[0]))
     shared = spark.sparkContext.broadcast(log_odds)
-    measured = held.where("part = 0").select("toxic", "text").mapInArrow(partial(_measured, log_odds=shared), "label int, n bigint, scores array<double>")
-    seen = measured.collect()  # a third of the bounded sample
+    measure = lambda **how: held.where("part = 0").select("toxic", "text").mapInArrow(partial(_measured, log_odds=shared, **how), MEASURED).collect()
+    seen = measure()  # a row of numbers for each document of a third of the sample
     quiet = [r for r in seen if r["label"] == 0]
     if not quiet or len(quiet) == len(seen):
         return Model(log_odds)
-    rate, log_k = _gumbel(np.array([max(r["scores"], default=0.0) for r in quiet]), np.array([r["n"] for r in quiet]))
-    x = np.array([(1.0, *_inputs(r["n"], [(s, 0, 0) for s in r["scores"]], rate, log_k)) for r in seen])
-    w = _logistic(x, np.array([float(r["label"]) for r in seen]))
+    rate, log_k = _gumbel(np.array([r["best"] for r in quiet]), np.array([r["n"] for r in quiet]))
+    seen = measure(rate=rate, log_k=log_k)
+    w = _logistic(np.array([(1.0, r["best"], r["total"]) for r in seen]), np.array([float(r["label"]) for r in seen]))
     # The sample may hold another share of toxic documents than the labels do.
     all_of = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     taken = {1: min(max_toxic, all_of.get(1, 0)), 0: min(max_clean, all_of.get(0, 0))}
