@@ -148,4 +148,4 @@ def read_digests(media: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """Each document written as a stream to the shared folder, read back from there block by block, and described."""
-    return read_digests(stash(write_media(docs)))
+    return read_digests(stash(write_media(docs), "zstd"))
