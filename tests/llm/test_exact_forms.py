@@ -143,12 +143,26 @@ def test_near_copies_equal_brute_force(spark):
     assert near_copies.keep_one(documents(spark, [])).count() == 0
 
 
-def test_near_copies_in_rounds(spark):
-    """Copies whose first offers fail: rounds go on until each pair was verified or lies in one component."""
+@pytest.mark.parametrize("block", [2048, 7])
+def test_near_copies_in_blocks(spark, block):
+    """A chain of edits and texts that share a part: all pairs are compared, in one block or many."""
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base[:40] + [f"x{k}y{i}" for i in range(4)]) for k in range(12)] + [" ".join([*base[:40], f"z{k}"]) for k in range(12)]
-    kept = near_copies.keep_one(documents(spark, texts), recall=0.999).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(set(near_copy_groups(texts)))
+    texts += [" ".join([f"c{max(0, i - k)}d{i}" for i in range(50)]) for k in range(0, 30)]
+    rows = documents(spark, texts).select(F.col("doc_id").alias("id"), "text")
+    links = near_copies.similar_links(rows, recall=0.999, block=block)
+    roots = {r["node"]: r["root"] for r in components.components(links).collect()}
+    assert [roots.get(i, i) for i in range(len(texts))] == near_copy_groups(texts)
+
+
+def test_forest_of_large_groups_equals_that_of_small_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (6, 2), dtype=np.uint64)
+    check = np.array([[int(w) ^ sum(1 << int(b) for b in set(rng.integers(0, 64, 7).tolist())) for w in base[rng.integers(0, 6)]] for _ in range(300)], dtype=np.uint64)
+    key = np.sort(rng.integers(0, 9, 300))
+    want = near_copies._forest(key, check, 20)
+    monkeypatch.setattr(near_copies, "SMALL", 1)
+    assert near_copies._forest(key, check, 20).tolist() == want.tolist() and len(set(want.tolist())) < 300
 
 
 def test_layout_grows_with_the_rows():

@@ -3,19 +3,18 @@
 Two documents are near copies when their sets of SHINGLE-word shingles have a Jaccard
 similarity of SIMILARITY or more. A 64-bit fingerprint can't tell that (at 0.8 its
 bits differ with probability 0.15), so fingerprints are as wide as it takes: they hold
-a number of segments, and 64 bits beside them. In each segment a document is stored
+a number of segments, and 128 bits beside them. In each segment a document is stored
 under its value and all values within one bit, so that what differs there by up to two
 bits meets under a key; there are as many segments as bring a pair of the least
-similarity together with probability RECALL. What meets is compared by the other 64
-bits, then by the distance of long fingerprints, and what stays is verified exactly,
-by the shingles of whole texts.
+similarity together with probability RECALL. Rows are dealt out by a segment's first
+BUCKET_BITS bits; the ball over its other bits is enumerated where they arrive.
 
-Rows are dealt out by a segment's first BUCKET_BITS bits; the ball over its other bits
-is enumerated where they arrive. Links are verified in rounds: first the nearest partner
-of each document, then, between the components so far, ever more, until no pair is
-left out. So a dense group of copies costs about its size, and no pair that meets
-between two of the final components goes unverified. A worker holds one key's group:
-some 180 bytes a document.
+What meets is compared by the other 128 bits, and each key's likely links are passed on
+as a spanning forest, never as all pairs. The components of these make clusters, within
+which all pairs are compared: by long fingerprints, then exactly, by the shingles of
+whole texts, the nearest first and only while the two lie in different components. A
+cluster of more than BLOCK documents is dealt out in pairs of blocks, so that a task
+holds two blocks of it at most; under one key a task holds 32 bytes a document.
 
 Defined cases: null texts count as empty; fewer words than a shingle make one shingle,
 so texts without words are copies of each other; a text of any length is read whole;
@@ -35,20 +34,19 @@ from pyspark.sql import functions as F
 
 from wavetally.llm.common import keyed, stash
 from wavetally.llm.components import components
-from wavetally.llm.simhash import whole_groups
+from wavetally.llm.simhash import spanning, whole_groups
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.95
 #: Bits of a segment, while no more documents than 2 ** MANY_BITS share its values, and those that deal rows out.
 SEGMENT_BITS, MANY_BITS, BUCKET_BITS = 22, 26, 8
-#: Words of the long fingerprint, by which what has met is told apart before texts are compared.
-LONG = 16
-#: Each round offers a document so many times as many partners as the one before, its nearest of so many that it looks at.
-FAN, LOOK = 4, 8
+#: Words of the long fingerprint, documents of a block, and pairs that are verified before the rest is looked at again.
+LONG, BLOCK, TURN = 16, 2048, 2048
+#: Rows of a key up to which all pairs are compared at once.
+SMALL = 64
 
-FOUND = "id bigint, check bigint, keys array<struct<bucket: bigint, value: bigint, own: boolean>>"
-LIVE = "key bigint, node bigint, check bigint"
-DESCRIBED = "node bigint, size bigint, long binary, shingles array<bigint>"
-OFFERS = "u bigint, v bigint, far bigint, more boolean"
+FOUND = "id bigint, check struct<a: bigint, b: bigint>, keys array<struct<bucket: bigint, value: bigint, own: boolean>>"
+LINKS = "u bigint, v bigint"
+DESCRIBED = "node bigint, long binary, shingles array<bigint>"
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -102,7 +100,7 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
 
 def _printed(batches: Iterator[pa.RecordBatch], bits: int, segments: int, shingle: int) -> Iterator[pa.RecordBatch]:
     """id, check and, for each segment, the buckets to which a row goes."""
-    words = -(-(64 + bits * segments) // 64)
+    words = -(-(128 + bits * segments) // 64)
     weights = 1 << np.arange(bits, dtype=np.int64)
     rest = bits - BUCKET_BITS
     flips = np.concatenate([[0], 1 << np.arange(rest, bits, dtype=np.int64)])
@@ -111,130 +109,148 @@ def _printed(batches: Iterator[pa.RecordBatch], bits: int, segments: int, shingl
         found = np.empty((n, words * 64), dtype=np.uint8)
         for i, text in enumerate(batch.column(1)):
             found[i] = wide_fingerprint(shingle_hashes(text.as_py(), shingle), words)
-        check = np.packbits(found[:, :64], axis=1).view(np.int64).ravel()
-        values = found[:, 64 : 64 + bits * segments].reshape(n, segments, bits).astype(np.int64) @ weights
+        check = np.packbits(found[:, :128], axis=1).view(np.int64).reshape(n, 2)
+        values = found[:, 128 : 128 + bits * segments].reshape(n, segments, bits).astype(np.int64) @ weights
         flipped = values[:, :, None] ^ flips
         bucket = (np.arange(segments)[None, :, None] << BUCKET_BITS) + (flipped >> rest)
         per = segments * len(flips)
         own = np.broadcast_to(flips == 0, (n, segments, len(flips)))
         keys = pa.StructArray.from_arrays([pa.array(bucket.ravel()), pa.array(flipped.ravel()), pa.array(own.ravel())], names=["bucket", "value", "own"])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * per + 1, per, dtype=np.int32)), keys)
-        yield pa.record_batch([batch.column(0), pa.array(check), lists], names=["id", "check", "keys"])
-
-
-def _partner(order: np.ndarray, check: np.ndarray, near: int) -> np.ndarray:
-    """Which rows have a later row of the same group (value of order) that their check bits are near to."""
-    found = np.zeros(len(order), dtype=bool)
-    at, d = np.arange(len(order) - 1), 1
+        checks = pa.StructArray.from_arrays([pa.array(check[:, 0].copy()), pa.array(check[:, 1].copy())], names=["a", "b"])
+        yield pa.record_batch([batch.column(0), checks, lists], names=["id", "check", "keys"])
+
+
+def _forest(key: np.ndarray, check: np.ndarray, near: int) -> np.ndarray:
+    """For each row (in order of key) the first row that it reaches within its key over rows near to each other."""
+    n = len(key)
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[cut, n])
+    label = np.arange(n)
+    small = np.repeat(size <= SMALL, size)
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    at, d = np.flatnonzero(small), 1
     while len(at):
-        at = at[at + d < len(order)]
-        at = at[order[at] == order[at + d]]
-        hit = np.bitwise_count(check[at] ^ check[at + d]) <= near
-        found[at[hit]] = True
-        at, d = at[~hit], d + 1
-    return found
-
-
-def _living(batches: Iterator[pa.RecordBatch], bits: int, near: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, value, own, node, check) in order of bucket to the keys under which they meet something near."""
+        at = at[at + d < n]
+        at = at[key[at] == key[at + d]]
+        hit = at[np.bitwise_count(check[at] ^ check[at + d]).sum(axis=1, dtype=np.int64) <= near]
+        links.append((hit, hit + d))
+        d += 1
+    if links:
+        left, right = (np.concatenate(x) for x in zip(*links, strict=True))
+        nodes, back = np.unique(np.concatenate([left, right]), return_inverse=True)
+        label[nodes] = nodes[spanning(back[: len(left)], back[len(left) :], len(nodes))]
+    for a, m in zip(cut[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        rest = np.arange(a, a + m)
+        while len(rest):
+            seed, rest = rest[0], rest[1:]
+            front = [seed]
+            while front and len(rest):  # what is reached leaves the comparison
+                close = np.bitwise_count(check[rest] ^ check[front.pop()]).sum(axis=1, dtype=np.int64) <= near
+                got, rest = rest[close], rest[~close]
+                label[got] = seed
+                front += got.tolist()
+    return label
+
+
+def _likely(batches: Iterator[pa.RecordBatch], bits: int, near: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, value, own, node, a, b) in order of bucket to links of what meets under a key and is near."""
     flips = np.concatenate([[0], 1 << np.arange(bits - BUCKET_BITS, dtype=np.int64)])
-    for bucket, value, own, node, check in whole_groups(batches):
+    for bucket, value, own, node, *check in whole_groups(batches):
         own = own.astype(bool)
         key = (bucket >> BUCKET_BITS << bits) + value  # the value's own first bits are those of the bucket
         key = np.concatenate([(key[own][:, None] ^ flips).ravel(), key[~own]])
         row = np.concatenate([np.repeat(np.flatnonzero(own), len(flips)), np.flatnonzero(~own)])
+        # Keys of one row need no look.
         turn = np.argsort(key, kind="stable")
         key, row = key[turn], row[turn]
-        checks = check[row].view(np.uint64)
-        live = _partner(key, checks, near) | _partner(key[::-1], checks[::-1], near)[::-1]
-        row = row[live]
-        yield pa.record_batch([pa.array(key[live]), pa.array(node[row]), pa.array(check[row])], names=["key", "node", "check"])
+        same = key[1:] == key[:-1]
+        several = np.r_[same, False] | np.r_[False, same]
+        key, row = key[several], row[several]
+        turn = np.lexsort((node[row], key))
+        key, row = key[turn], row[turn]
+        label = _forest(key, np.stack([c[row] for c in check], axis=1).view(np.uint64), near) if len(key) else key
+        pairs = np.stack([node[row], node[row[label]]], axis=1)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
 
 
 def _described(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """A text's set of shingles, its size and its long fingerprint."""
+    """A text's set of shingles and its long fingerprint."""
     for batch in batches:
         hashes = [shingle_hashes(text.as_py(), shingle) for text in batch.column(1)]
-        sizes = np.array([len(h) for h in hashes], dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
         values = np.concatenate([h[:, 0] for h in hashes]).view(np.int64) if hashes else np.zeros(0, np.int64)
         longs = [np.packbits(wide_fingerprint(h, LONG)).tobytes() for h in hashes]
-        yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(longs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "size", "long", "shingles"])
-
-
-def _offered(batches: Iterator[pa.RecordBatch], best: int, near: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, comp, node, size, long) in this order to pairs of different components that may be similar:
-    for each row the nearest ones of those that it looks at; more: whether there may be others."""
-    for key, comp, node, size, long in whole_groups(batches):
-        n = len(key)
-        prints = np.frombuffer(b"".join(long), dtype=np.uint64).reshape(n, LONG)
-        edge = np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (comp[1:] != comp[:-1]), True]) + 1
-        at = np.arange(n)
-        to, looked = edge[np.searchsorted(edge, at, "right")], np.zeros(n, dtype=np.int64)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        ended = np.zeros(n, dtype=bool)
-        while len(at):
-            inside = to < n
-            at, to = at[inside], to[inside]
-            inside = key[at] == key[to]
-            at, to = at[inside], to[inside]
-            like = np.minimum(size[at], size[to]) >= similarity * np.maximum(size[at], size[to])
-            left, right = at[like], to[like]
-            far = np.bitwise_count(prints[left] ^ prints[right]).sum(axis=1, dtype=np.int64)
-            hit = far <= near
-            found.append((left[hit], right[hit], far[hit]))
-            looked[left[hit]] += 1
-            stop = looked[at] >= LOOK * best
-            ended[at[stop]] = True
-            at, to = at[~stop], to[~stop] + 1
-        left, right, far = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        # Both rows of a pair have it among theirs.
-        one, two, far = np.r_[left, right], np.r_[right, left], np.r_[far, far]
-        turn = np.lexsort((node[two], far, one))
-        one, two, far = one[turn], two[turn], far[turn]
-        first = np.searchsorted(one, one, "left")
-        kept = np.arange(len(one)) - first < best
-        more = ended | (np.bincount(one, minlength=n) > best)
-        yield pa.record_batch([pa.array(node[one[kept]]), pa.array(node[two[kept]]), pa.array(far[kept]), pa.array(more[one[kept]])], names=["u", "v", "far", "more"])
-
-
-def similar_links(texts: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame | None:
+        yield pa.record_batch([batch.column(0), pa.array(longs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "long", "shingles"])
+
+
+def verified(nodes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], near: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of similarity or more that span the components of all such pairs of a group."""
+    n, size = len(nodes), np.array([len(s) for s in sets])
+    pairs = []
+    for i in range(n - 1):
+        far = np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(axis=1, dtype=np.int64)
+        hit = (far <= near) & (np.minimum(size[i], size[i + 1 :]) >= similarity * np.maximum(size[i], size[i + 1 :]))
+        j = np.flatnonzero(hit)
+        pairs.append(np.stack([np.full(len(j), i), j + i + 1, far[j]]).astype(np.int32))
+    left, right, far = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int32)
+    turn = np.argsort(far, kind="stable")
+    left, right, label, out = left[turn], right[turn], np.arange(n), []
+    while len(left):
+        for i, j in zip(left[:TURN].tolist(), right[:TURN].tolist(), strict=True):
+            if label[i] == label[j]:
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= similarity * (size[i] + size[j] - common):
+                out.append((int(nodes[i]), int(nodes[j])))
+                label[label == label[j]] = label[i]
+        open_ = label[left[TURN:]] != label[right[TURN:]]
+        left, right = left[TURN:][open_], right[TURN:][open_]
+    return out
+
+
+def _verified(batches: Iterator[pa.RecordBatch], near: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Groups (group, node, long, shingles) in order of group to their links."""
+    held: list[tuple] = []
+    now = None
+
+    def out() -> pa.RecordBatch:
+        prints = np.frombuffer(b"".join(r[1] for r in held), dtype=np.uint64).reshape(len(held), LONG)
+        links = verified(np.array([r[0] for r in held]), prints, [r[2] for r in held], near, similarity)
+        return pa.record_batch([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], names=["u", "v"])
+
+    for batch in batches:
+        sets = batch.column(3)
+        values, starts = sets.values.to_numpy(), sets.offsets.to_numpy()
+        for i, (group, node, long) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            if held and group != now:
+                yield out()
+                held.clear()
+            now = group
+            held.append((node, long, values[starts[i] : starts[i + 1]].copy()))
+    if held:
+        yield out()
+
+
+def similar_links(texts: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame | None:
     """u, v: verified links of rows (columns id, text) that give the components of all; None if nothing meets."""
     bits, segments = layout(texts.count(), similarity, recall)
     prints = texts.select("id", "text").mapInArrow(partial(_printed, bits=bits, segments=segments, shingle=shingle), FOUND)
-    rows = prints.select("id", "check", F.explode("keys").alias("k")).select("k.bucket", "k.value", "k.own", F.col("id").alias("node"), "check")
-    meet = partial(_living, bits=bits, near=reach(64, similarity))
-    live = stash(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, LIVE))
-    if live.isEmpty():
+    rows = prints.select("id", "check", F.explode("keys").alias("k")).select("k.bucket", "k.value", "k.own", F.col("id").alias("node"), "check.a", "check.b")
+    meet = partial(_likely, bits=bits, near=reach(128, similarity))
+    clusters = stash(components(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, LINKS)))
+    if clusters.isEmpty():
         return None
-    of_live = texts.join(live.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    described = stash(of_live.select("id", "text").mapInArrow(partial(_described, shingle=shingle), DESCRIBED))
-    live = stash(live.join(described.drop("shingles"), "node"))
-    first, second = (described.select(F.col("node").alias(c), F.col("shingles").alias(d)) for c, d in (("u", "a"), ("v", "b")))
-    tested = edges = labels = None
-    best = 1
-    while True:
-        at = live.withColumn("comp", F.col("node"))
-        if labels is not None:
-            at = live.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-        at = at.select("key", "comp", "node", "size", "long").repartition("key").sortWithinPartitions("key", "comp", "node")
-        offers = at.mapInArrow(partial(_offered, best=best, near=reach(64 * LONG, similarity), similarity=similarity), OFFERS)
-        # Of what all keys offer a row, its nearest: a bounded number for each key.
-        own = offers.groupBy("u").agg(F.array_sort(F.collect_set(F.struct("far", "v"))).alias("all"), F.max("more").alias("more"))
-        own = own.select("u", F.explode(F.slice("all", 1, best)).alias("one"), (F.col("more") | (F.size("all") > best)).alias("more"))
-        pairs = own.groupBy(F.least("u", "one.v").alias("u"), F.greatest("u", "one.v").alias("v")).agg(F.max("more").alias("more"))
-        pairs = stash(pairs)
-        fresh = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
-        both = fresh.join(first, "u").join(second, "v")
-        common = F.size(F.array_intersect("a", "b"))
-        linked = stash(both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v"))
-        edges = linked if edges is None else edges.union(linked)
-        # A round that leaves nothing out has verified all pairs between the components before it.
-        if pairs.where("more").isEmpty():
-            return edges
-        tested = pairs.select("u", "v") if tested is None else tested.union(pairs.select("u", "v"))
-        labels = stash(components(edges))
-        best *= FAN
+    described = texts.join(clusters.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text").mapInArrow(partial(_described, shingle=shingle), DESCRIBED)
+    # A large cluster's blocks meet in pairs; which block a row is in goes by its hash.
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    placed = clusters.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = placed.select("node", "root", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    group = F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other"))
+    groups = placed.select("node", group.alias("group")).join(described, "node").select("group", "node", "long", "shingles")
+    check = partial(_verified, near=reach(64 * LONG, similarity), similarity=similarity)
+    return stash(groups.repartition("group").sortWithinPartitions("group").mapInArrow(check, LINKS))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:

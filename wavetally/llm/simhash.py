@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_printed, PRINTED)
 
 
-def _spanning(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+def spanning(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """The smallest node that each of n nodes reaches over the links."""
     label = np.arange(n)
     while len(u):
@@ -134,7 +134,7 @@ def _links(key: np.ndarray, fp: np.ndarray, stored: np.ndarray, radius: int) ->
         left, right = left[near], right[near]
         if len(left):
             nodes, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-            label = _spanning(at[: len(left)], at[len(left) :], len(nodes))
+            label = spanning(at[: len(left)], at[len(left) :], len(nodes))
             moved = label != np.arange(len(nodes))
             yield fp[nodes[moved]], fp[nodes[label[moved]]]
 
