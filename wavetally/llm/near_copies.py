@@ -40,11 +40,11 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.95
 #: Bits of a segment, while no more documents than 2 ** MANY_BITS share its values, and those that deal rows out.
 SEGMENT_BITS, MANY_BITS, BUCKET_BITS = 22, 26, 8
 #: Words of the long fingerprint, documents of a block, and pairs that are verified before the rest is looked at again.
-LONG, BLOCK, TURN = 16, 2048, 2048
+LONG, BLOCK, TURN = 16, 1024, 2048
 #: Rows of a key up to which all pairs are compared at once.
 SMALL = 64
 
-FOUND = "id bigint, check struct<a: bigint, b: bigint>, keys array<struct<bucket: bigint, value: bigint, own: boolean>>"
+FOUND = "node bigint, a bigint, b bigint, parts array<bigint>"
 LINKS = "u bigint, v bigint"
 DESCRIBED = "node bigint, long binary, shingles array<bigint>"
 
@@ -99,11 +99,9 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def _printed(batches: Iterator[pa.RecordBatch], bits: int, segments: int, shingle: int) -> Iterator[pa.RecordBatch]:
-    """id, check and, for each segment, the buckets to which a row goes."""
+    """node, the 128 bits that are compared (a, b), and the segments' values."""
     words = -(-(128 + bits * segments) // 64)
     weights = 1 << np.arange(bits, dtype=np.int64)
-    rest = bits - BUCKET_BITS
-    flips = np.concatenate([[0], 1 << np.arange(rest, bits, dtype=np.int64)])
     for batch in batches:
         n = batch.num_rows
         found = np.empty((n, words * 64), dtype=np.uint8)
@@ -111,14 +109,17 @@ def _printed(batches: Iterator[pa.RecordBatch], bits: int, segments: int, shingl
             found[i] = wide_fingerprint(shingle_hashes(text.as_py(), shingle), words)
         check = np.packbits(found[:, :128], axis=1).view(np.int64).reshape(n, 2)
         values = found[:, 128 : 128 + bits * segments].reshape(n, segments, bits).astype(np.int64) @ weights
-        flipped = values[:, :, None] ^ flips
-        bucket = (np.arange(segments)[None, :, None] << BUCKET_BITS) + (flipped >> rest)
-        per = segments * len(flips)
-        own = np.broadcast_to(flips == 0, (n, segments, len(flips)))
-        keys = pa.StructArray.from_arrays([pa.array(bucket.ravel()), pa.array(flipped.ravel()), pa.array(own.ravel())], names=["bucket", "value", "own"])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * per + 1, per, dtype=np.int32)), keys)
-        checks = pa.StructArray.from_arrays([pa.array(check[:, 0].copy()), pa.array(check[:, 1].copy())], names=["a", "b"])
-        yield pa.record_batch([batch.column(0), checks, lists], names=["id", "check", "keys"])
+        parts = pa.ListArray.from_arrays(pa.array(np.arange(0, n * segments + 1, segments, dtype=np.int32)), pa.array(values.ravel()))
+        yield pa.record_batch([batch.column(0), pa.array(check[:, 0].copy()), pa.array(check[:, 1].copy()), parts], names=["node", "a", "b", "parts"])
+
+
+def _dealt(prints: DataFrame, bits: int, first: int, last: int) -> DataFrame:
+    """bucket, value, own, comp, node, a, b: rows under their segments' values (from first to last) and those with one of the bits changed that deal rows out."""
+    rest = bits - BUCKET_BITS
+    row = lambda value, own: f"named_struct('bucket', shiftleft(bigint(s), {BUCKET_BITS}) + shiftright({value}, {rest}), 'value', {value}, 'own', {own})"
+    changed = f"transform(sequence({rest}, {bits - 1}), i -> {row('parts[s] ^ shiftleft(1L, i)', 'false')})"
+    keys = F.expr(f"flatten(transform(sequence({first}, {last}), s -> concat(array({row('parts[s]', 'true')}), {changed})))")
+    return prints.select(F.explode(keys).alias("k"), "comp", "node", "a", "b").select("k.bucket", "k.value", "k.own", "comp", "node", "a", "b")
 
 
 def _forest(key: np.ndarray, check: np.ndarray, near: int) -> np.ndarray:
@@ -154,9 +155,9 @@ def _forest(key: np.ndarray, check: np.ndarray, near: int) -> np.ndarray:
 
 
 def _likely(batches: Iterator[pa.RecordBatch], bits: int, near: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, value, own, node, a, b) in order of bucket to links of what meets under a key and is near."""
+    """Rows (bucket, value, own, comp, node, a, b) in order of bucket to links between the components of what meets under a key and is near."""
     flips = np.concatenate([[0], 1 << np.arange(bits - BUCKET_BITS, dtype=np.int64)])
-    for bucket, value, own, node, *check in whole_groups(batches):
+    for bucket, value, own, comp, node, *check in whole_groups(batches):
         own = own.astype(bool)
         key = (bucket >> BUCKET_BITS << bits) + value  # the value's own first bits are those of the bucket
         key = np.concatenate([(key[own][:, None] ^ flips).ravel(), key[~own]])
@@ -170,7 +171,7 @@ def _likely(batches: Iterator[pa.RecordBatch], bits: int, near: int) -> Iterator
         turn = np.lexsort((node[row], key))
         key, row = key[turn], row[turn]
         label = _forest(key, np.stack([c[row] for c in check], axis=1).view(np.uint64), near) if len(key) else key
-        pairs = np.stack([node[row], node[row[label]]], axis=1)
+        pairs = np.stack([comp[row], comp[row[label]]], axis=1)
         pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
 
@@ -236,10 +237,15 @@ def _verified(batches: Iterator[pa.RecordBatch], near: int, similarity: float) -
 def similar_links(texts: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame | None:
     """u, v: verified links of rows (columns id, text) that give the components of all; None if nothing meets."""
     bits, segments = layout(texts.count(), similarity, recall)
-    prints = texts.select("id", "text").mapInArrow(partial(_printed, bits=bits, segments=segments, shingle=shingle), FOUND)
-    rows = prints.select("id", "check", F.explode("keys").alias("k")).select("k.bucket", "k.value", "k.own", F.col("id").alias("node"), "check.a", "check.b")
+    prints = stash(texts.select("id", "text").mapInArrow(partial(_printed, bits=bits, segments=segments, shingle=shingle), FOUND))
     meet = partial(_likely, bits=bits, near=reach(128, similarity))
-    clusters = stash(components(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, LINKS)))
+    met = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, LINKS)
+    # What the first segment joins is one row's affair in the others, so a dense group's links are passed on once.
+    some = stash(components(met(_dealt(prints.withColumn("comp", F.col("node")), bits, 0, 0))))
+    clusters = some
+    if segments > 1:
+        joined = prints.join(some, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        clusters = stash(components(met(_dealt(joined, bits, 1, segments - 1)).union(some.select(F.col("node").alias("u"), F.col("root").alias("v")))))
     if clusters.isEmpty():
         return None
     described = texts.join(clusters.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text").mapInArrow(partial(_described, shingle=shingle), DESCRIBED)
