@@ -54,6 +54,66 @@ def test_language_model_is_a_distribution():
     assert sum(10 ** (longer - before)) == pytest.approx(1.0, abs=2e-3)
 
 
+def test_score_of_a_small_tree_equals_plain_arithmetic(spark):
+    """Every document's score, bit by bit in plain Python: tree, contexts, mixing and the steps between blocks."""
+    rows = corpus(40, seed=7)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["score"] for r in lm_mix.score(docs, F.col("doc_id") < 30, head=20, table_bits=8).collect()}
+    words = lambda t: t.encode().lower().split() + [b""]
+    counts = Counter(w for i, t, *_ in rows if i < 30 for w in words(t))
+    enough = {w: c for w, c in counts.items() if c >= lm_mix.LEAST}
+    least = sorted(enough.values(), reverse=True)[19]
+    if sum(c >= least for c in enough.values()) > 20:
+        least += 1
+    top = sorted(((w, c) for w, c in enough.items() if c >= least), key=lambda r: (-r[1], r[0]))
+    total, head = sum(counts.values()), sum(c for _, c in top)
+    tree = lm_mix.build_tree(top, total - head)
+    tables = [Counter() for _ in range(lm_mix.CONTEXTS)]
+
+    def bits_of(text):
+        """(place, node, bit, depth, slots) of one document."""
+        coded = lm_mix.Coded([words(text)], tree, 8)
+        places = np.repeat(np.arange(len(words(text))), tree.length[coded.ids])
+        return list(zip(places.tolist(), coded.node.tolist(), coded.bit.tolist(), coded.depth.tolist(), *[s.tolist() for s in coded.slots], strict=True)), coded.ids
+
+    for i, t, *_ in rows:
+        if i < 30:
+            for _, _, bit, _, *slots in bits_of(t)[0]:
+                for table, slot in zip(tables, slots, strict=True):
+                    table[slot, bit] += 1
+    block = lambda place: 0 if place < 8 else int(math.log2(place / 8)) + 1  # noqa: E731  no text here reaches the longest
+    for i, t, *_ in rows:
+        own = [list(w) for w in lm_mix.first_weights()]
+        seen, steps, now = [lm_mix.INERTIA] * lm_mix.GATES, [], 0
+        coded, ids = bits_of(t)
+        want = 0.0
+        for place, node, bit, depth, *slots in coded:
+            if block(place) != now:
+                for g, _, _ in steps:
+                    seen[g] += 1
+                moved = {}
+                for g, x, error in steps:
+                    for k, v in enumerate(x):
+                        moved[g, k] = moved.get((g, k), 0.0) + error * v
+                for (g, k), v in moved.items():
+                    own[g][k] += v / (lm_mix.INPUTS * seen[g])
+                steps, now = [], block(place)
+            base = tree.odds[node]
+            p = 1 / (1 + math.exp(-base))
+            pairs = [(table[slot, 0], table[slot, 1]) for table, slot in zip(tables, slots, strict=True)]
+            x = [base] + [math.log((b + lm_mix.SHRINK * p) / (a + lm_mix.SHRINK * (1 - p))) for a, b in pairs]
+            n = sum(pairs[-1])
+            gate = min(depth, lm_mix.DEPTHS - 1) * lm_mix.SEEN + (n >= 4) + (n >= 32) + (n >= 512)
+            z = max(-15.0, min(15.0, sum(w * v for w, v in zip(own[gate], x, strict=True))))
+            mixed = 1 / (1 + math.exp(-z))
+            want += math.log10(mixed if bit else 1 - mixed)
+            steps.append((gate, x, bit - mixed))
+        rare = Counter(w for w, k in zip(words(t), ids.tolist(), strict=True) if k == tree.escape)
+        spread = total - head + len(counts) - len(top) + 1
+        want += sum(n * math.log10((counts[w] + 1) / spread) for w, n in rare.items())
+        assert got[i] == pytest.approx(want, rel=1e-4), i
+
+
 def test_language_model_beats_its_base(spark):
     """Text in which the last word tells much about the next."""
     rnd = random.Random(3)

@@ -8,9 +8,9 @@ contexts (the class of the last word; the classes of the last two; the last two
 the most frequent words, which tell the language and the sentence's frame), each
 shrunk to the node's own frequency. A gate, chosen by the depth in the tree and by how
 much the best context has seen, picks the weights that mix the predictions in the
-logistic domain. The weights start from a fit on training text and are refined online
-in each document: a document's tokens are coded in blocks of growing length, and each
-block's errors move the weights for the next, so a block's probability never depends
+logistic domain. The weights start from constants and are refined online
+in each document: a document's tokens are coded in blocks of at most LONGEST_BLOCK, and
+each block's errors move the weights for the next, so a block's probability never depends
 on itself. The sum over all bits is the text's probability and its bits per byte.
 
 Coding whole tokens instead of bytes takes about a sixth of the binary decisions; the
@@ -18,13 +18,14 @@ result is a proper distribution over the known tokens and one class of unknown o
 the same event space as an add-one unigram model.
 
 Token counts and context counts cover all training text. Bounds that do not grow with
-the corpus: HEAD frequent tokens in the tree, 2 ** TABLE_BITS counters for each context,
-and FIT_DOCUMENTS documents (the first by a hash of their ids) for the first weights.
-Counts of rare tokens stay in a distributed table and are joined.
+the corpus, each measured in README: HEAD frequent tokens in the tree, of which each was
+seen LEAST times, and 2 ** TABLE_BITS counters for each context. Every node of a path is
+mixed. Counts of rare tokens stay in a distributed table and are joined.
 
 Defined cases: a null text counts as empty and is the end token alone; null doc_ids are
 training rows; repeated rows are counted and scored each; without training text every
-token is unknown and every score 0; an empty table gives an empty result.
+token is unknown and every score 0; a text of any length is coded whole (one that is longer
+than a slice by itself); other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,23 +50,23 @@ from wavetally.llm.common import kth_largest, stash
 HEAD = 1 << 16
 #: Least training count of a token in the tree.
 LEAST = 4
-#: A node that fewer than one in so many tokens reaches is coded by its own frequency alone.
-QUIET = 1 << 11
 TABLE_BITS = 20
 CONTEXTS = 3
 CLASSES, FREQUENT = 512, 64
-FIT_DOCUMENTS = 128
 #: Pseudo-counts with which a context starts at its node's own frequency.
 SHRINK = 4.0
-#: Tokens in a document's first block; each further block is as long as all before it.
-FIRST_BLOCK = 32
-#: Bits that the fitted weights count for against a document's own.
+#: Tokens in a document's first block; each further one is as long as all before it, up to the longest.
+FIRST_BLOCK, LONGEST_BLOCK = 8, 512
+#: Bits that the first weights count for against a document's own.
 INERTIA = 100.0
 #: Tokens that a worker mixes at a time, and entries of its partial counts.
 SLICE_TOKENS, PARTIAL = 40_000, 250_000
 DEPTHS, SEEN = 8, 4
 GATES, INPUTS = DEPTHS * SEEN, CONTEXTS + 1
 BLOCK_BITS, FAN = 14, 64
+#: First weights of a gate's inputs (the node's own frequency, then the contexts) by how much the best context has seen:
+#: the more, the more the contexts' agreement may add up to. Online steps refine them in each document.
+FIRST_WEIGHTS = ((0.0, 0.37, 0.37, 0.37), (0.0, 0.4, 0.4, 0.4), (0.0, 0.5, 0.5, 0.5), (-0.1, 0.5, 0.5, 0.5))
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -107,7 +108,6 @@ class Tree:
     nodes: np.ndarray
     bits: np.ndarray
     odds: np.ndarray  # of each node: natural log odds of a 1
-    rest: np.ndarray  # of each leaf: log10 probability of the part of its path that only frequencies code
     classes: np.ndarray
 
     @property
@@ -133,30 +133,24 @@ def build_tree(head: list[tuple[bytes, int]], rare: int) -> Tree:
         heapq.heappush(heap, (a + b, n + len(children)))
         children.append((left, right))
         node_weight.append((a, b))
-    start, length, rest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+    start, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
     nodes: list[int] = []
     bits: list[int] = []
     odds = np.array([math.log((b + 0.5) / (a + 0.5)) for a, b in node_weight] or [0.0])
-    quiet = sum(weights) / QUIET
-    # (tree node, path so far as a linked list, log10 of the quiet part)
-    stack: list[tuple[int, tuple, float]] = [(heap[0][1], (), 0.0)]
+    # (tree node, path so far as a linked list)
+    stack: list[tuple[int, tuple]] = [(heap[0][1], ())]
     while stack:
-        at, path, log = stack.pop()
-        if at < n:
-            own = []
-            while path:
-                own.append(path[0])
-                path = path[1]
-            start[at], length[at], rest[at] = len(nodes), len(own), log
-            nodes += [k for k, _ in reversed(own)]
-            bits += [b for _, b in reversed(own)]
+        at, path = stack.pop()
+        if at >= n:
+            stack += [(child, ((at - n, b), path)) for b, child in enumerate(children[at - n])]
             continue
-        k = at - n
-        if sum(node_weight[k]) >= quiet:
-            stack += [(child, ((k, b), path), log) for b, child in enumerate(children[k])]
-        else:
-            p = 1 / (1 + math.exp(-odds[k]))
-            stack += [(child, path, log + math.log10(p if b else 1 - p)) for b, child in enumerate(children[k])]
+        own = []
+        while path:
+            own.append(path[0])
+            path = path[1]
+        start[at], length[at] = len(nodes), len(own)
+        nodes += [k for k, _ in reversed(own)]
+        bits += [b for _, b in reversed(own)]
     classes = np.array([i if i < CLASSES else word_class(t) for i, (t, _) in enumerate(head)] + [0], dtype=np.int64)
     return Tree(
         {t: i for i, (t, _) in enumerate(head)},
@@ -166,7 +160,6 @@ def build_tree(head: list[tuple[bytes, int]], rare: int) -> Tree:
         np.array(nodes, dtype=np.int64),
         np.array(bits, dtype=np.int8),
         odds,
-        rest,
         classes,
     )
 
@@ -199,7 +192,8 @@ class Coded:
         place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.doc, self.ids, self.flat, self.sizes = doc, ids[own], flat, sizes
         # The bits come block by block, and in each block document by document.
-        block = np.where(place < FIRST_BLOCK, 0, np.log2(np.maximum(place, 1) / FIRST_BLOCK).astype(np.int64) + 1)
+        doubled = np.where(place < FIRST_BLOCK, 0, np.log2(np.maximum(place, 1) / FIRST_BLOCK).astype(np.int64) + 1)
+        block = np.where(place < LONGEST_BLOCK, doubled, int(math.log2(LONGEST_BLOCK / FIRST_BLOCK)) + place // LONGEST_BLOCK)
         order = np.argsort(block, kind="stable")
         ordered = self.ids[order]
         n = tree.length[ordered]
@@ -298,39 +292,15 @@ def context_tables(train: DataFrame, tree, table_bits: int = TABLE_BITS) -> list
 
 
 def first_weights() -> np.ndarray:
-    return np.tile(np.array([0.0] + [1 / CONTEXTS] * CONTEXTS), (GATES, 1))
-
-
-def _fitted(batches: Iterator[pa.RecordBatch], tree, tables, table_bits: int) -> Iterator[pa.RecordBatch]:
-    """Weights of each gate by Newton steps over the sample's bits."""
-    parts = [Coded([doc], tree.value, table_bits) for _, docs, _, _ in _slices(batches, 0) for doc in docs]
-    start, own = first_weights(), [t.copy() for t in tables.value]
-    weights = start.copy()
-    for _ in range(6):
-        slope, bend = (start - weights) * INERTIA, np.tile(np.eye(INPUTS) * INERTIA, (GATES, 1, 1))
-        for coded in parts:
-            # A document is predicted from the counts of all others.
-            for table, slots in zip(own, coded.slots, strict=True):
-                np.add.at(table.reshape(-1), slots * 2 + coded.bit, -1)
-            x, gate = coded.inputs(tree.value, own)
-            for table, slots in zip(own, coded.slots, strict=True):
-                np.add.at(table.reshape(-1), slots * 2 + coded.bit, 1)
-            p = 1 / (1 + np.exp(-np.clip((weights[gate].T * x).sum(axis=0), -30, 30)))
-            error, spread = coded.bit - p, p * (1 - p)
-            for i in range(INPUTS):
-                slope[:, i] += np.bincount(gate, error * x[i], GATES)
-                for j in range(INPUTS):
-                    bend[:, i, j] += np.bincount(gate, spread * x[i] * x[j], GATES)
-        step = np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
-        weights += np.clip(step, -1, 1)
-    yield pa.record_batch([pa.array([weights.ravel().tolist()], pa.list_(pa.float64()))], names=["weights"])
+    """[GATES, INPUTS]"""
+    return np.tile(np.array(FIRST_WEIGHTS), (DEPTHS, 1))
 
 
 def code(coded: Coded, tree: Tree, tables: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
     """log10 probability of each document's paths; the weights follow each document's own bits."""
     docs = len(coded.sizes)
     cells = docs * GATES
-    total = np.bincount(coded.doc, tree.rest[coded.ids], docs)
+    total = np.zeros(docs)
     x, gate = coded.inputs(tree, tables)
     cell = coded.of * GATES + gate
     own = [np.tile(weights[:, i].astype(np.float32), docs) for i in range(INPUTS)]
@@ -378,7 +348,7 @@ def _scored(batches: Iterator[pa.RecordBatch], tree, tables, weights: np.ndarray
         yield pa.record_batch(list(columns.values()), names=list(columns))
 
 
-def score(docs: DataFrame, training: Column, head: int = HEAD, table_bits: int = TABLE_BITS, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def score(docs: DataFrame, training: Column, head: int = HEAD, table_bits: int = TABLE_BITS) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     training: which rows the model learns from. base_score is the add-one unigram log10 probability.
@@ -395,11 +365,7 @@ def score(docs: DataFrame, training: Column, head: int = HEAD, table_bits: int =
     rare_total, rare_distinct = total - sum(c for _, c in top), distinct - len(top)
     tree = spark.sparkContext.broadcast(build_tree(top, rare_total))
     tables = spark.sparkContext.broadcast(context_tables(train, tree, table_bits))
-    ids = train.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents).distinct()
-    sample = train.join(F.broadcast(ids), "doc_id").select("text").coalesce(1)  # a bounded sample
-    fitted = sample.mapInArrow(partial(_fitted, tree=tree, tables=tables, table_bits=table_bits), "weights array<double>").first()
-    weights = np.array(fitted["weights"]).reshape(GATES, INPUTS) if fitted else first_weights()
-    scored = stash(docs.select("doc_id", "text").mapInArrow(partial(_scored, tree=tree, tables=tables, weights=weights, table_bits=table_bits), SCORED))
+    scored = stash(docs.select("doc_id", "text").mapInArrow(partial(_scored, tree=tree, tables=tables, weights=first_weights(), table_bits=table_bits), SCORED))
     each = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.rare_n").alias("n"))
     counted = each.join(vocabulary.where(~frequent), "token", "left")
     log10 = F.log10(F.coalesce("c", F.lit(0)) + 1)
