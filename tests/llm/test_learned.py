@@ -47,6 +47,7 @@ def test_language_model_is_a_distribution():
     rng = np.random.default_rng(0)
     tables = [rng.integers(0, 9, (1 << 10, 2)).astype(np.float32) for _ in range(lm_mix.CONTEXTS)]
     weights = lm_mix.first_weights() + rng.normal(0, 0.1, (lm_mix.GATES, lm_mix.INPUTS))
+    assert tree.shrunk.sum(axis=1) == pytest.approx(lm_mix.SHRINK)
     start = [b"w3", b"w9", b"never seen", b"w1"] * 12
     before = lm_mix.code(lm_mix.Coded([start], tree, 10), tree, tables, weights)[0]
     ends = [*tree.index, b"also never seen"]
@@ -98,10 +99,9 @@ def test_score_of_a_small_tree_equals_plain_arithmetic(spark):
                 for (g, k), v in moved.items():
                     own[g][k] += v / (lm_mix.INPUTS * seen[g])
                 steps, now = [], block(place)
-            base = tree.odds[node]
-            p = 1 / (1 + math.exp(-base))
+            start = tree.shrunk[node]
             pairs = [(table[slot, 0], table[slot, 1]) for table, slot in zip(tables, slots, strict=True)]
-            x = [base] + [math.log((b + lm_mix.SHRINK * p) / (a + lm_mix.SHRINK * (1 - p))) for a, b in pairs]
+            x = [math.log((b + start[1]) / (a + start[0])) for a, b in pairs]
             n = sum(pairs[-1])
             gate = min(depth, lm_mix.DEPTHS - 1) * lm_mix.SEEN + (n >= 4) + (n >= 32) + (n >= 512)
             z = max(-15.0, min(15.0, sum(w * v for w, v in zip(own[gate], x, strict=True))))

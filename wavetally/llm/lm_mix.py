@@ -3,8 +3,7 @@
 A text is a sequence of tokens (lower-case words, then one end). Each frequent token
 is a path of bits in a Huffman tree over the training counts; any other token is the
 path of an escape leaf, followed by its share among the rare tokens. Each bit is
-predicted by several models: the node's own frequency, and counts under hashed
-contexts (the class of the last word; the classes of the last two; the last two of
+predicted by several models: counts under hashed contexts (the class of the last word; the classes of the last two; the last two of
 the most frequent words, which tell the language and the sentence's frame), each
 shrunk to the node's own frequency. A gate, chosen by the depth in the tree and by how
 much the best context has seen, picks the weights that mix the predictions in the
@@ -47,7 +46,7 @@ from pyspark.sql import functions as F
 
 from wavetally.llm.common import kth_largest, stash
 
-HEAD = 1 << 16
+HEAD = 1 << 18
 #: Least training count of a token in the tree.
 LEAST = 4
 TABLE_BITS = 20
@@ -59,14 +58,14 @@ SHRINK = 4.0
 FIRST_BLOCK, LONGEST_BLOCK = 8, 512
 #: Bits that the first weights count for against a document's own.
 INERTIA = 100.0
-#: Tokens that a worker mixes at a time, and entries of its partial counts.
-SLICE_TOKENS, PARTIAL = 40_000, 250_000
+#: Tokens that a worker mixes at a time, bits that it counts at a time, and entries of its partial counts.
+SLICE_TOKENS, COUNTED_BITS, PARTIAL = 40_000, 2_000_000, 250_000
 DEPTHS, SEEN = 8, 4
-GATES, INPUTS = DEPTHS * SEEN, CONTEXTS + 1
+GATES, INPUTS = DEPTHS * SEEN, CONTEXTS
 BLOCK_BITS, FAN = 14, 64
-#: First weights of a gate's inputs (the node's own frequency, then the contexts) by how much the best context has seen:
-#: the more, the more the contexts' agreement may add up to. Online steps refine them in each document.
-FIRST_WEIGHTS = ((0.0, 0.37, 0.37, 0.37), (0.0, 0.4, 0.4, 0.4), (0.0, 0.5, 0.5, 0.5), (-0.1, 0.5, 0.5, 0.5))
+#: First weights of a gate's inputs by how much the best context has seen: the more, the more their agreement
+#: may add up to. Online steps refine them in each document.
+FIRST_WEIGHTS = ((0.37, 0.37, 0.37), (0.4, 0.4, 0.4), (0.5, 0.5, 0.5), (0.48, 0.48, 0.48))
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -107,7 +106,8 @@ class Tree:
     length: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
-    odds: np.ndarray  # of each node: natural log odds of a 1
+    shrunk: np.ndarray  # [node, bit] pseudo-counts with which its contexts start
+    mixed: np.ndarray  # of each node: a hash
     classes: np.ndarray
 
     @property
@@ -159,7 +159,8 @@ def build_tree(head: list[tuple[bytes, int]], rare: int) -> Tree:
         length,
         np.array(nodes, dtype=np.int64),
         np.array(bits, dtype=np.int8),
-        odds,
+        np.stack([SHRINK / (1 + np.exp(odds)), SHRINK / (1 + np.exp(-odds))], axis=1).astype(np.float32),
+        np.arange(len(odds), dtype=np.uint64) * _M2,
         classes,
     )
 
@@ -204,7 +205,7 @@ class Coded:
         self.node, self.bit, self.of = tree.nodes[at], tree.bits[at], doc[order][token]
         turns = np.flatnonzero(np.diff(block[order])) + 1
         self.cuts = [0, *(stops[turns - 1].tolist()), len(token)]
-        mixed = self.node.astype(np.uint64) * _M2
+        mixed = tree.mixed[self.node]
         shift = np.uint64(64 - table_bits)
         keyed = [(k[order].astype(np.uint64) + np.uint64((j + 1) << 24)) * _M1 for j, k in enumerate(keys)]
         self.slots = [((k[token] ^ mixed) * _M3 >> shift).view(np.int64) for k in keyed]
@@ -212,12 +213,11 @@ class Coded:
     def inputs(self, tree: Tree, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """[INPUTS, bit] predictions as log odds, and each bit's gate."""
         x = np.empty((INPUTS, len(self.node)), dtype=np.float32)
-        x[0] = tree.odds[self.node]
-        one = np.float32(SHRINK) / (1 + np.exp(-x[0]))
-        zero = np.float32(SHRINK) - one
+        start = tree.shrunk.view(np.float64).ravel().take(self.node).view(np.float32).reshape(-1, 2)
         for j, table in enumerate(tables):
             counts = table.view(np.float64).reshape(-1).take(self.slots[j]).view(np.float32).reshape(-1, 2)
-            x[j + 1] = np.log((counts[:, 1] + one) / (counts[:, 0] + zero))
+            both = counts + start
+            np.log(both[:, 1] / both[:, 0], out=x[j])
         seen = counts[:, 0] + counts[:, 1]
         gate = np.minimum(self.depth, DEPTHS - 1) * SEEN + (seen >= 4) + (seen >= 32) + (seen >= 512)
         return x, gate
@@ -245,10 +245,24 @@ def _trained(batches: Iterator[pa.RecordBatch], tree, table_bits: int) -> Iterat
     from pyspark import TaskContext
 
     tables = [np.zeros(2 << table_bits, dtype=np.int64) for _ in range(CONTEXTS)]
+    seen: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
+
+    def count() -> None:
+        for table, slots in zip(tables, seen, strict=True):
+            if slots:
+                table += np.bincount(np.concatenate(slots), minlength=len(table))
+            slots.clear()
+
+    n = 0
     for _, docs, _, _ in _slices(batches, 0):
         coded = Coded(docs, tree.value, table_bits)
-        for table, slots in zip(tables, coded.slots, strict=True):
-            table += np.bincount(slots * 2 + coded.bit, minlength=len(table))
+        for slots, own in zip(seen, coded.slots, strict=True):
+            slots.append((own * 2 + coded.bit).astype(np.int32))
+        n += len(coded.bit)
+        if n >= COUNTED_BITS:
+            count()
+            n = 0
+    count()
     part = TaskContext.get().partitionId()
     for j, table in enumerate(tables):
         for b, block in enumerate(table.reshape(-1, min(1 << BLOCK_BITS, len(table)))):
