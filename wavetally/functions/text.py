@@ -50,6 +50,12 @@ FORECAST_PHRASES = (
     r"\bforecast for the\b",
     r"\bextended forecast\b",
 )
+# States of one word, which a heard place may end in.
+STATES = (
+    "Alabama Alaska Arizona Arkansas California Colorado Connecticut Delaware Florida Georgia Hawaii Idaho Illinois Indiana Iowa Kansas Kentucky "
+    "Louisiana Maine Maryland Massachusetts Michigan Minnesota Mississippi Missouri Montana Nebraska Nevada Ohio Oklahoma Oregon Pennsylvania "
+    "Tennessee Texas Utah Vermont Virginia Washington Wisconsin Wyoming"
+)
 # What silence is heard as.
 STOCK_PHRASES = ("i hate it", "thank you", "thanks for watching", "please subscribe", "subscribe", "bye", "you")
 SILENCE_MARKERS = ("[blank_audio]", "(dramatic music)")
@@ -133,6 +139,13 @@ def fold_terms(text: Column, own_terms: dict[str, list[str]] | None = None) -> C
     return _fold(text, ("failed", "trail"), "Fell", before="(?<=(?i:precipitation ))")
 
 
+def place_name(heard: Column, aliases: dict[str, str] | None = None) -> Column:
+    """A capitalised place in title case, a state at its end dropped, known spellings folded. aliases: by lower-case spelling."""
+    states = "|".join(STATES.split())
+    name = F.regexp_replace(F.initcap(F.trim(heard)), rf"^(.+) (?:{states})$", "$1")
+    return F.coalesce(lookup(aliases, F.lower(F.trim(name))), name) if aliases else name
+
+
 def is_blank(text: Column) -> Column:
     """Nothing said, a marker of silence, or a stock phrase that silence is heard as."""
     t = F.lower(F.trim(F.coalesce(text, F.lit(""))))

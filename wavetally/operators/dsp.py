@@ -27,6 +27,9 @@ PHASES = (0.5, 0.4, 0.6, 0.3, 0.7)
 TONE_RATIO, TONE_WIDTH_HZ = 0.35, 60
 HEADER = re.compile(r"ZCZC-[A-Z]{3}-[A-Z0-9]{3}(?:-\d{6})+\+\d{4}-\d{7}-[\w/ ]{1,8}-?")
 DUMP_STAMP = 24
+# Fixed values of the enhancement: mains and cut-off frequencies, how much noise goes and how much of a bin stays, filter qualities.
+HUM_HZ, CUTOFF_HZ, SUBTRACTED, FLOOR = 60.0, 3800.0, 2.0, 0.12
+NOTCH_Q, LOW_PASS_Q = 30.0, 0.707
 
 
 def mel_bands(rate: int = RATE, fft: int = FFT, mels: int = MELS) -> np.ndarray:
@@ -128,28 +131,59 @@ def read_dump(data: bytes, size: int = MELS * TIME_BINS) -> list[tuple[str, np.n
     return [(data[a : a + DUMP_STAMP].rstrip(b"\0").decode("ascii"), np.frombuffer(data, "<f4", size, a + DUMP_STAMP)) for a in range(0, len(data) // width * width, width)]
 
 
-def enhance(pcm: np.ndarray, rate: int = RATE, hum_hz: float = 60.0, cutoff_hz: float = 3800.0, floor: float = 0.1) -> np.ndarray:
-    """Speech made clearer: hum harmonics notched, highs cut, steady noise subtracted; the level stays."""
+def _biquad(frequency: float, rate: int, q: float, low_pass: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(b, a) of a second-order notch or low-pass filter, a[0] = 1."""
+    w = 2 * np.pi * frequency / rate
+    c, alpha = np.cos(w), np.sin(w) / (2 * q)
+    b = np.array([(1 - c) / 2, 1 - c, (1 - c) / 2]) if low_pass else np.array([1.0, -2 * c, 1.0])
+    return b / (1 + alpha), np.array([1.0, -2 * c / (1 + alpha), (1 - alpha) / (1 + alpha)])
+
+
+def _filtered(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The recursive filter's output: its impulse response in closed form, by its poles, convolved with the signal."""
+    n = np.arange(len(x))
+    pole = np.roots(a)[0]
+    g = np.imag(pole ** (n + 1)) / np.imag(pole)
+    response = b[0] * g
+    response[1:] += b[1] * g[:-1]
+    response[2:] += b[2] * g[:-2]
+    size = 1 << (2 * len(x) - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(response, size), size)[: len(x)]
+
+
+def enhance(pcm: np.ndarray, rate: int = RATE, hum_hz: float = HUM_HZ, cutoff_hz: float = CUTOFF_HZ, strength: float = SUBTRACTED, floor: float = FLOOR) -> np.ndarray:
+    """Speech made clearer: hum harmonics notched, highs cut, the quietest frames' spectrum subtracted; the level stays.
+
+    A segment that is too short to tell its noise stays as it is.
+    """
+    step = max(rate // 10, FFT)
+    count = len(pcm) // step
+    if len(pcm) < 2 * FFT or count < 2:
+        return pcm
     x = pcm.astype(np.float64)
-    if len(x) < FFT or not np.any(x):
-        return pcm.copy()
-    spectrum, hz = np.fft.rfft(x), np.fft.rfftfreq(len(x), 1 / rate)
+    x = x - x.mean()
+    window = np.hanning(FFT)
+    parts = x[: count * step].reshape(count, step)
+    level = np.sqrt((parts**2).mean(axis=1))
+    noise = np.abs(np.fft.rfft(parts[level <= np.percentile(level, 25), :FFT] * window, axis=1)).mean(axis=0)
+    y = x
     for k in range(2, 7):
-        spectrum[np.abs(hz - k * hum_hz) < 4] = 0
-    spectrum[hz > cutoff_hz] = 0
-    y = np.fft.irfft(spectrum, len(x))
-    pad = -(len(y) - FFT) % (FFT // 2)
-    frames = sliding_window_view(np.pad(y, (0, pad)), FFT)[:: FFT // 2] * np.sqrt(np.hanning(FFT + 1)[:-1])
-    s = np.fft.rfft(frames, axis=1)
-    size = np.abs(s)
-    noise = np.percentile(size, 10, axis=0)
-    s *= np.maximum(size - noise, floor * size) / np.maximum(size, 1e-12)
-    out = np.zeros(len(y) + pad)
-    for i, f in enumerate(np.fft.irfft(s, FFT, axis=1) * np.sqrt(np.hanning(FFT + 1)[:-1])):
-        out[i * FFT // 2 : i * FFT // 2 + FFT] += f
-    out = out[: len(x)]
-    gain = np.sqrt((x**2).mean()) / max(np.sqrt((out**2).mean()), 1e-9)
-    return np.clip(out * gain, -32768, 32767).astype(np.int16)
+        if k * hum_hz < rate / 2:
+            y = _filtered(y, *_biquad(k * hum_hz, rate, NOTCH_Q, False))
+    y = _filtered(y, *_biquad(cutoff_hz, rate, LOW_PASS_Q, True))
+    hop = FFT // 2
+    starts = np.arange(0, len(y) - FFT, hop)
+    spectrum = np.fft.rfft(sliding_window_view(y, FFT)[starts] * window, axis=1)
+    size = np.abs(spectrum)
+    spectrum *= np.maximum(size - strength * noise, floor * size) / np.maximum(size, 1e-300)
+    frames = np.fft.irfft(spectrum, FFT, axis=1) * window
+    out, weight = np.zeros(len(y) + FFT), np.zeros(len(y) + FFT)
+    at = starts[:, None] + np.arange(FFT)
+    np.add.at(out, at, frames)
+    np.add.at(weight, at, np.broadcast_to(window**2, frames.shape))
+    out = (out / np.where(weight < 1e-6, 1.0, weight))[: len(y)]
+    out *= np.sqrt((x**2).mean()) / max(np.sqrt((out**2).mean()), 1e-9)
+    return np.clip(np.round(out), -32768, 32767).astype("<i2")
 
 
 def fingerprints(df: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from wavetally.config import DEFAULTS, Settings
 
@@ -43,15 +44,14 @@ class TextDedup:
 
     def step(self, doc_id: str, text: str, product: str | None) -> tuple[str, str | None, float]:
         best, of = 0.0, None
-        matcher = SequenceMatcher()
-        matcher.set_seq2(text)
         for entry in self.kept:
             # No ratio can exceed this bound of the lengths.
             if text or entry[1]:
                 if 2 * min(len(text), len(entry[1])) / (len(text) + len(entry[1])) <= best:
                     continue
             matcher = SequenceMatcher(None, text, entry[1])
-            ratio = matcher.ratio()
+            # The cheaper bounds, each of them at least the ratio.
+            ratio = 0.0 if matcher.real_quick_ratio() <= best or matcher.quick_ratio() <= best else matcher.ratio()
             if ratio > best:
                 best, of = ratio, entry
         if of and best >= self.same:
@@ -134,5 +134,28 @@ def segments(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return df.select("station", "frame", "dbfs").groupBy("station").applyInPandas(run, "station string, first_frame bigint, last_frame bigint")
 
 
+def recent_similarity(df: DataFrame, back: int = 20, limit: float = 0.5, bucket: int = 4096) -> DataFrame:
+    """id, best, is_repeat: the largest inner product of a vector with those of the last ids. df: id (whole numbers), v.
+
+    Rows are dealt out by ranges of ids, each with the last ones of the range before.
+    """
+    own = F.floor(F.col("id") / bucket)
+    near = F.when(F.col("id") % bucket >= bucket - back, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = df.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), own.alias("__own"), F.explode(near).alias("__at"))
+    frame = Window.partitionBy("__at").orderBy("id").rangeBetween(-back, -1)
+    past = rows.withColumn("__past", F.collect_list("v").over(frame)).where((F.size("__past") > 0) & (F.col("__own") == F.col("__at")))
+    dots = F.transform("__past", lambda p: F.aggregate(F.zip_with("v", p, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
+    return past.select("id", F.array_max(dots).alias("best")).withColumn("is_repeat", F.col("best") >= limit)
+
+
+def islands(df: DataFrame, gap_s: float) -> DataFrame:
+    """station, start_at, end_at, frames: stretches of rows (station, at) without a longer gap."""
+    w = Window.partitionBy("station").orderBy("at")
+    apart = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.lag("at").over(w).cast("timestamp")) > gap_s * 1_000_000
+    marked = df.select("station", "at").withColumn("__gap", F.coalesce(apart, F.lit(True)).cast("int"))
+    numbered = marked.withColumn("__n", F.sum("__gap").over(w))
+    return numbered.groupBy("station", "__n").agg(F.min("at").alias("start_at"), F.max("at").alias("end_at"), F.count(F.lit(1)).alias("frames")).drop("__n")
+
+
 def digest(bits: np.ndarray) -> str:
     return hashlib.sha1(np.packbits(bits).tobytes()).hexdigest()[:16]

@@ -11,6 +11,22 @@ from wavetally.functions.measures import age_minutes
 LIMITS = {"heartbeat": 3, "audio": 5, "novel": 60, "stt": 10, "queue": 1, "readings": 180}
 
 
+# The stamp or the counter that each kind of event moves.
+TOUCHES = {"segment": "last_segment_at", "novel": "last_novel_at", "stt_ok": "last_stt_ok_at", "extraction": "last_extraction_at"}
+COUNTS = {"segment": "segments", "novel": "novel", "repeat": "repeat", "shed": "shed", "stt_error": "stt_errors", "restart": "capture_restarts"}
+
+
+def heartbeats(events: DataFrame) -> DataFrame:
+    """Each station's heartbeat out of what happened (station, at, kind): first and last times, stamps and counters."""
+    kind = lambda k: F.col("kind") == k
+    return events.groupBy("station").agg(
+        F.max("at").alias("updated_at"), F.min("at").alias("started_at"),
+        *[F.max(F.when(kind(k), F.col("at"))).alias(c) for k, c in TOUCHES.items()],
+        *[F.count_if(kind(k)).alias(c) for k, c in COUNTS.items()],
+        F.greatest(F.lit(0), F.count_if(kind("novel")) - F.count_if(kind("stt_ok")) - F.count_if(kind("stt_error")) - F.count_if(kind("shed"))).alias("queue_depth"),
+    )
+
+
 def assess(heartbeats: DataFrame, now: Column, limits: dict[str, int] | None = None) -> DataFrame:
     """station, status, checks of each station's heartbeat.
 

@@ -108,8 +108,8 @@ def almanac(text: Column) -> Column:
     )
 
 
-def alert_details(text: Column) -> Column:
-    """struct(until_text, motion, threats, locations, spotter_activation) of a warning's narrative."""
+def alert_details(text: Column, aliases: dict[str, str] | None = None) -> Column:
+    """struct(until_text, motion, threats, locations, spotter_activation) of a warning's narrative; places by their normal names."""
     until = F.regexp_replace(F.regexp_replace(F.trim(T.found(text, UNTIL)), r"\s+", " "), r"[ .]+$", "")
     size = F.coalesce(*[F.nullif(F.regexp_extract(text, HAIL, g), F.lit("")) for g in (1, 2, 3)])
     hail = F.when(size.rlike(r"^\d"), F.concat(F.lit("hail "), size, F.lit("in"))).otherwise(F.concat(F.lit("hail "), size))
@@ -126,7 +126,7 @@ def alert_details(text: Column) -> Column:
         until.alias("until_text"),
         F.when(text.rlike(MOTION), motion).alias("motion"),
         threats.alias("threats"),
-        F.array_distinct(F.regexp_extract_all(text, F.lit(NEAR), 1)).alias("locations"),
+        F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NEAR), 1), lambda c: T.place_name(c, aliases))).alias("locations"),
         text.rlike(SPOTTERS).alias("spotter_activation"),
     )
 

@@ -42,7 +42,7 @@ def condition_readings(reports: DataFrame, profile: Profile, settings=DEFAULTS)
 
 def voted_conditions(readings: DataFrame) -> DataFrame:
     """Every reading with its vote; a wind's vote also gives the wind speed."""
-    voted = vote_conditions(readings, ["captured_at", "id", "pos"])
+    voted = vote_conditions(readings, ["captured_at", "id", "pos"], ("station", "city", "condition"))
     speed = voted.where(F.col("condition") == "wind")
     speed = speed.withColumns({"condition": F.lit("wind_speed_mph"), "voted": wind_speed(F.col("voted")).cast("string"), "pos": F.lit(200_000)})
     return voted.unionByName(speed)
@@ -56,13 +56,13 @@ def almanac_readings(reports: DataFrame, settings=DEFAULTS) -> DataFrame:
     return vote(rows, ["station", "field"], ["captured_at", "id", "pos"], "value", depth=settings.vote_depth)
 
 
-def detail_rows(reports: DataFrame) -> DataFrame:
+def detail_rows(reports: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """Alert details of reports that have any or are alert products (low confidence doesn't matter here)."""
     products = [t.replace(" ", "_") for t in T.TITLES]
     alert = F.coalesce(F.col("product_type").isin(*products), F.lit(False))
     # The details are generated and filtered in one expression, as a filter over a column would compute them again.
-    kept = F.filter(F.array(observation.alert_details(F.col("text"))), lambda d: observation.has_details(d) | alert)
-    return reports.select("id", "captured_at", "product_type", "text", F.explode(kept).alias("d")).select(F.col("id").alias("report_id"), "captured_at", "product_type", "d.*", "text")
+    kept = F.filter(F.array(observation.alert_details(F.col("text"), aliases)), lambda d: observation.has_details(d) | alert)
+    return reports.select("station", "id", "captured_at", "product_type", "text", F.explode(kept).alias("d")).select("station", F.col("id").alias("report_id"), "captured_at", "product_type", "d.*", "text")
 
 
 def alert_rows(raw: DataFrame, counties: dict[str, str] | None = None) -> DataFrame:
@@ -91,12 +91,13 @@ def replay(raw: DataFrame, profile: Profile, settings=DEFAULTS) -> dict[str, Dat
     recaps = almanac_readings(reports, settings)
     in_order = tables.confident(reports, settings.confidence_floor).select("station", F.struct("captured_at", "id").alias("seq"), "text")
     return {
-        "history": tables.first_wins(voted, ["captured_at", "city", "condition"], ["id", "pos"]),
-        "latest": tables.latest_with_sightings(voted, ["city", "condition"], order),
-        "almanac_history": tables.first_wins(recaps, ["captured_at", "field"], ["id", "pos"]),
-        "almanac": tables.latest_with_sightings(recaps, ["field"], order),
-        "forecasts": forecast.project_forecasts(in_order),
+        "history": tables.first_wins(voted, ["station", "captured_at", "city", "condition"], ["id", "pos"]),
+        "latest": tables.latest_with_sightings(voted, ["station", "city", "condition"], order),
+        "almanac_history": tables.first_wins(recaps, ["station", "captured_at", "field"], ["id", "pos"]),
+        "almanac": tables.latest_with_sightings(recaps, ["station", "field"], order),
+        "forecasts": tables.forecast_table(forecast.project_forecasts(in_order), profile.primary_city),
+        "airings": raw.where(F.col("product_type") == "zone_forecast").groupBy("station").agg(F.max("captured_at").alias("aired")),
         "alerts": alert_rows(raw),
-        "alert_details": tables.last_wins(detail_rows(reports), ["report_id"], ["captured_at"]),
+        "alert_details": tables.last_wins(detail_rows(reports, profile.aliases), ["report_id"], ["captured_at"]),
         "stats": replay_stats(raw),
     }

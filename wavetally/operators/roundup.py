@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,11 +29,7 @@ LEAD_IN = r"\b(?:nearby|elsewhere|just outside|other (?:locations|cities)|across
 AT_TIME = r"at\s+\d{1,2}(?::\d{2})?\s*[ap]\.?\s?m\.?,?\s+(?:(?:at|it|in|ed)\s+)?"
 HEADER = rf"\b(?:(?:at|it|in|ed)\s+|{AT_TIME})({CITY})\s*,?\s+(?:it (?:was|is)|the (?:temperature|sky|relative|barometric|wind|dew)|[\w\s,]{{0,40}}?(?:was|were) reported)"
 LEAD_IN_CHARS = 60
-STATES = frozenset(
-    "Alabama Alaska Arizona Arkansas California Colorado Connecticut Delaware Florida Georgia Hawaii Idaho Illinois Indiana Iowa Kansas Kentucky "
-    "Louisiana Maine Maryland Massachusetts Michigan Minnesota Mississippi Missouri Montana Nebraska Nevada Ohio Oklahoma Oregon Pennsylvania "
-    "Tennessee Texas Utah Vermont Virginia Washington Wisconsin Wyoming".split()
-)
+STATES = frozenset(T.STATES.split())
 
 _HITS = [re.compile(p) for p in PHRASINGS]
 _LEAD, _HEADER = re.compile(LEAD_IN, re.I), re.compile(HEADER, re.I)
@@ -64,6 +61,11 @@ def city_hits(text: str, profile: Profile) -> list[tuple[int, str, int]]:
     return out
 
 
+def near_peers(temps: list[int], settings=DEFAULTS) -> bool:
+    """Whether any temperature stays when those far from their median go."""
+    return bool(temps) and (len(temps) < settings.peer_quorum or any(abs(t - median(temps)) <= settings.peer_deviation for t in temps))
+
+
 def home_block(text: str, profile: Profile, any_hits: bool) -> str | None:
     """The stretch that speaks of the station's own city: from its header to the roundup, or a text without either."""
     for m in _HEADER.finditer(text):
@@ -83,7 +85,7 @@ def with_cities(reports: DataFrame, profile: Profile, text: str = "text") -> Dat
             for value in batch.column(text).to_pylist():
                 own = city_hits(value or "", profile)
                 hits.append([{"pos": p, "city": c, "temp": t} for p, c, t in own])
-                home.append(home_block(value or "", profile, bool(own)))
+                home.append(home_block(value or "", profile, near_peers([t for _, _, t in own])))
             kind = pa.list_(pa.struct([("pos", pa.int32()), ("city", pa.string()), ("temp", pa.int32())]))
             yield batch.append_column("hits", pa.array(hits, kind)).append_column("home", pa.array(home, pa.string()))
 

@@ -39,6 +39,15 @@ def alerts_table(alerts: DataFrame, order: list[str]) -> DataFrame:
     return out.select("id", *[F.col(f"__r.{c}") for c in rest], "expires_at")
 
 
+def forecast_table(issued: DataFrame, home: str | None = None) -> DataFrame:
+    """Issuances by station, issued_at, city and period: the last of each stays. issued: station, seq (captured_at, id), period, city, fields.
+
+    Issues before an area was named are the home city's.
+    """
+    rows = issued.withColumns({"issued_at": F.col("seq.captured_at"), "city": F.coalesce("city", F.lit(home))})
+    return last_wins(rows, ["station", "issued_at", "city", "period"], ["seq"])
+
+
 def confident(reports: DataFrame, floor: float = DEFAULTS.confidence_floor) -> DataFrame:
     """Reports that may vote: confidence unmeasured (null or 0) or at the floor."""
     c = F.coalesce(F.col("avg_confidence"), F.lit(0.0))

@@ -26,10 +26,10 @@ def vote(df: DataFrame, keys: list[str], order: list[str], value: str, clock: st
     return out.select(*df.columns, F.col("__best.v").alias("voted"), F.col("__best.n").alias("votes"), F.size("__pool").alias("total"))
 
 
-def vote_conditions(readings: DataFrame, order: list[str]) -> DataFrame:
-    """The vote over city, condition, value, captured_at: temperature over 5 readings, others over 15, all within 45 minutes."""
+def vote_conditions(readings: DataFrame, order: list[str], keys: tuple[str, ...] = ("city", "condition")) -> DataFrame:
+    """The vote over the keys, value, captured_at: temperature over 5 readings, others over 15, all within 45 minutes."""
     depth = F.when(F.col("condition") == "temperature_f", DEFAULTS.temperature_depth).otherwise(DEFAULTS.vote_depth)
-    return vote(readings, ["city", "condition"], order, "value", "captured_at", depth, DEFAULTS.vote_seconds)
+    return vote(readings, list(keys), order, "value", "captured_at", depth, DEFAULTS.vote_seconds)
 
 
 def median_filter(df: DataFrame, keys: list[str], value: str, quorum: int = DEFAULTS.peer_quorum, deviation: float = DEFAULTS.peer_deviation) -> DataFrame:

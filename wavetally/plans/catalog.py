@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wavetally.config import DEFAULTS
 from wavetally.functions import codes, measures
 from wavetally.functions import text as T
-from wavetally.operators import folds, formats, health, linking, observation, sync, tables, vote
+from wavetally.operators import audit, folds, formats, health, linking, maintenance, observation, sync, tables, vote
 from wavetally.plans import roles
 from wavetally.sources import readers
 
@@ -288,10 +288,14 @@ def brier_scorecard(spark, d):
         SELECT h.station, key, l.pass - heard <= 2 AS fresh FROM h JOIN l USING (station)"""
 )
 def forecast_staleness(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = roles.load(spark, d, "conversations").select(F.col("conv_id").alias("station"), F.sum((F.col("role") == "user").cast("int")).over(w).alias("pass"), (F.length("text") % 5).cast("bigint").alias("key"))
-    last = t.groupBy("station").agg(F.max("pass").alias("now"))
-    return t.groupBy("station", "key").agg(F.max("pass").alias("heard")).join(last, "station").select("station", "key", (F.col("now") - F.col("heard") <= 2).alias("fresh"))
+    """Which keys are still served after each station's last text."""
+    from wavetally.operators import forecast
+
+    t = roles.load(spark, d, "conversations").select(F.col("conv_id").alias("station"), F.col("turn").alias("seq"), (F.col("role") == "user").alias("new_pass"), F.lit(False).alias("clears"), F.lit(None).cast("string").alias("last_header"), (F.length("text") % 5).cast("bigint").alias("key"))
+    texts = forecast.passes(t)
+    votes = t.select("station", "seq", F.lit(0).alias("ord"), F.lit(0).alias("k"), F.col("key").alias("period"), F.lit("f").alias("field"), F.lit("x").alias("value"))
+    last = texts.groupBy("station").agg(F.max("seq").alias("seq"))
+    return forecast.served(texts, votes, stale_passes=2).join(last, ["station", "seq"]).select("station", F.col("period").alias("key"), "fresh")
 
 
 @query(
@@ -308,26 +312,8 @@ def carry_over_fill(spark, d):
     return forecast.passes(t).select("station", "seq", "open_period")
 
 
-@query(
-    voted_sql("15", None, "period, field", "SELECT event_id AS id, user_id % 6 AS period, event_type AS field, floor(value / 100)::BIGINT AS value, ts AS captured_at FROM events")
-    + """, grid AS (SELECT s.id AS seq, s.captured_at AS stamp, k.period, k.field FROM voted s, (SELECT period, field, min((captured_at, id)) AS since FROM voted GROUP BY ALL) k WHERE (s.captured_at, s.id) >= k.since AND s.period = 0),
-        own AS (SELECT g.seq, g.stamp, string_agg(g.period || '/' || g.field || '=' || (SELECT arg_max(v.voted, (v.captured_at, v.id)) FROM voted v WHERE v.period = g.period AND v.field = g.field AND (v.captured_at, v.id) <= (g.stamp, g.seq)), ',' ORDER BY g.period, g.field) AS m
-                FROM grid g WHERE g.period = 0 GROUP BY ALL),
-        c AS (SELECT *, lag(m) OVER (ORDER BY stamp, seq) AS before FROM own)
-        SELECT seq, m FROM c WHERE m IS DISTINCT FROM before"""
-)
-def change_detection(spark, d):
-    e = roles.load(spark, d, "events").where(F.col("user_id") % 6 == 0).select(F.col("event_id").alias("id"), F.col("event_type").alias("field"), F.floor(F.col("value") / 100).cast("bigint").alias("value"), F.col("ts").alias("captured_at"))
-    v = vote.vote(e, ["field"], ["captured_at", "id"], "value")
-    w = Window.partitionBy(F.lit(0)).orderBy("captured_at", "id")
-    kinds = ("click", "error", "purchase", "signup", "view")  # the data's five series
-    parts = [F.concat(F.lit(f"0/{k}="), F.last(F.when(F.col("field") == k, F.col("voted")), ignorenulls=True).over(w).cast("string")) for k in kinds]
-    maps = v.select(F.col("id").alias("seq"), "captured_at", "id", F.concat_ws(",", *parts).alias("m"))
-    return maps.withColumn("before", F.lag("m").over(w)).where(~F.col("m").eqNullSafe(F.col("before"))).select("seq", "m")
-
-
 @query()
-def change_detection_all(spark, d):
+def change_detection(spark, d):
     """Changes in all periods and fields, by staleness too; each reading of period 0 begins a pass."""
     from wavetally.operators import forecast
 
@@ -347,10 +333,7 @@ def change_detection_all(spark, d):
         SELECT city, condition, value, n::DOUBLE / total AS agreement FROM k WHERE rn = 1"""
 )
 def revote_window(spark, d):
-    key = ["city", "condition"]
-    r = roles.readings(spark, d).withColumn("last", F.max("captured_at").over(Window.partitionBy(*key))).where(F.col("captured_at") >= F.col("last") - F.expr("interval 18 hours"))
-    p = r.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"), F.max("captured_at").alias("newest"))
-    return p.groupBy(*key).agg(F.max_by(F.struct("value", "n"), F.struct("n", "newest")).alias("b"), F.sum("n").alias("total")).select(*key, "b.value", (F.col("b.n") / F.col("total")).alias("agreement"))
+    return maintenance.revote(roles.readings(spark, d), ["city", "condition"], 18)
 
 
 TENS = "['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']"
@@ -422,13 +405,13 @@ def extract_almanac(spark, d):
 
 
 @query(
-    """SELECT o_orderkey, (o_custkey % 12 + 1) || ':15 PM' AS until_text, (o_custkey % 60)::INT AS mph, 'tornado|hail 1.5in|wind ' || (50 + o_orderkey % 40) || 'mph' AS threats, 'Yorktown|New Castle' AS locations, o_orderkey % 2 = 0 AS spotter_activation FROM orders"""
+    """SELECT o_orderkey, (o_custkey % 12 + 1) || ':15 PM' AS until_text, (o_custkey % 60)::INT AS mph, 'tornado|hail 1.5in|wind ' || (50 + o_orderkey % 40) || 'mph' AS threats, 'Yorktown|New Castle|Lima' AS locations, o_orderkey % 2 = 0 AS spotter_activation FROM orders"""
 )
 def alert_details(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     said = F.concat(
         F.lit("A tornado was reported near Yorktown moving northeast at "), (c % 60).cast("string"), F.lit(" mph until "), (c % 12 + 1).cast("string"),
-        F.lit(":15 PM. Hail of 1.5 inch and winds up to "), (50 + k % 40).cast("string"), F.lit(" mph over the New Castle area, near Yorktown. "), F.when(k % 2 == 0, "Spotter activation is requested.").otherwise(""),
+        F.lit(":15 PM. Hail of 1.5 inch and winds up to "), (50 + k % 40).cast("string"), F.lit(" mph over the New Castle area, near Yorktown. Hail fell near Lima Ohio. "), F.when(k % 2 == 0, "Spotter activation is requested.").otherwise(""),
     )
     o = roles.load(spark, d, "orders").select("o_orderkey", observation.alert_details(said).alias("a"))
     return o.select("o_orderkey", "a.until_text", "a.motion.mph", F.array_join("a.threats", "|").alias("threats"), F.array_join("a.locations", "|").alias("locations"), "a.spotter_activation")
@@ -442,11 +425,21 @@ def same_header(spark, d):
     return o.select("o_orderkey", "h.event", "h.purge_minutes", F.size("h.areas").alias("n_areas"), "h.station", codes.event_label(F.col("h.event")).alias("label"), F.array_join(F.array_compact(F.transform("h.areas", lambda a: codes.county(a))), "|").alias("county"))
 
 
-@query("SELECT n_nationkey, coalesce(CASE upper(substr(n_name, 1, 3)) WHEN 'EAN' THEN 'Emergency Action Notification' END, substr(n_name, 1, 3)) AS label, r_name AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+def case_of(table: dict, key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+CODES = [*codes.EVENTS, "ZZZ", "tor"]
+
+
+@query(
+    f"""WITH c AS (SELECT o_orderkey, [{", ".join(f"'{c}'" for c in CODES)}][o_orderkey % {len(CODES)} + 1] AS code FROM orders)
+        SELECT o_orderkey, coalesce({case_of(codes.EVENTS, "upper(code)")}, code) AS label FROM c"""
+)
 def label_lookup(spark, d):
-    n = roles.load(spark, d, "nation").withColumn("code", F.substring("n_name", 1, 3))
-    r = F.broadcast(roles.load(spark, d, "region"))  # five rows
-    return n.join(r, n["n_regionkey"] == r["r_regionkey"], "left").select("n_nationkey", codes.event_label(F.col("code")).alias("label"), F.col("r_name").alias("region"))
+    """Every event code, one that is none and one in small letters."""
+    code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("o_orderkey") % len(CODES) + 1).cast("int"))
+    return roles.load(spark, d, "orders").select("o_orderkey", codes.event_label(code).alias("label"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9%. ]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM documents")
@@ -461,16 +454,10 @@ def term_fold(spark, d):
     return roles.load(spark, d, "orders").select("o_orderkey", T.fold_terms(said).alias("folded"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, lower(trim(text, ' ')) AS t FROM documents WHERE text NOT LIKE E'%\n%'), s AS (SELECT doc_id, string_split(t, ' ') AS ws FROM w)
-        SELECT doc_id, len(ws) >= 12 AND len(list_distinct(ws))::DOUBLE / len(ws) < 0.35 OR list_aggregate(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i >= 6 AND len(list_distinct(ws[i - 5:i])) = 1 THEN 1 ELSE 0 END), 'sum') > 0 AS loop FROM s WHERE len(ws) >= 3""")
+@query(r"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '') AS ws FROM documents)
+        SELECT doc_id, len(ws) >= 3 AND (len(ws) >= 12 AND len(list_distinct(ws))::DOUBLE / len(ws) < 0.35
+            OR coalesce(list_max(list_transform(range(6, len(ws) + 1), lambda i: CASE WHEN ws[i] = ws[i - 1] AND len(list_distinct(ws[i - 5:i])) = 1 THEN 1 ELSE 0 END)), 0) = 1) AS loop FROM s""")
 def repetition_guard(spark, d):
-    docs = roles.load(spark, d, "documents").where(~F.col("text").contains("\n"))
-    return docs.where(F.size(F.split(F.trim("text"), " ")) >= 3).select("doc_id", T.is_loop(F.col("text")).alias("loop"))
-
-
-@query()
-def repetition_guard_all(spark, d):
-    """The guard over every document; repetition_guard holds the part that its SQL reads."""
     return roles.load(spark, d, "documents").select("doc_id", T.is_loop(F.col("text")).alias("loop"))
 
 
@@ -500,11 +487,8 @@ def text_search(spark, d):
         SELECT a.vec_id, max(list_inner_product(a.v, b.v)) AS best, max(list_inner_product(a.v, b.v)) >= 0.5 AS is_repeat FROM e a JOIN e b ON b.vec_id BETWEEN a.vec_id - 20 AND a.vec_id - 1 GROUP BY a.vec_id"""
 )
 def cosine_recent(spark, d):
-    frame = Window.partitionBy((F.lit(0))).orderBy("vec_id").rangeBetween(-20, -1)
-    e = roles.load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    near = e.withColumn("past", F.collect_list("v").over(frame)).where(F.size("past") > 0)
-    dots = F.transform("past", lambda p: F.aggregate(F.zip_with("v", p, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
-    return near.select("vec_id", F.array_max(dots).alias("best")).withColumn("is_repeat", F.col("best") >= 0.5)
+    e = roles.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return folds.recent_similarity(e).withColumnRenamed("id", "vec_id")
 
 
 @query("SELECT conv_id, sum((length(text) % 100) / 100.0::DOUBLE * turn) / sum(turn) AS avg_confidence FROM conversations GROUP BY conv_id HAVING sum(turn) > 0")
@@ -523,22 +507,38 @@ def spelling_merge(spark, d):
     return tables.merge_spellings(_latest(spark, d), aliases).select("city", "condition", "value", "sightings", "first_seen", "last_seen")
 
 
-@query(r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word HAVING count(*) >= 50")
+@query(r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word")
 def slot_frequency(spark, d):
     words = roles.load(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 50")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    f"""WITH r AS ({READINGS}) SELECT count(*) AS total, count(*) FILTER (WHERE value < 0) AS negative, count(*) FILTER (WHERE value > 8) AS high, count(*) FILTER (WHERE city IS NULL OR city = '') AS no_city,
-        count(*) FILTER (WHERE captured_at > TIMESTAMP '{roles.NOW}') AS future, count(DISTINCT city) AS cities FROM r"""
+    """WITH o AS (SELECT ['temperature_f', 'dewpoint_f', 'humidity_pct', 'pressure_in', 'wind_speed_mph'][event_id % 5 + 1] AS condition, value - 30 AS value FROM events),
+        f AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'Monday Night' ELSE 'Monday' END AS period, o_custkey % 200 - 40 AS high_f, o_orderkey % 150 - 50 AS low_f, o_orderkey % 120 AS precip_pct FROM orders),
+        l AS (SELECT CASE c_custkey % 4 WHEN 0 THEN 'New Castle' WHEN 1 THEN 'In' WHEN 2 THEN 'muncie' ELSE 'St. Mary' END AS city, c_custkey % 3 AS sightings FROM customer),
+        a AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'tor' WHEN 1 THEN 'QQQ' ELSE '' END AS event, s_suppkey % 4 AS wrong FROM supplier),
+        r AS (SELECT CASE conv_id % 3 WHEN 0 THEN 'unknown' END AS product_type, CASE conv_id % 2 WHEN 0 THEN 'observation' END AS type, CASE turn % 5 WHEN 0 THEN ' Thank you. ' WHEN 1 THEN '...' WHEN 2 THEN '' ELSE text END AS text, turn FROM conversations)
+        SELECT (SELECT count(*) FROM o WHERE condition = 'temperature_f' AND (value < -40 OR value > 120)) AS temperature_f_out, (SELECT count(*) FROM o WHERE condition = 'dewpoint_f' AND (value < -50 OR value > 90)) AS dewpoint_f_out,
+            (SELECT count(*) FROM o WHERE condition = 'humidity_pct' AND (value < 0 OR value > 100)) AS humidity_pct_out, (SELECT count(*) FROM o WHERE condition = 'pressure_in' AND (value < 25 OR value > 33)) AS pressure_in_out,
+            (SELECT count(*) FROM o WHERE condition = 'wind_speed_mph' AND (value < 0 OR value > 120)) AS wind_speed_mph_out, (SELECT count(*) FROM f WHERE high_f < -30 OR high_f > 120) AS high_f_out,
+            (SELECT count(*) FROM f WHERE low_f < -40 OR low_f > 90) AS low_f_out, (SELECT count(*) FROM f WHERE precip_pct < 0 OR precip_pct > 100) AS precip_pct_out, (SELECT count(*) FROM f WHERE high_f < low_f) AS high_under_low,
+            (SELECT count(*) FROM f WHERE period ILIKE '%night%' AND low_f >= 85) AS warm_nights, (SELECT count(*) FROM l WHERE sightings >= 2) AS cities, (SELECT count(*) FROM l WHERE sightings >= 2 AND city IN ('In', 'muncie')) AS odd_cities,
+            (SELECT count(*) FROM a) AS alerts, (SELECT count(*) FROM a WHERE event = 'QQQ') AS unknown_events, (SELECT sum(wrong)::BIGINT FROM a) AS bad_areas, (SELECT count(*) FROM r) AS reports,
+            (SELECT count(*) FROM r WHERE turn % 5 IN (0, 1)) AS nothing_said, (SELECT 100.0::DOUBLE * count(*) FILTER (WHERE coalesce(product_type, type, '?') = 'unknown') / count(*) FROM r) AS unknown_pct"""
 )
 def audit_counts(spark, d):
-    r = roles.readings(spark, d)
-    return r.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("value") < 0).alias("negative"), F.count_if(F.col("value") > 8).alias("high"),
-        F.count_if(F.col("city").isNull() | (F.col("city") == "")).alias("no_city"), F.count_if(F.col("captured_at") > roles.now()).alias("future"), F.count_distinct("city").alias("cities"),
-    )
+    """All checks over the driver's tables in the roles of the stored ones."""
+    pick = lambda names, key: F.element_at(F.array(*[F.lit(x) for x in names]), (key + 1).cast("int"))
+    o = roles.load(spark, d, "events").select(pick(audit.CONDITION_BOUNDS, F.col("event_id") % 5).alias("condition"), (F.col("value") - 30).alias("value"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    f = roles.load(spark, d, "orders").select(F.when(k % 2 == 0, "Monday Night").otherwise("Monday").alias("period"), (c % 200 - 40).alias("high_f"), (k % 150 - 50).alias("low_f"), (k % 120).alias("precip_pct"))
+    shown = roles.load(spark, d, "customer").select(pick(["New Castle", "In", "muncie", "St. Mary"], F.col("c_custkey") % 4).alias("city"), F.lit("temperature_f").alias("condition"), (F.col("c_custkey") % 3).alias("sightings"))
+    n = (F.col("s_suppkey") % 4).cast("int")
+    a = roles.load(spark, d, "supplier").select(pick(["tor", "QQQ", ""], F.col("s_suppkey") % 3).alias("event"), F.concat(F.array_repeat(F.lit("18035"), n), F.array(F.lit("018035"))).alias("areas"))
+    said = F.when(F.col("turn") % 5 == 0, " Thank you. ").when(F.col("turn") % 5 == 1, "...").when(F.col("turn") % 5 == 2, "").otherwise(F.col("text"))
+    r = roles.load(spark, d, "conversations").select(F.when(F.col("conv_id") % 3 == 0, "unknown").alias("product_type"), F.when(F.col("conv_id") % 2 == 0, "observation").alias("type"), said.alias("text"))
+    return audit.audit(o, f, shown, a, r)
 
 
 @query(
@@ -589,11 +589,7 @@ def prune_stale(spark, d):
         SELECT station, min(ts) AS start_at, max(ts) AS end_at, count(*) AS frames FROM g GROUP BY station, n"""
 )
 def segment_islands(spark, d):
-    w = Window.partitionBy("station").orderBy("ts")
-    e = roles.load(spark, d, "events").select(F.col("user_id").alias("station"), "ts")
-    gap = F.coalesce(F.col("ts") - F.lag("ts").over(w) > F.expr("interval 6 hours"), F.lit(True))
-    g = e.withColumn("gap", gap.cast("int")).withColumn("n", F.sum("gap").over(w))
-    return g.groupBy("station", "n").agg(F.min("ts").alias("start_at"), F.max("ts").alias("end_at"), F.count(F.lit(1)).alias("frames")).drop("n")
+    return folds.islands(roles.load(spark, d, "events").select(F.col("user_id").alias("station"), F.col("ts").alias("at")), 6 * 3600)
 
 
 @query()

@@ -82,26 +82,41 @@ def alerts_in_force(alerts: DataFrame, details: DataFrame, now: Column) -> DataF
     return linking.link_details(found, details)
 
 
-def forecast_periods(forecasts: DataFrame, last_confirmed: Column, now: Column, tz: str | None = None, uncertain: float = DEFAULTS.uncertain_below) -> DataFrame:
-    """Each city's newest issue: a row per period with its window, age since it was last confirmed and contested fields."""
+def forecast_periods(forecasts: DataFrame, aired: Column, now: Column, tz: str | None = None, uncertain: float = DEFAULTS.uncertain_below, stale_minutes: float = DEFAULTS.stale_minutes) -> DataFrame:
+    """Each city's newest issue: a row per period with its window, ages since it was issued and last confirmed, and contested fields.
+
+    aired: when a forecast was last heard, changed or not (null: never). Periods without a window come last.
+    """
     rows = linking.latest_issuance(forecasts)
-    window = measures.period_window(F.col("period"), F.col("issued_at"), tz)
-    confirmed = F.greatest("issued_at", last_confirmed)
-    contested = F.map_keys(F.map_filter("confidence", lambda k, v: v < uncertain))
-    out = rows.withColumns({"w": window, "last_confirmed": confirmed, "uncertain": contested})
-    return out.select("*", "w.valid_from", "w.valid_to", measures.age_minutes(F.col("last_confirmed"), now).alias("age_min")).drop("w").orderBy("city", F.asc_nulls_last("valid_from"), "period")
+    confirmed = F.greatest("issued_at", aired)
+    contested = F.array_sort(F.map_keys(F.map_filter(F.coalesce("confidence", F.create_map().cast("map<string,double>")), lambda k, v: v < uncertain)))
+    age = lambda c: measures.age_minutes(F.col(c), now)
+    out = rows.withColumns({"w": measures.period_window(F.col("period"), F.col("issued_at"), tz), "last_confirmed": confirmed, "uncertain": contested})
+    out = out.withColumns({"valid_from": F.col("w.valid_from"), "valid_to": F.col("w.valid_to"), "age_min": F.round(age("issued_at"), 1), "confirmed_age_min": F.round(age("last_confirmed"), 1), "stale": age("last_confirmed") > stale_minutes})
+    return out.drop("w").orderBy("city", F.asc_nulls_last("valid_from"), "period")
+
 
+def snapshot(tables: dict[str, DataFrame], home: str, now: Column, station: str | None = None, tz: str | None = None, **how) -> DataFrame:
+    """One row: the home city's conditions, the roundup, the almanac, forecast periods and alerts in force, nested.
 
-def snapshot(tables: dict[str, DataFrame], home: str, now: Column, **how) -> DataFrame:
-    """One row: the home city's conditions, the roundup, forecast periods and alerts in force, nested."""
+    Of one station, or, for tables of a single one, of all rows.
+    """
+    of = {name: df.where(F.col("station") == station) if station is not None and "station" in df.columns else df for name, df in tables.items()}
     own, heat = F.lower("city") == home.lower(), F.col("condition") == "temperature_f"
-    rows = marked(tables["latest"].where(own | heat), now, **how)  # one pass over the latest view
+    rows = marked(of["latest"].where(own | heat), now, **how)  # one pass over the latest view
     readings = rows.agg(
-        F.collect_list(F.when(own, F.struct("condition", "value", "stale", "trust"))).alias("conditions"),
-        F.array_sort(F.collect_list(F.when(~own, F.struct("city", "value", "stale")))).alias("roundup"),
+        F.array_sort(F.collect_list(F.when(own, F.struct("condition", "value", "stale", "trust", "confidence")))).alias("conditions"),
+        F.array_sort(F.collect_list(F.when(~own & heat, F.struct("city", "value", "stale")))).alias("roundup"),
     )
-    warned = alerts_in_force(tables["alerts"], tables["alert_details"], now).agg(F.collect_list(F.struct("event", "event_label", "counties", "areas", "expires_at", "spoken")).alias("alerts"))
-    return readings.crossJoin(F.broadcast(warned)).select(F.lit(home).alias("city"), now.alias("generated_at"), "*")  # a row each
+    recaps = marked(of["almanac"], now, **{"stale_minutes": DEFAULTS.almanac_stale_minutes, **{k: v for k, v in how.items() if k != "stale_minutes"}})
+    almanac = recaps.agg(F.array_sort(F.collect_list(F.struct("field", "value", "stale", "trust", "confidence"))).alias("almanac"))
+    aired = of["airings"].agg(F.max("aired").alias("__aired"))  # one row
+    periods = forecast_periods(of["forecasts"].crossJoin(F.broadcast(aired)), F.col("__aired"), now, tz)
+    order = F.struct("city", F.col("valid_from").isNull().alias("open"), "valid_from", "period", "high_f", "low_f", "precip_pct", "sky", "valid_to", "issued_at", "confirmed_age_min", "stale", "uncertain")
+    ahead = periods.agg(F.array_sort(F.collect_list(order)).alias("forecast"))
+    warned = alerts_in_force(of["alerts"], of["alert_details"], now).agg(F.array_sort(F.collect_list(F.struct("event", "event_label", "counties", "areas", "expires_at", "spoken"))).alias("alerts"))
+    parts = [F.broadcast(p) for p in (almanac, ahead, warned)]  # a row each
+    return readings.crossJoin(parts[0]).crossJoin(parts[1]).crossJoin(parts[2]).select(F.lit(station).alias("station"), F.lit(home).alias("city"), now.alias("generated_at"), "*")
 
 
 def section_counts(df: DataFrame, key: str) -> DataFrame:

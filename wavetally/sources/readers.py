@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,18 @@ def weighted_confidence(segments: DataFrame, key: str = "file") -> DataFrame:
     return segments.groupBy(key).agg(F.when(total > 0, F.sum(F.col("confidence") * F.col("tokens")) / total).otherwise(F.lit(0.0)).alias("avg_confidence"))
 
 
+def pcm_frames(spark: SparkSession, path: str, frame_bytes: int = 640, rate: int = dsp.RATE, stream: bool = False) -> DataFrame:
+    """path, frame, at_s, pcm: whole frames of raw 16-bit sound files, as a batch or a stream of new files.
+
+    A rest shorter than a frame is left out; times run from the file's start.
+    """
+    reader = (spark.readStream.schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY") if stream else spark.read).format("binaryFile")
+    files = reader.load(path).select("path", "content", F.floor(F.length("content") / frame_bytes).cast("int").alias("n")).where("n > 0")
+    frames = files.select("path", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("frame"))
+    cut = F.substring(F.col("content"), F.col("frame") * frame_bytes + 1, F.lit(frame_bytes))
+    return frames.select("path", F.col("frame").cast("bigint").alias("frame"), (F.col("frame") * (frame_bytes / 2 / rate)).alias("at_s"), cut.alias("pcm"))
+
+
 def wav_files(spark: SparkSession, path: str) -> DataFrame:
     """path, rate, pcm (16-bit samples) of WAV files."""
 
@@ -74,6 +89,28 @@ def fingerprint_dumps(spark: SparkSession, path: str, size: int = dsp.MELS * dsp
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "stamp string, vector array<float>")
 
 
+def write_heartbeat(payload: dict, path: str) -> None:
+    """The newest heartbeat as one JSON file, replaced in one step; a failure never reaches the caller."""
+    try:
+        with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+            json.dump(payload, f)
+        os.replace(f"{path}.tmp", path)
+    except OSError:
+        pass
+
+
+def heartbeat_sink(path: str, to_table: str):
+    """A foreachBatch writer of heartbeats (of health.heartbeats): a JSON file for each station and, a folder for each
+    batch, the rows themselves; a batch that is run again replaces what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{to_table}/batch={number}")
+        for row in batch.sparkSession.read.parquet(f"{to_table}/batch={number}").toLocalIterator():  # a row a station
+            write_heartbeat({k: v if isinstance(v, int) or v is None else str(v) for k, v in row.asDict().items()}, f"{path}/{row['station']}.json")
+
+    return write
+
+
 def replace_table(df: DataFrame, path: str, by: str | None = None) -> None:
     """Writes a projected table anew; raw reports are never replaced."""
     writer = df.write.mode("overwrite")

@@ -1,4 +1,4 @@
-"""The repeat vote and the novelty gate over streams, with the same results as in batch for rows in order."""
+"""The repeat vote over streams, with the same results as in batch for rows in order; the latest view and the webhook."""
 
 from __future__ import annotations
 
@@ -44,13 +44,16 @@ def vote_stream(readings: DataFrame, settings: Settings = DEFAULTS, mode: str =
 
 
 def upsert_latest(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer of the latest view. Each batch writes a version of its own folder, so a batch that is
-    run again after a failure replaces what it wrote and sightings are never counted twice."""
+    """A foreachBatch writer of the latest view. Each batch writes a version in a folder of its own, so a batch that is
+    run again after a failure replaces what it wrote and sightings are never counted twice. The last two versions stay."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{path}/version={number - 1}") if number > 0 else None
         merge(before, batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
 
