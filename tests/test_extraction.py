@@ -124,10 +124,10 @@ def test_every_document_gets_a_loop_verdict(spark, tmp_path):
     texts = ["\nthe the\nthe the\tthe  the\n", "It was\n" * 7, "a\u00a0a\u2003a\u3000a\x1ca\x85a", "\none two\n", " a\na\na\na\na ", "line one\nline two", "", " \n ", None]
     rows = [(i, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    found = catalog.QUERIES["repetition_guard_all"](spark, str(tmp_path)).collect()
+    found = catalog.QUERIES["repetition_guard"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["loop"] for r in found} == {i: plain_loop(t) for i, t in rows} and len(found) == len(rows)
     small = "/root/testdata/sf0.001"
-    found = {r["doc_id"]: r["loop"] for r in catalog.QUERIES["repetition_guard_all"](spark, small).collect()}
+    found = {r["doc_id"]: r["loop"] for r in catalog.QUERIES["repetition_guard"](spark, small).collect()}
     assert found == {r["doc_id"]: plain_loop(r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
 
 
@@ -248,7 +248,7 @@ def test_changes_cover_every_series_and_staleness(spark, tmp_path):
         value = None if rnd.random() < 0.05 else rnd.choice([10.0, 120.0, 130.0, 250.0])
         rows.append((i, rnd.choice([0, 6, 1, 2, 5]) if kind != "rare" else 4, kind, value, start + timedelta(minutes=11 * (i // 2))))
     spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, ts timestamp_ntz").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
-    found = [tuple(r) for r in catalog.QUERIES["change_detection_all"](spark, str(tmp_path)).select("seq", "period", "field", "value").collect()]
+    found = [tuple(r) for r in catalog.QUERIES["change_detection"](spark, str(tmp_path)).select("seq", "period", "field", "value").collect()]
     want = plain_changes([(t, i, u % 6, k, None if v is None else int(v // 100)) for i, u, k, v, t in rows])
     assert sorted(found, key=str) == want
     assert {p for _, p, _, _ in found} == {0, 1, 2, 4, 5} and any(v is None for *_, v in found) and any(k == "sixth kind" for _, _, k, _ in found)
