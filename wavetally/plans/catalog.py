@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wavetally.config import DEFAULTS
 from wavetally.functions import codes, measures
 from wavetally.functions import text as T
-from wavetally.operators import audit, folds, formats, health, linking, maintenance, observation, sync, tables, vote
+from wavetally.operators import audit, folds, formats, health, linking, maintenance, observation, sync, tables, verification, vote
 from wavetally.plans import roles
 from wavetally.sources import readers
 
@@ -223,7 +223,7 @@ TEMPS = f"""WITH f AS (SELECT *, issued_at::DATE + lead AS day FROM ({FORECASTS}
 
 def _verified(spark, d):
     f = roles.forecasts(spark, d).withColumn("day", F.date_add("issued_at", F.col("lead")))
-    return linking.window_extreme(f, roles.observations(spark, d), 6, 21, True)
+    return f.join(verification.extremes(f, roles.observations(spark, d).select("city", "at", "value"), (6, 21), True), "id")
 
 
 @query(TEMPS + " SELECT count(*) AS n, avg(high_f - top) AS bias_f, avg(abs(high_f - top)) AS mae_f FROM w")
@@ -246,8 +246,7 @@ def verify_by_lead(spark, d):
 def verify_sky_mode(spark, d):
     f = roles.forecasts(spark, d).withColumn("day", F.date_add("issued_at", F.col("lead")))
     o = roles.observations(spark, d).select("city", "at", F.col("step").alias("value"))
-    met = linking.observed_in_windows(f, o, 8, 20)
-    m = linking.modal_step(met, ["id"], "value").join(f.select("id", "step"), "id")
+    m = verification.sky_modes(f, o, (8, 20)).join(f.select("id", "step"), "id")
     off = F.abs(F.col("step") - F.col("modal"))
     n = F.count(F.lit(1))
     return m.agg(n.alias("n"), (100.0 * F.count_if(off == 0) / n).alias("exact_pct"), (100.0 * F.count_if(off <= 1) / n).alias("within_one_pct"))
