@@ -143,6 +143,18 @@ def test_mix_decides_by_row(spark):
     assert texts == Counter(r["text"] for r in mixing.mix(docs.repartition(7)).collect())
 
 
+def test_stash_alone_leaves_one_folder(spark):
+    from pathlib import Path
+
+    from wavetally.llm.common import shared_dir, stash, stash_alone
+
+    folders = lambda: {p.name for p in Path(shared_dir(spark)).iterdir() if p.name.startswith("stash-")}
+    first = stash(spark.range(5))
+    before = folders()
+    out = stash_alone(lambda: stash(stash(first).where("id > 1")).where("id > 2"))
+    assert len(folders() - before) == 1 and before <= folders() and out.count() == 2 and first.count() == 5
+
+
 URLS = [
     (1, "https://M.Example.NET/en/5?x#y"), (2, "http://example.net/de/5"), (3, "http://example.com/de/1"), (4, "http://a.example.com/de"), (5, "http://x.org/fr/1"),
     (6, None), (7, "no host"), (8, "http://notexample.com/de/1"), (9, "http://x.org"), (10, "http://x.net"), (11, "://y.net/"), (11, "://y.net/"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of stash in this process, the newest last.
+_MADE: list[str] = []
+
+
 def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df, written once to the shared folder as Parquet and read back.
 
@@ -43,9 +48,22 @@ def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stash_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows, stashed; the stashes that making them took are deleted then."""
+    before = len(_MADE)
+    out = stash(make())
+    gone, _MADE[before:] = _MADE[before:-1], _MADE[-1:]
+    jvm, conf = out.sparkSession._jvm, out.sparkSession._jsc.hadoopConfiguration()
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return out
+
+
 def keyed(docs: DataFrame, name: str = "__row") -> DataFrame:
     """docs, written once, with a key for each row: a hash of its columns (but maps), then a number of its own.
 
