@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from wavetally.llm import exact_dedup, mixing, near_copies, packing, toxicity
-from wavetally.llm.common import stash, table
+from wavetally.llm.common import stash_alone, table
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; each one's result is written and read again by the next."""
+    """All stages over the table documents; each one's result is written and read again by the next.
+
+    A stage's own intermediate tables go when its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        docs = stash_alone(partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
