@@ -33,7 +33,6 @@ import heapq
 import itertools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -41,6 +40,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +58,14 @@ SHRINK = 4.0
 FIRST_BLOCK, LONGEST_BLOCK = 8, 512
 #: Bits that the first weights count for against a document's own.
 INERTIA = 100.0
-#: Tokens that a worker mixes at a time, bits that it counts at a time, and entries of its partial counts.
-SLICE_TOKENS, COUNTED_BITS, PARTIAL = 40_000, 2_000_000, 250_000
+#: Bytes of text that a worker splits at a time, tokens that it mixes at a time, bits that it counts at a time, and
+#: entries of its partial counts.
+SPLIT_BYTES, SLICE_TOKENS, COUNTED_BITS, PARTIAL = 1 << 22, 40_000, 2_000_000, 250_000
 DEPTHS, SEEN = 8, 4
 GATES, INPUTS = DEPTHS * SEEN, CONTEXTS
-BLOCK_BITS, FAN = 14, 64
+BLOCK_BITS = 14
+#: Training tokens for one partial sum of a context table.
+TOKENS_A_SUM = 1 << 22
 #: First weights of a gate's inputs by how much the best context has seen: the more, the more their agreement
 #: may add up to. Online steps refine them in each document.
 FIRST_WEIGHTS = ((0.37, 0.37, 0.37), (0.4, 0.4, 0.4), (0.5, 0.5, 0.5), (0.48, 0.48, 0.48))
@@ -70,29 +73,87 @@ FIRST_WEIGHTS = ((0.37, 0.37, 0.37), (0.4, 0.4, 0.4), (0.5, 0.5, 0.5), (0.48, 0.
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 COUNTED = "token binary, n bigint"
-TABLES = "context int, block int, part int, data binary"
+TABLES = "context int, block int, part int, width int, data binary"
 SCORED = "row bigint, doc_id bigint, n_tokens bigint, n_bytes bigint, n_known bigint, head_log10 double, path_log10 double, rare array<binary>, rare_n array<bigint>"
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words between ASCII white space with A-Z lowered; the end token is the empty word."""
-    words = (text or "").encode().lower().split()
-    words.append(b"")
-    return words
+@dataclass
+class Tokens:
+    """Some documents' tokens, as places in an array of different ones."""
+
+    different: pa.Array
+    place: np.ndarray
+    sizes: np.ndarray  # of each document
+    ids: np.ndarray | None = None  # of the different ones, in the tree
+    classes: np.ndarray | None = None
+
+    @classmethod
+    def listed(cls, docs: list[list[bytes]]) -> Tokens:
+        coded = pa.array([t for d in docs for t in d], pa.binary()).dictionary_encode()
+        return cls(coded.dictionary, coded.indices.to_numpy(), np.array([len(d) for d in docs], dtype=np.int64))
+
+    @classmethod
+    def split(cls, texts: pa.Array) -> Tokens:
+        """Words between ASCII white space with A-Z lowered; each document closes with the end token, the empty word."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        parts = lists.flatten()
+        filled = pc.greater(pc.binary_length(parts), 0)
+        coded = parts.filter(filled).dictionary_encode()
+        before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+        offsets = np.asarray(lists.offsets)
+        sizes = np.diff(before[offsets - offsets[0]]) + 1
+        place = np.full(int(sizes.sum()), len(coded.dictionary), dtype=np.int64)
+        word = np.ones(len(place), dtype=bool)
+        word[np.cumsum(sizes) - 1] = False
+        place[word] = coded.indices.to_numpy()
+        return cls(pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([b""], pa.binary())]), place, sizes)
+
+    def looked_up(self, tree: Tree) -> Tokens:
+        listed = self.different.to_pylist()
+        ids = np.fromiter(map(tree.index.get, listed, repeat(tree.escape)), np.int64, len(listed))
+        classes = tree.classes[ids]
+        rare = np.flatnonzero(ids == tree.escape)
+        classes[rare] = [word_class(listed[i]) for i in rare.tolist()]
+        return Tokens(self.different, self.place, self.sizes, ids, classes)
+
+    def slices(self) -> Iterator[tuple[int, Tokens]]:
+        """A bounded number of tokens (at least one document) at a time, with the first document's number."""
+        ends = np.cumsum(self.sizes)
+        for a, b in _runs(ends, SLICE_TOKENS):
+            first = int(ends[a - 1]) if a else 0
+            yield a, Tokens(self.different, self.place[first : ends[b - 1]], self.sizes[a:b], self.ids, self.classes)
+
+
+def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of items, given their sizes' prefix sums, that each end with the item that reaches the bound."""
+    a = 0
+    while a < len(ends):
+        b = min(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most)) + 1, len(ends))
+        yield a, b
+        a = b
+
+
+def _split(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Tokens]]:
+    """Rows with their texts' bytes and tokens, a bounded number of bytes (at least one document) at a time."""
+    for batch in batches:
+        n_bytes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+        for a, b in _runs(np.cumsum(n_bytes), SPLIT_BYTES):
+            rows = batch.slice(a, b - a)
+            yield rows, n_bytes[a:b], Tokens.split(rows.column(column))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    counts: dict[bytes, int] = {}
 
     def out() -> pa.RecordBatch:
         return pa.record_batch([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
 
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(tokens(text.as_py()))
-            if len(counts) > PARTIAL:
-                yield out()
-                counts.clear()
+    for _, _, tokens in _split(batches, 0):
+        for token, n in zip(tokens.different.to_pylist(), np.bincount(tokens.place).tolist(), strict=True):
+            counts[token] = counts.get(token, 0) + n
+        if len(counts) > PARTIAL:
+            yield out()
+            counts.clear()
     yield out()
 
 
@@ -106,8 +167,8 @@ class Tree:
     length: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
+    gates: np.ndarray  # the first gate of each bit's depth
     shrunk: np.ndarray  # [node, bit] pseudo-counts with which its contexts start
-    mixed: np.ndarray  # of each node: a hash
     classes: np.ndarray
 
     @property
@@ -136,6 +197,7 @@ def build_tree(head: list[tuple[bytes, int]], rare: int) -> Tree:
     start, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
     nodes: list[int] = []
     bits: list[int] = []
+    gates: list[int] = []
     odds = np.array([math.log((b + 0.5) / (a + 0.5)) for a, b in node_weight] or [0.0])
     # (tree node, path so far as a linked list)
     stack: list[tuple[int, tuple]] = [(heap[0][1], ())]
@@ -151,6 +213,7 @@ def build_tree(head: list[tuple[bytes, int]], rare: int) -> Tree:
         start[at], length[at] = len(nodes), len(own)
         nodes += [k for k, _ in reversed(own)]
         bits += [b for _, b in reversed(own)]
+        gates += [min(depth, DEPTHS - 1) * SEEN for depth in range(len(own))]
     classes = np.array([i if i < CLASSES else word_class(t) for i, (t, _) in enumerate(head)] + [0], dtype=np.int64)
     return Tree(
         {t: i for i, (t, _) in enumerate(head)},
@@ -159,8 +222,8 @@ def build_tree(head: list[tuple[bytes, int]], rare: int) -> Tree:
         length,
         np.array(nodes, dtype=np.int64),
         np.array(bits, dtype=np.int8),
+        np.array(gates, dtype=np.int8),
         np.stack([SHRINK / (1 + np.exp(odds)), SHRINK / (1 + np.exp(-odds))], axis=1).astype(np.float32),
-        np.arange(len(odds), dtype=np.uint64) * _M2,
         classes,
     )
 
@@ -168,78 +231,70 @@ def build_tree(head: list[tuple[bytes, int]], rare: int) -> Tree:
 class Coded:
     """The bits of some documents, with the slots of their contexts."""
 
-    def __init__(self, docs: list[list[bytes]], tree: Tree, table_bits: int):
-        escape, pad = tree.escape, 2
-        sizes = np.array([len(d) for d in docs], dtype=np.int64)
-        ids = np.full(int(sizes.sum()) + pad * len(docs), escape, dtype=np.int64)
-        ends = np.cumsum(sizes + pad)
-        begin = ends - sizes
-        own = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        flat = [t for d in docs for t in d]
-        ids[own] = np.fromiter(map(tree.index.get, flat, repeat(escape)), np.int64, len(flat))
-        classes = tree.classes[ids]
-        self.rare = np.flatnonzero(ids[own] == escape)
-        classes[own[self.rare]] = [word_class(flat[i]) for i in self.rare.tolist()]
+    def __init__(self, docs: Tokens | list[list[bytes]], tree: Tree, table_bits: int):
+        tokens = docs if isinstance(docs, Tokens) else Tokens.listed(docs).looked_up(tree)
+        escape, pad, sizes = tree.escape, 2, tokens.sizes
+        total = int(sizes.sum())
+        begin = np.cumsum(sizes + pad) - sizes
+        own = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+        ids = np.full(total + pad * len(sizes), escape, dtype=np.int64)
+        classes = np.full(len(ids), 2 * CLASSES, dtype=np.int64)
+        ids[own], classes[own] = tokens.ids[tokens.place], tokens.classes[tokens.place]
         padding = np.ones(len(ids), dtype=bool)
         padding[own] = False
-        classes[padding] = 2 * CLASSES
         frequent = np.where(padding, FREQUENT, np.where(ids < min(FREQUENT, escape), ids, -1))
         last = np.maximum.accumulate(np.where(frequent >= 0, np.arange(len(ids)), 0))
         one, two = classes[own - 1], classes[own - 2]
         f1 = last[own - 1]
         f2 = last[np.maximum(f1 - 1, 0)]
         keys = [one, one % 64 * 64 + two % 64, frequent[f1] * (FREQUENT + 1) + frequent[f2]]
-        doc = np.repeat(np.arange(len(docs)), sizes)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.doc, self.ids, self.flat, self.sizes = doc, ids[own], flat, sizes
+        self.doc, self.ids, self.sizes = doc, ids[own], sizes
         # The bits come block by block, and in each block document by document.
         doubled = np.where(place < FIRST_BLOCK, 0, np.log2(np.maximum(place, 1) / FIRST_BLOCK).astype(np.int64) + 1)
         block = np.where(place < LONGEST_BLOCK, doubled, int(math.log2(LONGEST_BLOCK / FIRST_BLOCK)) + place // LONGEST_BLOCK)
         order = np.argsort(block, kind="stable")
         ordered = self.ids[order]
-        n = tree.length[ordered]
-        stops = np.cumsum(n)
-        token = np.repeat(np.arange(len(own)), n)
-        self.depth = np.arange(len(token)) - np.repeat(stops - n, n)
-        at = tree.start[ordered][token] + self.depth
-        self.node, self.bit, self.of = tree.nodes[at], tree.bits[at], doc[order][token]
+        self.length = tree.length[ordered]
+        stops = np.cumsum(self.length)
+        at = np.repeat(tree.start[ordered] - (stops - self.length), self.length)
+        at += np.arange(len(at))
+        self.at, self.node, self.bit = at, tree.nodes.take(at), tree.bits.take(at)
+        self.ordered = doc[order]
         turns = np.flatnonzero(np.diff(block[order])) + 1
-        self.cuts = [0, *(stops[turns - 1].tolist()), len(token)]
-        mixed = tree.mixed[self.node]
+        self.cuts = [0, *(stops[turns - 1].tolist()), len(at)]
+        mixed = self.node.view(np.uint64) * _M2
         shift = np.uint64(64 - table_bits)
-        keyed = [(k[order].astype(np.uint64) + np.uint64((j + 1) << 24)) * _M1 for j, k in enumerate(keys)]
-        self.slots = [((k[token] ^ mixed) * _M3 >> shift).view(np.int64) for k in keyed]
+        self.slots = []
+        for j, key in enumerate(keys):
+            slot = np.repeat((key[order].astype(np.uint64) + np.uint64((j + 1) << 24)) * _M1, self.length)
+            slot ^= mixed
+            slot *= _M3
+            slot >>= shift
+            self.slots.append(slot.view(np.int64))
+
+    @property
+    def depth(self) -> np.ndarray:
+        return np.arange(len(self.at)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
 
     def inputs(self, tree: Tree, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """[INPUTS, bit] predictions as log odds, and each bit's gate."""
+        """[INPUTS, bit] predictions as log odds, and each bit's gate in its document."""
         x = np.empty((INPUTS, len(self.node)), dtype=np.float32)
         start = tree.shrunk.view(np.float64).ravel().take(self.node).view(np.float32).reshape(-1, 2)
         for j, table in enumerate(tables):
             counts = table.view(np.float64).reshape(-1).take(self.slots[j]).view(np.float32).reshape(-1, 2)
             both = counts + start
-            np.log(both[:, 1] / both[:, 0], out=x[j])
+            np.divide(both[:, 1], both[:, 0], out=x[j])
+        np.log(x, out=x)
         seen = counts[:, 0] + counts[:, 1]
-        gate = np.minimum(self.depth, DEPTHS - 1) * SEEN + (seen >= 4) + (seen >= 32) + (seen >= 512)
+        gate = np.repeat(self.ordered * GATES, self.length)
+        gate += tree.gates.take(self.at)
+        for least in (4, 32, 512):
+            gate += seen >= least
         return x, gate
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[int], list[list[bytes]], list[int], pa.RecordBatch]]:
-    """Rows of a batch with their tokens, a bounded number of tokens (at least one document) at a time."""
-    for batch in batches:
-        at, docs, sizes, n = [], [], [], 0
-        for i, text in enumerate(batch.column(column)):
-            value = text.as_py()
-            at.append(i)
-            docs.append(tokens(value))
-            sizes.append(len((value or "").encode()))
-            n += len(docs[-1])
-            if n >= SLICE_TOKENS:
-                yield at, docs, sizes, batch
-                at, docs, sizes, n = [], [], [], 0
-        if at:
-            yield at, docs, sizes, batch
-
-
 def _trained(batches: Iterator[pa.RecordBatch], tree, table_bits: int) -> Iterator[pa.RecordBatch]:
     """This task's counts of each context table, in compressed blocks."""
     from pyspark import TaskContext
@@ -254,14 +309,15 @@ def _trained(batches: Iterator[pa.RecordBatch], tree, table_bits: int) -> Iterat
             slots.clear()
 
     n = 0
-    for _, docs, _, _ in _slices(batches, 0):
-        coded = Coded(docs, tree.value, table_bits)
-        for slots, own in zip(seen, coded.slots, strict=True):
-            slots.append((own * 2 + coded.bit).astype(np.int32))
-        n += len(coded.bit)
-        if n >= COUNTED_BITS:
-            count()
-            n = 0
+    for _, _, tokens in _split(batches, 0):
+        for _, some in tokens.looked_up(tree.value).slices():
+            coded = Coded(some, tree.value, table_bits)
+            for slots, own in zip(seen, coded.slots, strict=True):
+                slots.append((own * 2 + coded.bit).astype(np.int32))
+            n += len(coded.bit)
+            if n >= COUNTED_BITS:
+                count()
+                n = 0
     count()
     part = TaskContext.get().partitionId()
     for j, table in enumerate(tables):
@@ -271,19 +327,27 @@ def _trained(batches: Iterator[pa.RecordBatch], tree, table_bits: int) -> Iterat
 
 
 def _block(context: int, block: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
-    data = zlib.compress(counts.astype("<i8").tobytes(), 1)
-    return pa.record_batch([pa.array([context], pa.int32()), pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["context", "block", "part", "data"])
+    width = next(w for w in (2, 4, 8) if not int(counts.max()) >> 8 * w)  # bytes that hold every count
+    data = zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
+    return pa.record_batch(
+        [pa.array([context], pa.int32()), pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([width], pa.int32()), pa.array([data], pa.binary())],
+        names=["context", "block", "part", "width", "data"],
+    )
+
+
+def _counts(width: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=f"<u{width}").astype(np.int64)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up blocks that follow each other under one key; holds one block at a time."""
     key, total = None, None
     for batch in batches:
-        for context, block, part, data in zip(*(batch.column(i) for i in range(4)), strict=True):
+        for context, block, part, width, data in zip(*(batch.column(i) for i in range(5)), strict=True):
             now = (context.as_py(), block.as_py(), part.as_py())
-            counts = np.frombuffer(zlib.decompress(data.as_py()), dtype="<i8")
+            counts = _counts(width.as_py(), data.as_py())
             if now == key:
-                total = total + counts
+                total += counts
             else:
                 if key:
                     yield _block(*key, total)
@@ -292,16 +356,16 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _block(*key, total)
 
 
-def context_tables(train: DataFrame, tree, table_bits: int = TABLE_BITS) -> list[np.ndarray]:
-    """For each context [slot, bit] counts over all training text, summed in two steps of partial sums."""
+def context_tables(train: DataFrame, tree, table_bits: int, fan: int) -> list[np.ndarray]:
+    """For each context [slot, bit] counts over all training text, summed in two steps of partial sums: first in `fan` parts."""
     parts = train.select("text").mapInArrow(partial(_trained, tree=tree, table_bits=table_bits), TABLES)
     keys = ["context", "block", "part"]
-    some = parts.withColumn("part", F.col("part") % FAN).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_summed, TABLES)
+    some = parts.withColumn("part", F.col("part") % fan).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_summed, TABLES)
     whole = some.withColumn("part", F.lit(0)).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_summed, TABLES)
-    width = min(1 << BLOCK_BITS, 2 << table_bits)
+    size = min(1 << BLOCK_BITS, 2 << table_bits)
     tables = [np.zeros(2 << table_bits, dtype=np.float32) for _ in range(CONTEXTS)]
     for row in whole.toLocalIterator():  # as many blocks as the tables have, which are of fixed size
-        tables[row["context"]][row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(zlib.decompress(row["data"]), dtype="<i8")
+        tables[row["context"]][row["block"] * size : (row["block"] + 1) * size] = _counts(row["width"], row["data"])
     return [t.reshape(-1, 2) for t in tables]
 
 
@@ -314,52 +378,52 @@ def code(coded: Coded, tree: Tree, tables: list[np.ndarray], weights: np.ndarray
     """log10 probability of each document's paths; the weights follow each document's own bits."""
     docs = len(coded.sizes)
     cells = docs * GATES
-    total = np.zeros(docs)
-    x, gate = coded.inputs(tree, tables)
-    cell = coded.of * GATES + gate
+    cost = np.zeros(cells)
+    x, cell = coded.inputs(tree, tables)
     own = [np.tile(weights[:, i].astype(np.float32), docs) for i in range(INPUTS)]
     seen = np.full(cells, INERTIA)
     for a, b in itertools.pairwise(coded.cuts):
         at, bit = cell[a:b], coded.bit[a:b]
-        z = own[0][at] * x[0, a:b]
+        z = own[0].take(at) * x[0, a:b]
         for i in range(1, INPUTS):
-            z += own[i][at] * x[i, a:b]
-        p = 1 / (1 + np.exp(-np.clip(z, -15, 15)))
-        total += np.bincount(coded.of[a:b], np.log10(np.where(bit, p, 1 - p)), docs)
+            z += own[i].take(at) * x[i, a:b]
+        z *= 1 - 2 * bit  # log odds against the bit that comes
+        np.clip(z, -15, 15, out=z)
+        odds = np.exp(z, out=z)
+        whole = 1 + odds
+        cost += np.bincount(at, np.log(whole), cells)
         if b < coded.cuts[-1]:
-            error = bit - p
+            error = odds / whole * (2 * bit - 1)
             seen += np.bincount(at, minlength=cells)
             for i in range(INPUTS):
                 own[i] += (np.bincount(at, error * x[i, a:b], cells) / (INPUTS * seen)).astype(np.float32)
-    return total
+    return -cost.reshape(docs, GATES).sum(axis=1) / math.log(10)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], tree, tables, weights: np.ndarray, table_bits: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     tree, row = tree.value, TaskContext.get().partitionId() << 40
-    for at, docs, sizes, batch in _slices(batches, 1):
-        coded = Coded(docs, tree, table_bits)
-        n = len(docs)
-        doc = coded.doc
-        known = coded.ids < tree.escape
-        logs = np.append(tree.log_count, 0.0)[coded.ids]
-        rare: list[Counter] = [Counter() for _ in range(n)]
-        for i in coded.rare.tolist():
-            rare[doc[i]][coded.flat[i]] += 1
-        columns = {
-            "row": pa.array(np.arange(row, row + n)),
-            "doc_id": batch.column(0).take(pa.array(at)),
-            "n_tokens": pa.array(coded.sizes),
-            "n_bytes": pa.array(sizes, pa.int64()),
-            "n_known": pa.array(np.bincount(doc, known, n).astype(np.int64)),
-            "head_log10": pa.array(np.bincount(doc, logs, n)),
-            "path_log10": pa.array(code(coded, tree, tables.value, weights)),
-            "rare": pa.array([list(c.keys()) for c in rare], pa.list_(pa.binary())),
-            "rare_n": pa.array([list(c.values()) for c in rare], pa.list_(pa.int64())),
-        }
-        row += n
-        yield pa.record_batch(list(columns.values()), names=list(columns))
+    log_count = np.append(tree.log_count, 0.0)
+    for rows, n_bytes, tokens in _split(batches, 1):
+        for first, some in tokens.looked_up(tree).slices():
+            coded, n = Coded(some, tree, table_bits), len(some.sizes)
+            escaped = np.flatnonzero(coded.ids == tree.escape)
+            pairs, times = np.unique(coded.doc[escaped] * len(some.different) + some.place[escaped], return_counts=True)
+            offsets = pa.array(np.searchsorted(pairs, np.arange(n + 1) * len(some.different)).astype(np.int32))
+            columns = {
+                "row": pa.array(np.arange(row, row + n)),
+                "doc_id": rows.column(0).slice(first, n),
+                "n_tokens": pa.array(coded.sizes),
+                "n_bytes": pa.array(n_bytes[first : first + n]),
+                "n_known": pa.array(np.bincount(coded.doc, coded.ids < tree.escape, n).astype(np.int64)),
+                "head_log10": pa.array(np.bincount(coded.doc, log_count[coded.ids], n)),
+                "path_log10": pa.array(code(coded, tree, tables.value, weights)),
+                "rare": pa.ListArray.from_arrays(offsets, some.different.take(pa.array(pairs % len(some.different)))),
+                "rare_n": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
+            }
+            row += n
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
 
 def score(docs: DataFrame, training: Column, head: int = HEAD, table_bits: int = TABLE_BITS) -> DataFrame:
@@ -378,7 +442,7 @@ def score(docs: DataFrame, training: Column, head: int = HEAD, table_bits: int =
     top = sorted(((bytes(r["token"]), r["c"]) for r in vocabulary.where(frequent).collect()), key=lambda r: (-r[1], r[0]))  # at most head rows
     rare_total, rare_distinct = total - sum(c for _, c in top), distinct - len(top)
     tree = spark.sparkContext.broadcast(build_tree(top, rare_total))
-    tables = spark.sparkContext.broadcast(context_tables(train, tree, table_bits))
+    tables = spark.sparkContext.broadcast(context_tables(train, tree, table_bits, fan=math.isqrt(total // TOKENS_A_SUM) + 1))
     scored = stash(docs.select("doc_id", "text").mapInArrow(partial(_scored, tree=tree, tables=tables, weights=first_weights(), table_bits=table_bits), SCORED))
     each = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.rare_n").alias("n"))
     counted = each.join(vocabulary.where(~frequent), "token", "left")
