@@ -8,28 +8,27 @@ from pyspark.sql import functions as F
 from wavetally.functions import text as T
 from wavetally.functions.measures import in_range
 
-# The phrases that carry each field.
+# The phrases that carry each field; those of conditions, forecast and almanac are matched in lower-case text.
 NUMBER = r"(\d{1,3}|[a-z\- ]+?)"
 SKY = "clear|sunny|fair|partly cloudy|mostly cloudy|cloudy|overcast|partly sunny|mostly sunny|fog|foggy"
-TEMPERATURE = rf"(?i)(?:temperature (?:was|is|of)|it (?:was|is)) {NUMBER} degree"
-DEWPOINT = rf"(?i)dew\s?point (?:was|is|of) {NUMBER}(?: degree)?"
-HUMIDITY = rf"(?i)relative humidity (?:was |is |of )?{NUMBER} ?(?:percent|%)"
-PRESSURE = r"(?i)(?:barometric )?pressure (?:was|is) (\d{2}\.\d{2}) inch"
-TREND = r"(?i)(?:barometric )?pressure (?:was|is) \d{2}\.\d{2} inch(?=(?s:(.{0,30})))"
-CALM = r"(?i)wind (?:was|is) calm"
-WIND = rf"(?i)wind (?:was|is) (?:from the )?({T.DIRECTIONS})(?:erly)? (?:at|around) (\d{{1,3}}|[a-z\- ]+?)"
-OBSERVED_SKY = rf"(?i)(?:it (?:was|is)|currently|skies? (?:were|was|are|is)) ({SKY})\b"
+TEMPERATURE = rf"(?:temperature (?:was|is|of)|it (?:was|is)) {NUMBER} degree"
+DEWPOINT = rf"dew\s?point (?:was|is|of) {NUMBER}(?: degree)?"
+HUMIDITY = rf"relative humidity (?:was |is |of )?{NUMBER} ?(?:percent|%)"
+PRESSURE = r"(?:barometric )?pressure (?:was|is) (\d{2}\.\d{2}) inch"
+TREND = r"(?:barometric )?pressure (?:was|is) \d{2}\.\d{2} inch(?=(?s:(.{0,30})))"
+WIND = rf"wind (?:was|is) (?:from the )?({T.DIRECTIONS})(?:erly)? (?:at|around) (\d{{1,3}}|[a-z\- ]+?)"
+OBSERVED_SKY = rf"(?:it (?:was|is)|currently|skies? (?:were|was|are|is)) ({SKY})\b"
 RECAP = r"(?i)\b(climate summary|yesterday|normal\s+(?:high|low)|degree days?|record (?:high|low)|(?:high|low) temperature was)\b"
-HIGH, LOW = r"(?i)\bhigh[s]?\s+([^.]*?)(?:\.|$)", r"(?i)\blow[s]?\s+([^.]*?)(?:\.|$)"
-STEADY = r"(?i)temperature[s]?\s+(?:near steady\s+|steady\s+|remaining\s+)?(?:in the|near|around)\s+([^.]*?)(?:\.|$)"
-RAIN_CHANCE = rf"(?i)chance of (?:rain|precipitation|showers|snow)[\s,]+{NUMBER}\s*(?:%|percent)"
-ANY_SKY = rf"(?i)\b({SKY})\b"
+HIGH, LOW = r"\bhigh[s]?\s+([^.]*?)(?:\.|$)", r"\blow[s]?\s+([^.]*?)(?:\.|$)"
+STEADY = r"temperature[s]?\s+(?:near steady\s+|steady\s+|remaining\s+)?(?:in the|near|around)\s+([^.]*?)(?:\.|$)"
+RAIN_CHANCE = rf"chance of (?:rain|precipitation|showers|snow)[\s,]+{NUMBER}\s*(?:%|percent)"
+ANY_SKY = rf"\b({SKY})\b"
 SPOKEN_TIME = r"(\d{1,2}(?:[:.\s]\d{2})?\s*[ap]\.?\s?m\.?)"
-SUNRISE, SUNSET = rf"(?i)sunrise[^.]*?\bat\s+{SPOKEN_TIME}", rf"(?i)sunset[^.]*?\bat\s+{SPOKEN_TIME}"
-YEAR_RAIN = r"(?i)precipitation (?:for|from) the year\s+(?:now |still )?stands? at\s+(\d{1,3}\.\d{1,2})"
-DEPARTURE = r"(?i)(\d{1,3}\.\d{1,2})\s*inch(?:es)?\s+(below|above)\s+normal"
-WEEK_RAIN = r"(?i)normal precipitation total for the (?:seven days|7 days|week)\s+is\s+(?:around\s+)?(\d{1,3}\.\d{1,2})"
-HEATING, COOLING = (rf"(?i)(?:were|was)\s+([\w\- ]+?)\s+{kind} degree days?" for kind in ("heating", "cooling"))
+SUNRISE, SUNSET = rf"sunrise[^.]*?\bat\s+{SPOKEN_TIME}", rf"sunset[^.]*?\bat\s+{SPOKEN_TIME}"
+YEAR_RAIN = r"precipitation (?:for|from) the year\s+(?:now |still )?stands? at\s+(\d{1,3}\.\d{1,2})"
+DEPARTURE = r"(\d{1,3}\.\d{1,2})\s*inch(?:es)?\s+(below|above)\s+normal"
+WEEK_RAIN = r"normal precipitation total for the (?:seven days|7 days|week)\s+is\s+(?:around\s+)?(\d{1,3}\.\d{1,2})"
+HEATING, COOLING = (rf"(?:were|was)\s+([\w\- ]+?)\s+{kind} degree days?" for kind in ("heating", "cooling"))
 UNTIL = r"(?i)until\s+(\d{1,2}(?::\d{2})?\s*(?:[ap]\.?\s?m\.?)|\d{3,4}\s*(?:[ap]\.?\s?m\.?)|noon|midnight)"
 MOTION = rf"(?i)\bmov(?:ing|ed)\s+(?:to\s+the\s+)?({T.DIRECTIONS})\s+at\s+(\d{{1,3}})\s*(?:mph|miles per hour)"
 HAIL = (
@@ -49,63 +48,84 @@ PERIOD = rf"this (?:afternoon|evening|morning)|tonight|today|overnight|rest of (
 PERIOD_HEADER = rf"(?i)(?:^|[.,]\s+|\b(?:for|fore|four)\s+)({PERIOD})\b(?=[\s,.]|$)"
 
 
+def _stated(low: Column, sign: str, pattern: str, group: int = 1) -> Column:
+    """A group of the first match. sign: words that every match holds, so that other texts are not scanned for the pattern."""
+    return F.when(low.contains(sign), T.found(low, pattern, group))
+
+
+def _struct(fields: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
+def _wind(low: Column) -> Column:
+    """struct(wind, speed); both null where none is stated."""
+
+    def blowing(said: Column) -> Column:
+        fields = F.struct(T.found(said, WIND, 1).alias("d"), T.words_to_int(F.trim(T.found(said, WIND, 2))).alias("s"))
+        return T.once(fields, lambda w: F.struct(F.when(w["d"].isNotNull(), F.concat_ws(" at ", w["d"], w["s"].cast("string"))).alias("wind"), w["s"].alias("speed")))
+
+    still = F.struct(F.lit("calm").alias("wind"), F.lit(0).alias("speed"))
+    return F.when(low.contains("wind was calm") | low.contains("wind is calm"), still).otherwise(T.once(_stated(low, "wind ", WIND, 0), blowing))
+
+
+def _conditions(low: Column, wind: Column) -> dict[str, Column]:
+    number = lambda sign, pattern: T.words_to_int(F.trim(_stated(low, sign, pattern)))
+    return {
+        "temperature_f": in_range("temperature_f", number(" degree", TEMPERATURE)),
+        "dewpoint_f": in_range("dewpoint_f", number("dew", DEWPOINT)),
+        "humidity_pct": in_range("humidity_pct", number("relative humidity", HUMIDITY)),
+        "pressure_in": in_range("pressure_in", _stated(low, "pressure ", PRESSURE).try_cast("double")),
+        "pressure_trend": T.found(_stated(low, "pressure ", TREND), r"\b(rising|falling|steady)\b"),
+        "wind": wind["wind"],
+        "wind_speed_mph": in_range("wind_speed_mph", wind["speed"]),
+        "sky": T.found(low, OBSERVED_SKY),
+    }
+
+
 def observation(text: Column) -> Column:
     """struct of the conditions stated in a text; nulls for what it doesn't state."""
-    number = lambda pattern: T.words_to_int(F.trim(T.found(text, pattern)))
+    return T.once(F.lower(text), lambda low: T.once(_wind(low), lambda wind: _struct(_conditions(low, wind))))
 
-    def blowing(direction: Column, speed: Column) -> Column:
-        phrase = F.concat_ws(" at ", direction, speed.cast("string"))
-        return F.struct(F.when(direction.isNotNull(), phrase).alias("wind"), speed.alias("speed"))
 
-    stated = F.struct(F.lower(T.found(text, WIND, 1)).alias("d"), T.words_to_int(F.trim(T.found(text, WIND, 2))).alias("s"))
-    still = F.struct(F.lit("calm").alias("wind"), F.lit(0).alias("speed"))
-    return T.once(F.when(text.rlike(CALM), still).otherwise(T.once(stated, lambda w: blowing(w["d"], w["s"]))), lambda wind: _observation(text, number, wind))
+def _degrees(low: Column) -> dict[str, Column]:
+    fields = (("high_f", "high", HIGH), ("low_f", "low", LOW), ("steady_f", "temperature", STEADY))
+    return {name: in_range(name, T.temp_phrase(_stated(low, sign, pattern))) for name, sign, pattern in fields}
 
 
-def _observation(text: Column, number, wind: Column) -> Column:
-    return F.struct(
-        in_range("temperature_f", number(TEMPERATURE)).alias("temperature_f"),
-        in_range("dewpoint_f", number(DEWPOINT)).alias("dewpoint_f"),
-        in_range("humidity_pct", number(HUMIDITY)).alias("humidity_pct"),
-        in_range("pressure_in", T.found(text, PRESSURE).try_cast("double")).alias("pressure_in"),
-        F.lower(T.found(T.found(text, TREND), r"(?i)\b(rising|falling|steady)\b")).alias("pressure_trend"),
-        wind["wind"].alias("wind"),
-        in_range("wind_speed_mph", wind["speed"]).alias("wind_speed_mph"),
-        F.lower(T.found(text, OBSERVED_SKY)).alias("sky"),
-    )
+def _rain_chance(low: Column) -> Column:
+    return in_range("precip_pct", T.words_to_int(_stated(low, "chance of ", RAIN_CHANCE)))
 
 
 def forecast_fields(text: Column) -> Column:
     """struct(high_f, low_f, steady_f, precip_pct, sky) of one stretch of forecast."""
-    labelled = F.struct(in_range("high_f", T.temp_phrase(T.found(text, HIGH))).alias("high_f"), in_range("low_f", T.temp_phrase(T.found(text, LOW))).alias("low_f"))
-    steady = in_range("steady_f", T.temp_phrase(T.found(text, STEADY)))
-
-    def fields(t: Column) -> Column:
-        return F.struct(
-            t["high_f"].alias("high_f"),
-            t["low_f"].alias("low_f"),
-            F.when(t["high_f"].isNull() & t["low_f"].isNull(), steady).alias("steady_f"),
-            in_range("precip_pct", T.words_to_int(T.found(text, RAIN_CHANCE))).alias("precip_pct"),
-            F.lower(T.found(text, ANY_SKY)).alias("sky"),
-        )
 
-    return T.once(labelled, fields)
+    def fields(low: Column) -> Column:
+        degrees = _degrees(low)
+        steady = degrees.pop("steady_f")
+        rest = {"precip_pct": _rain_chance(low), "sky": T.found(low, ANY_SKY)}
+        return T.once(_struct(degrees), lambda t: _struct({n: t[n] for n in degrees} | {"steady_f": F.when(t["high_f"].isNull() & t["low_f"].isNull(), steady)} | rest))
+
+    return T.once(F.lower(text), fields)
+
+
+def _almanac(low: Column) -> dict[str, Column]:
+    number = lambda sign, p: _stated(low, sign, p).try_cast("double")
+    days = lambda sign, p: T.once(F.trim(_stated(low, sign, p)), lambda d: F.when(d == "no", 0).otherwise(T.words_to_int(d)))
+    side = F.when(_stated(low, "normal", DEPARTURE, 2) == "below", -1.0).otherwise(1.0)
+    return {
+        "sunrise": T.clock(_stated(low, "sunrise", SUNRISE)),
+        "sunset": T.clock(_stated(low, "sunset", SUNSET)),
+        "precip_year_in": in_range("precip_year_in", number("the year", YEAR_RAIN)),
+        "precip_departure_in": in_range("precip_departure_in", number("normal", DEPARTURE) * side),
+        "normal_precip_week_in": in_range("normal_precip_week_in", number("normal precipitation total", WEEK_RAIN)),
+        "heating_degree_days": in_range("heating_degree_days", days("heating degree day", HEATING)),
+        "cooling_degree_days": in_range("cooling_degree_days", days("cooling degree day", COOLING)),
+    }
 
 
 def almanac(text: Column) -> Column:
     """struct of the climate summary's fields."""
-    number = lambda p: T.found(text, p).try_cast("double")
-    days = lambda p: T.once(F.lower(F.trim(T.found(text, p))), lambda d: F.when(d == "no", 0).otherwise(T.words_to_int(d)))
-    sign = F.when(F.lower(T.found(text, DEPARTURE, 2)) == "below", -1.0).otherwise(1.0)
-    return F.struct(
-        T.clock(T.found(text, SUNRISE)).alias("sunrise"),
-        T.clock(T.found(text, SUNSET)).alias("sunset"),
-        in_range("precip_year_in", number(YEAR_RAIN)).alias("precip_year_in"),
-        in_range("precip_departure_in", number(DEPARTURE) * sign).alias("precip_departure_in"),
-        in_range("normal_precip_week_in", number(WEEK_RAIN)).alias("normal_precip_week_in"),
-        in_range("heating_degree_days", days(HEATING)).alias("heating_degree_days"),
-        in_range("cooling_degree_days", days(COOLING)).alias("cooling_degree_days"),
-    )
+    return T.once(F.lower(text), lambda low: _struct(_almanac(low)))
 
 
 def alert_details(text: Column, aliases: dict[str, str] | None = None) -> Column:
@@ -135,19 +155,20 @@ def has_details(details: Column) -> Column:
     return details["until_text"].isNotNull() | details["motion"].isNotNull() | (F.size(details["threats"]) > 0) | (F.size(details["locations"]) > 0) | details["spotter_activation"]
 
 
-def _any(struct: Column, names: tuple[str, ...]) -> Column:
-    return T.once(struct, lambda s: F.coalesce(*[s[n].cast("string") for n in names]).isNotNull())
-
-
 def classify(text: Column) -> Column:
     """The product: a stated title, else conditions, else almanac, else forecast, else unknown."""
-    low = F.lower(text)
+    return T.once(F.lower(text), _classify)
+
+
+def _classify(low: Column) -> Column:
+    stated = lambda fields: F.coalesce(*[c.cast("string") for c in fields]).isNotNull()  # noqa: E731  stops at the first that is
     out = F.when(low.contains(T.TITLES[0]), T.TITLES[0].replace(" ", "_"))
     for title in T.TITLES[1:]:
         out = out.when(low.contains(title), title.replace(" ", "_"))
-    seen = _any(observation(text), ("pressure_in", "temperature_f", "dewpoint_f", "humidity_pct", "wind", "sky"))
-    recap = _any(almanac(text), ("sunrise", "sunset", "precip_year_in", "precip_departure_in", "normal_precip_week_in", "heating_degree_days", "cooling_degree_days"))
-    ahead = text.rlike(PERIOD_HEADER) | _any(forecast_fields(text), ("high_f", "low_f", "precip_pct", "steady_f"))
-    phrases = text.rlike("(?i)" + "|".join(T.FORECAST_PHRASES))
-    return out.when(seen | text.rlike(ROUNDUP), "current_conditions").when(recap, "almanac").when(ahead | phrases, "zone_forecast").otherwise("unknown")
-
+    conditions = _conditions(low, _wind(low))
+    seen = stated(conditions[n] for n in ("pressure_in", "temperature_f", "dewpoint_f", "humidity_pct", "wind", "sky"))
+    recap = stated(_almanac(low).values())
+    degrees = _degrees(low)
+    ahead = low.rlike(PERIOD_HEADER) | stated([*degrees.values(), _rain_chance(low)])
+    phrases = low.rlike("(?i)" + "|".join(T.FORECAST_PHRASES))
+    return out.when(seen | low.rlike(ROUNDUP), "current_conditions").when(recap, "almanac").when(ahead | phrases, "zone_forecast").otherwise("unknown")

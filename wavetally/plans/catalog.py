@@ -376,7 +376,8 @@ def extract_observation(spark, d):
         F.lit("At Muncie, it was mostly cloudy. The temperature was "), q.cast("string"), F.lit(" degrees, the relative humidity "), (F.col("l_orderkey") % 101).cast("string"), F.lit("%. "), wind,
         F.lit(" The barometric pressure was "), F.format_string("%.2f", (2900 + F.col("l_orderkey") % 200) / 100.0), F.lit(" inches and "), F.when(F.col("l_orderkey") % 2 == 0, "falling").otherwise("rising"), F.lit("."),
     )
-    o = roles.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", observation.observation(said).alias("o"))
+    spoken = roles.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", said.alias("said"))
+    o = spoken.select("l_orderkey", "l_linenumber", observation.observation(F.col("said")).alias("o"))
     return o.select("l_orderkey", "l_linenumber", *[f"o.{c}" for c in ("temperature_f", "humidity_pct", "pressure_in", "pressure_trend", "wind", "wind_speed_mph", "sky")])
 
 
