@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,43 @@ def test_language_model_counts_equal_brute_force(spark):
     assert len(twins) == 2 and twins[0] == pytest.approx(twins[1])
 
 
+def test_tokens_equal_plain_splitting():
+    """Over all ASCII characters and some others, nulls, empty and blank texts, a slice of an array, and a long text."""
+    rnd = random.Random(5)
+    signs = [chr(i) for i in range(128)] + ["\u00c4", "\u00e9", "\u00a0", "\u2003", "\u212a", "\u0130", "\U0001f600"] + [" "] * 30
+    texts = [None, "", " \t\n", *("".join(rnd.choices(signs, k=rnd.randrange(60))) for _ in range(400)), "Word other " * 30_000, None]
+    plain = [(t or "").encode().lower().split() + [b""] for t in texts]
+    for array, want in ((pa.array(texts, pa.string()), plain), (pa.array(texts, pa.large_string()), plain), (pa.array(texts, pa.string()).slice(5, 50), plain[5:55])):
+        got = lm_mix.Tokens.split(array)
+        words = got.different.to_pylist()
+        assert len(set(words)) == len(words)
+        assert got.sizes.tolist() == [len(d) for d in want]
+        assert [words[i] for i in got.place.tolist()] == [w for d in want for w in d]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(lm_mix._split(iter([batch, batch.slice(0, 0)]), 1))
+    assert [i for rows, _, _ in parts for i in rows.column(0).to_pylist()] == list(range(len(texts)))
+    assert [n for _, sizes, _ in parts for n in sizes.tolist()] == [len((t or "").encode()) for t in texts]
+
+
+def test_slices_hold_whole_documents():
+    docs = [[b"a", b"b", b""], [b""], [b"c"] * lm_mix.SLICE_TOKENS + [b""], [b"a", b""], [b""]]
+    tokens = lm_mix.Tokens.listed(docs)
+    parts = list(tokens.slices())
+    assert [first for first, _ in parts] == [0, 3]
+    words = tokens.different.to_pylist()
+    assert [words[i] for _, p in parts for i in p.place.tolist()] == [t for d in docs for t in d]
+    assert [n for _, p in parts for n in p.sizes.tolist()] == [len(d) for d in docs]
+
+
+def test_language_model_reads_no_other_columns(spark):
+    """Extra columns with the names that the operator gives its own, a long text among short ones, repeated rows."""
+    rows = [(i, t) for i, t, *_ in corpus(60)] + [(900, "long text of few words " * 20_000), (900, "long text of few words " * 20_000), (None, None)]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string")
+    clash = plain.select("*", F.lit(1).alias("row"), F.lit("x").alias("token"), F.lit(2).alias("n"), F.lit(3).alias("c"), F.lit(4).alias("score"), F.lit(5).alias("rare"))
+    got = [sorted(map(str, lm_mix.score(d, F.lit(True), head=30, table_bits=8).collect())) for d in (plain, clash)]
+    assert len(got[0]) == len(rows) and got[0] == got[1]
+
+
 def test_language_model_is_a_distribution():
     """One-token continuations of a text, over every head token and the escape, sum to one."""
     head = [(f"w{i}".encode(), 200 - i) for i in range(60)] + [(b"", 50)]
