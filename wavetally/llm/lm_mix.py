@@ -165,9 +165,7 @@ class Tree:
     log_count: np.ndarray  # log10(count + 1) of each head token
     start: np.ndarray
     length: np.ndarray
-    nodes: np.ndarray
-    bits: np.ndarray
-    gates: np.ndarray  # the first gate of each bit's depth
+    steps: np.ndarray  # of each path: the nodes, doubled, plus the bits
     shrunk: np.ndarray  # [node, bit] pseudo-counts with which its contexts start
     classes: np.ndarray
 
@@ -197,7 +195,6 @@ def build_tree(head: list[tuple[bytes, int]], rare: int) -> Tree:
     start, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
     nodes: list[int] = []
     bits: list[int] = []
-    gates: list[int] = []
     odds = np.array([math.log((b + 0.5) / (a + 0.5)) for a, b in node_weight] or [0.0])
     # (tree node, path so far as a linked list)
     stack: list[tuple[int, tuple]] = [(heap[0][1], ())]
@@ -213,16 +210,13 @@ def build_tree(head: list[tuple[bytes, int]], rare: int) -> Tree:
         start[at], length[at] = len(nodes), len(own)
         nodes += [k for k, _ in reversed(own)]
         bits += [b for _, b in reversed(own)]
-        gates += [min(depth, DEPTHS - 1) * SEEN for depth in range(len(own))]
     classes = np.array([i if i < CLASSES else word_class(t) for i, (t, _) in enumerate(head)] + [0], dtype=np.int64)
     return Tree(
         {t: i for i, (t, _) in enumerate(head)},
         np.array([math.log10(c + 1) for _, c in head]),
         start,
         length,
-        np.array(nodes, dtype=np.int64),
-        np.array(bits, dtype=np.int8),
-        np.array(gates, dtype=np.int8),
+        np.array(nodes, dtype=np.int32) * 2 + np.array(bits, dtype=np.int32),
         np.stack([SHRINK / (1 + np.exp(odds)), SHRINK / (1 + np.exp(-odds))], axis=1).astype(np.float32),
         classes,
     )
@@ -260,7 +254,8 @@ class Coded:
         stops = np.cumsum(self.length)
         at = np.repeat(tree.start[ordered] - (stops - self.length), self.length)
         at += np.arange(len(at))
-        self.at, self.node, self.bit = at, tree.nodes.take(at), tree.bits.take(at)
+        steps = tree.steps.take(at)
+        self.node, self.bit = (steps >> 1).astype(np.int64), (steps & 1).astype(np.int8)
         self.ordered = doc[order]
         turns = np.flatnonzero(np.diff(block[order])) + 1
         self.cuts = [0, *(stops[turns - 1].tolist()), len(at)]
@@ -276,7 +271,7 @@ class Coded:
 
     @property
     def depth(self) -> np.ndarray:
-        return np.arange(len(self.at)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        return np.arange(len(self.node)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
 
     def inputs(self, tree: Tree, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """[INPUTS, bit] predictions as log odds, and each bit's gate in its document."""
@@ -288,8 +283,9 @@ class Coded:
             np.divide(both[:, 1], both[:, 0], out=x[j])
         np.log(x, out=x)
         seen = counts[:, 0] + counts[:, 1]
-        gate = np.repeat(self.ordered * GATES, self.length)
-        gate += tree.gates.take(self.at)
+        gate = np.minimum(self.depth, DEPTHS - 1)
+        gate *= SEEN
+        gate += np.repeat(self.ordered * GATES, self.length)
         for least in (4, 32, 512):
             gate += seen >= least
         return x, gate
