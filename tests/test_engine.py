@@ -402,3 +402,31 @@ def test_contract(spark):
     assert set(oracles) <= set(queries) and len(queries) > 45
     df = e.entry(spark)
     assert df.columns and df.count() > 0
+
+
+def test_alerts_meet_their_details_without_pairs(spark, tmp_path):
+    """As link_details lists them and as the SQL counts them, with lives that touch no hour of a detail, without a time or twice."""
+    import duckdb
+    from wavetally.plans import catalog
+
+    start, rnd = datetime(2024, 1, 1), random.Random(7)
+    rows = [(i, start + timedelta(minutes=rnd.randrange(0, 60 * 30), seconds=rnd.choice([0, 0, 30])), "error") for i in range(200)]
+    rows += [(i, at, "purchase") for i, at in enumerate(rnd.sample([start + timedelta(minutes=m) for m in range(60 * 20) if m // 60 not in (3, 4, 5)], 300), 1000)]
+    rows += [(9, None, "error"), (7, start + timedelta(hours=40), "error"), (7, start, "error"), (None, start + timedelta(hours=2), "purchase"), (5000, None, "purchase")]
+    rows += [(i, r, "purchase") for i, r in ((6000, start - timedelta(seconds=120)), (6001, start - timedelta(seconds=121)))]
+    rows += [(300, start + timedelta(hours=5), "error"), (311, start + timedelta(hours=4, minutes=30), "error")]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, event_type string").repartition(3)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = catalog.QUERIES["alert_detail_link"](spark, str(tmp_path))
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(tuple(r) for r in con.execute(catalog.ORACLES["alert_detail_link"]).fetchall())
+    assert sorted(tuple(r) for r in found.collect()) == want and any(n == 0 for _, n, _, _ in want) and any(n > 20 for _, n, _, _ in want)
+
+    alerts = events.where("event_type = 'error' AND event_id <> 7").select(F.col("event_id").alias("id"), F.col("ts").alias("captured_at"), (F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 60 - 5).cast("int"))).alias("expires_at"))
+    details = events.where("event_type = 'purchase'").select(F.col("event_id").alias("report_id"), F.col("ts").alias("captured_at"))
+    details = details.unionByName(details.withColumn("report_id", F.col("report_id") + 10000))  # two at each time
+    listed = {r["id"]: [s["report_id"] for s in r["spoken"]] for r in linking.link_details(alerts, details).collect()}
+    ends = {r["id"]: (r["n"], r["newest"], r["oldest"]) for r in linking.detail_ends(alerts, details).collect() if r["id"] != 9}
+    assert ends == {i: (len(s), s[0] if s else None, s[-1] if s else None) for i, s in listed.items() if i != 9}
