@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wavetally.functions import codes
 from wavetally.functions import text as T
 from wavetally.operators import forecast, observation, project, roundup
-from wavetally.plans import catalog
+from wavetally.plans import catalog, catalog_store, store
 from wavetally.sources.profile import Profile
 
 PROFILE = Profile(
@@ -275,3 +275,34 @@ def test_replay(spark):
     assert alert["purge_minutes"] == 360 and alert["counties"] == ["Delaware County, IN"] and str(alert["expires_at"]) == "2026-06-23 18:50:00"
     assert [r["report_id"] for r in out["alert_details"].collect()] == ["t5"]
     assert [(r["period"], r["low_f"]) for r in out["forecasts"].collect()] == [("Tonight", 61)]
+
+
+def test_snapshot_reads_only_its_station_before_its_texts(spark):
+    """The same row as from all stations' tables; a station's filter stands below every Arrow function."""
+    at = "At Muncie, it was clear. The temperature was {} degrees. Nearby, {} at Marion. Forecast for the Muncie area. Tonight, clear. Lows around {}."
+    rows = [(f"r{i:03}", f"S{i % 3}", f"2024-01-30 {i // 60:02}:{i % 60:02}:00", None, "zone_forecast" if i % 5 == 0 else None, at.format(50 + i % 4, 60 + i % 3, 20 + i // 40), 0.9 if i % 7 else 0.2) for i in range(120)]
+    rows += [("w1", "S1", "2024-01-30 22:00:00", None, "tornado_warning", "Tornado warning until 6:15 PM near Yorktown.", 0.9), ("w2", "S2", "2024-01-30 22:00:00", None, "tornado_warning", "Tornado warning near Gaston.", 0.9)]
+    # The header of S1's alert came over another station's receiver.
+    rows += [("a1", "S2", "2024-01-30 21:59:00", "same_alert", None, "ZCZC-WXR-TOR-018035+0600-0302159-S1-", None)]
+    schema = "id string, station string, captured_at string, type string, product_type string, text string, avg_confidence double"
+    raw = spark.createDataFrame(rows, schema).withColumn("captured_at", F.to_timestamp_ntz("captured_at"))
+    now = F.to_timestamp_ntz(F.lit("2024-01-30 23:00:00"))
+    own = project.replay(raw, PROFILE, station="S1")
+    every = project.replay(raw, PROFILE)
+    (want,) = store.snapshot(every, "Muncie", now, "S1").collect()
+    (found,) = store.snapshot(own, "Muncie", now, "S1").collect()
+    assert found == want and len(found["conditions"]) == 2 and len(found["forecast"]) == 1 and found["roundup"]
+    assert [r["station"] for r in own["latest"].select("station").distinct().collect()] == ["S1"]
+    assert own["stats"].first().asDict() == {"transcripts": 41, "alerts": 0, "skipped_envelope": 0, "blank": 0}
+    assert own["alerts"].count() == every["alerts"].count()
+
+
+def test_station_filter_of_the_snapshot_query(spark):
+    """Below the Arrow functions of the registered query only one station's rows are left."""
+    plan = catalog_store.QUERIES["now_snapshot"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    arrow = [i for i, line in enumerate(plan) if "MapInArrow" in line]
+    assert arrow
+    for i in arrow:
+        below = [line for line in plan[i + 1 : next((j for j in range(i + 1, len(plan)) if depth(plan[j]) <= depth(plan[i])), len(plan))]]
+        assert any("Filter" in line and "S7" in line for line in below), plan[i]

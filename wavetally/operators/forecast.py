@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetally.config import DEFAULTS
+from wavetally.functions import text as T
 from wavetally.functions.codes import lookup
 from wavetally.functions.measures import in_range, is_night
 from wavetally.operators.observation import CITY, DAYS, PERIOD_HEADER, forecast_fields
@@ -129,10 +130,10 @@ def served(texts: DataFrame, votes: DataFrame, depth: int = DEFAULTS.vote_depth,
     """For each text (station, seq, pass) and key heard so far: voted value, agreement, fresh."""
     keys = ["station", "period", "field"]
     voted = vote(votes, keys, ["seq", "ord", "k"], "value", depth=depth)
-    last = voted.groupBy(*keys, "seq").agg(F.max_by(F.struct("voted", "votes", "total"), F.struct("ord", "k")).alias("r"), F.min("ord").alias("first_ord"))
-    firsts = last.groupBy(*keys).agg(F.min(F.struct("seq", "first_ord")).alias("since"))
+    last = voted.groupBy(*keys, "seq").agg(F.max_by(F.struct("voted", "votes", "total"), F.struct("ord", "k")).alias("r"))
+    firsts = votes.groupBy(*keys).agg(F.min(F.struct("seq", F.col("ord").alias("first_ord"))).alias("since"))
     grid = texts.select("station", "seq", "pass").join(firsts, "station").where(F.col("seq") >= F.col("since.seq"))
-    at = grid.join(last.select(*keys, "seq", "r"), [*keys, "seq"], "left")
+    at = grid.join(last, [*keys, "seq"], "left")
     w = Window.partitionBy(*keys).orderBy("seq")
     at = at.withColumn("heard", F.last(F.when(F.col("r").isNotNull(), F.col("pass")), ignorenulls=True).over(w)).withColumn("r", F.last("r", ignorenulls=True).over(w))
     return at.select("station", "seq", "pass", "period", "field", "since", F.col("r.voted").alias("value"), (F.col("r.votes") / F.col("r.total")).alias("agreement"), (F.col("pass") - F.col("heard") <= stale_passes).alias("fresh"))
@@ -143,13 +144,13 @@ def issuances(texts: DataFrame, state: DataFrame) -> DataFrame:
 
     Evicted keys alone change the map too. Values are compared, agreement is not.
     """
-    entries = F.array_sort(F.collect_list(F.when(F.col("fresh"), F.struct("period", "field", "value"))))
-    maps = state.groupBy("station", "seq").agg(entries.alias("now"))
+    entries = F.array_sort(F.collect_list(F.when(F.col("fresh"), F.struct("period", "field", "value", "agreement", "since"))))
+    maps = state.groupBy("station", "seq").agg(entries.alias("entries"))  # all that a row needs, so the state is made once
     every = texts.select("station", "seq").join(maps, ["station", "seq"], "left")
     none = F.array().cast("array<struct<period:string,field:string,value:string>>")
-    every = every.withColumn("now", F.coalesce("now", none))
+    every = every.withColumn("now", F.coalesce(F.transform("entries", lambda e: F.struct(e["period"], e["field"], e["value"])), none))
     changed = every.withColumn("before", F.coalesce(F.lag("now").over(Window.partitionBy("station").orderBy("seq")), none)).where(F.col("now") != F.col("before"))
-    rows = state.where("fresh").join(changed.select("station", "seq"), ["station", "seq"])
+    rows = changed.select("station", "seq", F.explode("entries").alias("e")).select("station", "seq", "e.*")
     per = rows.groupBy("station", "seq", "period").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.round("agreement", 2))))).alias("confidence"),
@@ -193,15 +194,18 @@ def changes(readings: DataFrame, keys: list[str], order: list[str], value: str =
 
 def project_forecasts(reports: DataFrame) -> DataFrame:
     """Issuances out of transcripts (station, seq, text): a full snapshot whenever a voted value changes."""
-    texts = reports.withColumn("text", canonical(F.col("text"))).where(~F.col("text").rlike(OUTLOOK))
-    area = F.regexp_extract("text", AREA, 1)
-    texts = texts.withColumns({"area": F.nullif(area, F.lit("")), "new_pass": area != "", "clears": (area != "") | F.col("text").rlike(RECAP)})
-    texts = passes(with_spans(texts.select("station", "seq", "text", "area", "new_pass", "clears")))
+    # Generated and filtered in one expression, as a filter over a column would compute the text again.
+    read = lambda t: F.struct(t.alias("text"), F.regexp_extract(t, AREA, 1).alias("area"), t.rlike(RECAP).alias("recap"))
+    kept = T.once(canonical(F.col("text")), lambda t: F.transform(F.filter(F.array(t), lambda x: ~x.rlike(OUTLOOK)), read))
+    texts = reports.select("station", "seq", F.explode(kept).alias("t")).select("station", "seq", "t.*")
+    texts = texts.withColumns({"area": F.nullif("area", F.lit("")), "new_pass": F.col("area") != "", "clears": (F.col("area") != "") | F.col("recap")}).drop("recap")
+    bare = passes(texts.drop("text").withColumn("last_header", F.lit(None).cast("string")))  # the passes, without splitting texts
+    spans = passes(with_spans(texts.select("station", "seq", "text", "new_pass", "clears")))
     carried = lookup(PREDECESSORS, F.lower("first_header"))
     stale_tail = F.col("has_tail") & ~F.col("open_period").eqNullSafe(carried)
-    each = texts.select("station", "seq", "open_period", stale_tail.alias("stale_tail"), F.explode("spans").alias("s"))
+    each = spans.select("station", "seq", "open_period", stale_tail.alias("stale_tail"), F.explode("spans").alias("s"))
     each = each.where(~((F.col("s.ord") == 0) & F.col("stale_tail"))).select("station", "seq", "s.ord", F.coalesce("s.period", "open_period").alias("period"), forecast_fields(F.col("s.chunk")).alias("f"))
     votes = first_steady(route(each.where(F.col("period").isNotNull())))
-    out = issuances(texts, served(texts, votes))
-    areas = texts.select("station", "seq", F.last("area", ignorenulls=True).over(Window.partitionBy("station").orderBy("seq")).alias("city"))
+    out = issuances(bare, served(bare, votes))
+    areas = bare.select("station", "seq", F.last("area", ignorenulls=True).over(Window.partitionBy("station").orderBy("seq")).alias("city"))
     return out.join(areas, ["station", "seq"])

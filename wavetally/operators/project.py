@@ -83,9 +83,14 @@ def replay_stats(raw: DataFrame) -> DataFrame:
     )
 
 
-def replay(raw: DataFrame, profile: Profile, settings=DEFAULTS) -> dict[str, DataFrame]:
-    """All projected tables by name."""
-    reports = transcripts(raw, profile)
+def replay(raw: DataFrame, profile: Profile, settings=DEFAULTS, station: str | None = None) -> dict[str, DataFrame]:
+    """All projected tables by name; with a station, of its reports alone, as no row depends on another station's.
+
+    The filter stands before the texts are read, because no filter moves below an Arrow function. An alert's station is
+    the one in its header, so alerts come from all headers.
+    """
+    own = raw if station is None else raw.where(F.col("station") == station)
+    reports = transcripts(own, profile)
     voted = voted_conditions(condition_readings(reports, profile, settings))
     order = ["captured_at", "id", "pos"]
     recaps = almanac_readings(reports, settings)
@@ -96,8 +101,8 @@ def replay(raw: DataFrame, profile: Profile, settings=DEFAULTS) -> dict[str, Dat
         "almanac_history": tables.first_wins(recaps, ["station", "captured_at", "field"], ["id", "pos"]),
         "almanac": tables.latest_with_sightings(recaps, ["station", "field"], order),
         "forecasts": tables.forecast_table(forecast.project_forecasts(in_order), profile.primary_city),
-        "airings": raw.where(F.col("product_type") == "zone_forecast").groupBy("station").agg(F.max("captured_at").alias("aired")),
+        "airings": own.where(F.col("product_type") == "zone_forecast").groupBy("station").agg(F.max("captured_at").alias("aired")),
         "alerts": alert_rows(raw),
         "alert_details": tables.last_wins(detail_rows(reports, profile.aliases), ["report_id"], ["captured_at"]),
-        "stats": replay_stats(raw),
+        "stats": replay_stats(own),
     }

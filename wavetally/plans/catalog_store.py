@@ -252,7 +252,7 @@ def forecast_now(spark, d):
 @query()
 def now_snapshot(spark, d):
     """Station S7's conditions, roundup, almanac, forecast and alerts."""
-    return store.snapshot(project.replay(_said(spark, d), PROFILE), "Muncie", roles.now(), "S7", PROFILE.tz)
+    return store.snapshot(project.replay(_said(spark, d), PROFILE, station="S7"), "Muncie", roles.now(), "S7", PROFILE.tz)
 
 
 @query(f"WITH c AS (SELECT o_orderkey, [{', '.join(repr(c) for c in [*codes.ORIGINATORS, 'XXX', 'wxr'])}][o_orderkey % {len(codes.ORIGINATORS) + 2} + 1] AS code FROM orders) SELECT o_orderkey, coalesce({case_of(codes.ORIGINATORS, 'upper(code)')}, code) AS label FROM c")
