@@ -311,3 +311,17 @@ def test_importance_keeps_good_documents(spark):
     good = [rows[i] for i, q in quality.items() if q == 1]
     bad = [rows[i] for i, q in quality.items() if q == 0]
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.2
+
+
+def test_context_counts_equal_those_of_each_bit(spark):
+    """Pairs of context and leaf that are counted once, over several tasks, give every bit's counts."""
+    texts = [" ".join(f"w{(i * j) % (7 + i)}" for j in range(30)) for i in range(40)] * 2 + ["", "rare words here"]
+    listed = [[*(w.encode() for w in t.split()), b""] for t in texts]
+    counts: dict[bytes, int] = {}
+    for token in (t for d in listed for t in d):
+        counts[token] = counts.get(token, 0) + 1
+    tree = lm_mix.build_tree(sorted(((t, n) for t, n in counts.items() if n > 1), key=lambda r: (-r[1], r[0])), 3)
+    coded = lm_mix.Coded(listed, tree, 10)
+    want = [np.bincount(slots * 2 + coded.bit, minlength=2 << 10).reshape(-1, 2) for slots in coded.slots]
+    found = lm_mix.context_tables(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), spark.sparkContext.broadcast(tree), 10, fan=2)
+    assert all((a == b).all() for a, b in zip(found, want, strict=True)) and want[0].sum() > 10000

@@ -52,15 +52,16 @@ LEAST = 4
 TABLE_BITS = 20
 CONTEXTS = 3
 CLASSES, FREQUENT = 512, 64
+MOST_KEYS = max(2 * CLASSES + 1, 64 * 64, (FREQUENT + 1) ** 2)
 #: Pseudo-counts with which a context starts at its node's own frequency.
 SHRINK = 4.0
 #: Tokens in a document's first block; each further one is as long as all before it, up to the longest.
 FIRST_BLOCK, LONGEST_BLOCK = 8, 512
 #: Bits that the first weights count for against a document's own.
 INERTIA = 100.0
-#: Bytes of text that a worker splits at a time, tokens that it mixes at a time, bits that it counts at a time, and
-#: entries of its partial counts.
-SPLIT_BYTES, SLICE_TOKENS, COUNTED_BITS, PARTIAL = 1 << 22, 40_000, 2_000_000, 250_000
+#: Bytes of text that a worker splits at a time, tokens that it mixes at a time, tokens whose pairs of context and leaf
+#: it gathers, pairs that it counts at a time, and entries of its partial counts.
+SPLIT_BYTES, SLICE_TOKENS, COUNTED_TOKENS, COUNTED_PAIRS, PARTIAL = 1 << 24, 40_000, 4_000_000, 250_000, 250_000
 DEPTHS, SEEN = 8, 4
 GATES, INPUTS = DEPTHS * SEEN, CONTEXTS
 BLOCK_BITS = 14
@@ -222,29 +223,47 @@ def build_tree(head: list[tuple[bytes, int]], rare: int) -> Tree:
     )
 
 
+def contexts(tokens: Tokens, tree: Tree) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each token's leaf, and its key in each context, below MOST_KEYS."""
+    escape, pad, sizes = tree.escape, 2, tokens.sizes
+    total = int(sizes.sum())
+    begin = np.cumsum(sizes + pad) - sizes
+    own = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+    ids = np.full(total + pad * len(sizes), escape, dtype=np.int64)
+    classes = np.full(len(ids), 2 * CLASSES, dtype=np.int64)
+    ids[own], classes[own] = tokens.ids[tokens.place], tokens.classes[tokens.place]
+    padding = np.ones(len(ids), dtype=bool)
+    padding[own] = False
+    frequent = np.where(padding, FREQUENT, np.where(ids < min(FREQUENT, escape), ids, -1))
+    last = np.maximum.accumulate(np.where(frequent >= 0, np.arange(len(ids)), 0))
+    one, two = classes[own - 1], classes[own - 2]
+    f1 = last[own - 1]
+    f2 = last[np.maximum(f1 - 1, 0)]
+    return ids[own], [one, one % 64 * 64 + two % 64, frequent[f1] * (FREQUENT + 1) + frequent[f2]]
+
+
+def start_key(context: int, keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64) + np.uint64((context + 1) << 24)) * _M1
+
+
+def slots_of(started: np.ndarray, mixed: np.ndarray, table_bits: int) -> np.ndarray:
+    """The places of bits in a context's table; overwrites started, their keys. mixed: their nodes times _M2."""
+    started ^= mixed
+    started *= _M3
+    started >>= np.uint64(64 - table_bits)
+    return started.view(np.int64)
+
+
 class Coded:
     """The bits of some documents, with the slots of their contexts."""
 
     def __init__(self, docs: Tokens | list[list[bytes]], tree: Tree, table_bits: int):
         tokens = docs if isinstance(docs, Tokens) else Tokens.listed(docs).looked_up(tree)
-        escape, pad, sizes = tree.escape, 2, tokens.sizes
-        total = int(sizes.sum())
-        begin = np.cumsum(sizes + pad) - sizes
-        own = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-        ids = np.full(total + pad * len(sizes), escape, dtype=np.int64)
-        classes = np.full(len(ids), 2 * CLASSES, dtype=np.int64)
-        ids[own], classes[own] = tokens.ids[tokens.place], tokens.classes[tokens.place]
-        padding = np.ones(len(ids), dtype=bool)
-        padding[own] = False
-        frequent = np.where(padding, FREQUENT, np.where(ids < min(FREQUENT, escape), ids, -1))
-        last = np.maximum.accumulate(np.where(frequent >= 0, np.arange(len(ids)), 0))
-        one, two = classes[own - 1], classes[own - 2]
-        f1 = last[own - 1]
-        f2 = last[np.maximum(f1 - 1, 0)]
-        keys = [one, one % 64 * 64 + two % 64, frequent[f1] * (FREQUENT + 1) + frequent[f2]]
+        sizes = tokens.sizes
+        self.ids, keys = contexts(tokens, tree)
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.doc, self.ids, self.sizes = doc, ids[own], sizes
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.doc, self.sizes = doc, sizes
         # The bits come block by block, and in each block document by document.
         doubled = np.where(place < FIRST_BLOCK, 0, np.log2(np.maximum(place, 1) / FIRST_BLOCK).astype(np.int64) + 1)
         block = np.where(place < LONGEST_BLOCK, doubled, int(math.log2(LONGEST_BLOCK / FIRST_BLOCK)) + place // LONGEST_BLOCK)
@@ -258,16 +277,9 @@ class Coded:
         self.node, self.bit = (steps >> 1).astype(np.int64), (steps & 1).astype(np.int8)
         self.ordered = doc[order]
         turns = np.flatnonzero(np.diff(block[order])) + 1
-        self.cuts = [0, *(stops[turns - 1].tolist()), len(at)]
+        self.cuts = [0, *(stops[turns - 1].tolist()), len(self.node)]
         mixed = self.node.view(np.uint64) * _M2
-        shift = np.uint64(64 - table_bits)
-        self.slots = []
-        for j, key in enumerate(keys):
-            slot = np.repeat((key[order].astype(np.uint64) + np.uint64((j + 1) << 24)) * _M1, self.length)
-            slot ^= mixed
-            slot *= _M3
-            slot >>= shift
-            self.slots.append(slot.view(np.int64))
+        self.slots = [slots_of(np.repeat(start_key(j, key[order]), self.length), mixed, table_bits) for j, key in enumerate(keys)]
 
     @property
     def depth(self) -> np.ndarray:
@@ -283,11 +295,13 @@ class Coded:
             np.divide(both[:, 1], both[:, 0], out=x[j])
         np.log(x, out=x)
         seen = counts[:, 0] + counts[:, 1]
+        level = (seen >= 4).view(np.int8)
+        for least in (32, 512):
+            level += (seen >= least).view(np.int8)
         gate = np.minimum(self.depth, DEPTHS - 1)
         gate *= SEEN
         gate += np.repeat(self.ordered * GATES, self.length)
-        for least in (4, 32, 512):
-            gate += seen >= least
+        gate += level
         return x, gate
 
 
@@ -295,26 +309,57 @@ def _trained(batches: Iterator[pa.RecordBatch], tree, table_bits: int) -> Iterat
     """This task's counts of each context table, in compressed blocks."""
     from pyspark import TaskContext
 
+    tree = tree.value
+    leaves = tree.escape + 1
+    order = np.argsort(tree.start, kind="stable")  # the leaves from one side of the tree to the other
+    rank = np.empty_like(order)
+    rank[order] = np.arange(leaves)
     tables = [np.zeros(2 << table_bits, dtype=np.int64) for _ in range(CONTEXTS)]
     seen: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
 
     def count() -> None:
-        for table, slots in zip(tables, seen, strict=True):
-            if slots:
-                table += np.bincount(np.concatenate(slots), minlength=len(table))
-            slots.clear()
+        """Adds the paths of each different pair of a key and a leaf, as often as it was seen.
+
+        Pairs are in order of key and of the leaf's place in the tree, so at each depth those paths of one length that
+        share a node and a bit follow each other and are added up before the table is touched.
+        """
+        for j, (table, pairs) in enumerate(zip(tables, seen, strict=True)):
+            different, times = np.unique(np.concatenate(pairs), return_counts=True)
+            for a in range(0, len(different), COUNTED_PAIRS):
+                key, place = np.divmod(different[a : a + COUNTED_PAIRS], leaves)
+                leaf, key, n = order[place], start_key(j, key), times[a : a + COUNTED_PAIRS]
+                length = tree.length[leaf].astype(np.int16)
+                by_length = np.argsort(length, kind="stable")  # so that paths end together
+                ends = np.cumsum(np.bincount(length)).tolist()
+                for long, (c, d) in enumerate(itertools.pairwise(ends), 1):
+                    if c == d:
+                        continue
+                    own = by_length[c:d]
+                    keys, ns, at = key[own], n[own], tree.start[leaf[own]]
+                    other = np.concatenate([[True], keys[1:] != keys[:-1]])
+                    for depth in range(long):
+                        step = tree.steps.take(at + depth)
+                        new = other.copy()
+                        new[1:] |= step[1:] != step[:-1]
+                        first = np.flatnonzero(new)
+                        bits = step[first].astype(np.int64)
+                        slot = slots_of(keys[first], (bits >> 1).view(np.uint64) * _M2, table_bits)
+                        np.add.at(table, slot * 2 + (bits & 1), np.add.reduceat(ns, first))
+            pairs.clear()
 
     n = 0
+    narrow = np.int32 if MOST_KEYS * leaves < 1 << 31 else np.int64
     for _, _, tokens in _split(batches, 0):
-        for _, some in tokens.looked_up(tree.value).slices():
-            coded = Coded(some, tree.value, table_bits)
-            for slots, own in zip(seen, coded.slots, strict=True):
-                slots.append((own * 2 + coded.bit).astype(np.int32))
-            n += len(coded.bit)
-            if n >= COUNTED_BITS:
+        for _, some in tokens.looked_up(tree).slices():
+            ids, keys = contexts(some, tree)
+            for pairs, key in zip(seen, keys, strict=True):
+                pairs.append((key * leaves + rank[ids]).astype(narrow))
+            n += len(ids)
+            if n >= COUNTED_TOKENS:
                 count()
                 n = 0
-    count()
+    if n:
+        count()
     part = TaskContext.get().partitionId()
     for j, table in enumerate(tables):
         for b, block in enumerate(table.reshape(-1, min(1 << BLOCK_BITS, len(table)))):
@@ -378,21 +423,23 @@ def code(coded: Coded, tree: Tree, tables: list[np.ndarray], weights: np.ndarray
     x, cell = coded.inputs(tree, tables)
     own = [np.tile(weights[:, i].astype(np.float32), docs) for i in range(INPUTS)]
     seen = np.full(cells, INERTIA)
+    signs = (1 - 2 * coded.bit).astype(np.float32)
     for a, b in itertools.pairwise(coded.cuts):
-        at, bit = cell[a:b], coded.bit[a:b]
+        at, sign = cell[a:b], signs[a:b]
         z = own[0].take(at) * x[0, a:b]
         for i in range(1, INPUTS):
             z += own[i].take(at) * x[i, a:b]
-        z *= 1 - 2 * bit  # log odds against the bit that comes
+        z *= sign  # log odds against the bit that comes
         np.clip(z, -15, 15, out=z)
         odds = np.exp(z, out=z)
         whole = 1 + odds
         cost += np.bincount(at, np.log(whole), cells)
         if b < coded.cuts[-1]:
-            error = odds / whole * (2 * bit - 1)
+            error = np.divide(odds, whole, out=whole)
+            error *= sign
             seen += np.bincount(at, minlength=cells)
             for i in range(INPUTS):
-                own[i] += (np.bincount(at, error * x[i, a:b], cells) / (INPUTS * seen)).astype(np.float32)
+                own[i] -= (np.bincount(at, error * x[i, a:b], cells) / (INPUTS * seen)).astype(np.float32)
     return -cost.reshape(docs, GATES).sum(axis=1) / math.log(10)
 
 
