@@ -2,11 +2,14 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,3 +328,41 @@ def test_context_counts_equal_those_of_each_bit(spark):
     want = [np.bincount(slots * 2 + coded.bit, minlength=2 << 10).reshape(-1, 2) for slots in coded.slots]
     found = lm_mix.context_tables(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), spark.sparkContext.broadcast(tree), 10, fan=2)
     assert all((a == b).all() for a, b in zip(found, want, strict=True)) and want[0].sum() > 10000
+
+
+def test_classes_of_words_equal_those_of_each_word():
+    words = [b"", b"a", b"ab", b"abc", b"xabc", "é".encode(), "€éx".encode(), b"\xff\x00\x80", *(f"w{i}".encode() for i in range(300))]
+    for array in (pa.array(words, pa.binary()), pa.array([b"skipped", *words], pa.binary()).slice(1)):
+        at = np.arange(len(words))[::-1]
+        assert lm_mix.word_classes(array, at).tolist() == [lm_mix.word_class(w) for w in words[::-1]]
+    assert lm_mix.word_classes(pa.array([b""], pa.binary()), np.array([0])).tolist() == [lm_mix.word_class(b"")]
+    assert not len(lm_mix.word_classes(pa.array([], pa.binary()), np.array([], dtype=np.int64)))
+
+
+def test_a_worker_of_the_language_model_needs_little_memory(monkeypatch):
+    """Peaks of numpy's and Python's memory and of Arrow's, beside the batch, while 30 MB of text are learned from and scored."""
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(60_000)]
+    texts = [" ".join(words[i] for i in (60_000 * rng.random(500) ** 3).astype(int)) for _ in range(6_500)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    head = [(w.encode(), 60_000 - i) for i, w in enumerate(words[:50_000])]
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    tree = SimpleNamespace(value=lm_mix.build_tree(head, 1000))
+    tables = SimpleNamespace(value=[np.zeros((1 << 12, 2), dtype=np.float32) for _ in range(lm_mix.CONTEXTS)])
+    jobs = {
+        "trained": lambda: lm_mix._trained(iter([batch.select(["text"])]), tree, 12),
+        "scored": lambda: lm_mix._scored(iter([batch]), tree, tables, lm_mix.first_weights(), 12),
+    }
+    peaks = {}
+    usual = pa.default_memory_pool()
+    for name, job in jobs.items():
+        pool = pa.proxy_memory_pool(usual)
+        pa.set_memory_pool(pool)
+        tracemalloc.start()
+        try:
+            assert sum(b.num_rows for b in job())
+            peaks[name] = (tracemalloc.get_traced_memory()[1] + pool.max_memory()) / 1e6
+        finally:
+            tracemalloc.stop()
+            pa.set_memory_pool(usual)
+    assert peaks["trained"] < 150 and peaks["scored"] < 80, peaks

@@ -36,7 +36,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +60,7 @@ FIRST_BLOCK, LONGEST_BLOCK = 8, 512
 INERTIA = 100.0
 #: Bytes of text that a worker splits at a time, tokens that it mixes at a time, tokens whose pairs of context and leaf
 #: it gathers, pairs that it counts at a time, and entries of its partial counts.
-SPLIT_BYTES, SLICE_TOKENS, COUNTED_TOKENS, COUNTED_PAIRS, PARTIAL = 1 << 24, 40_000, 4_000_000, 250_000, 250_000
+SPLIT_BYTES, SLICE_TOKENS, COUNTED_TOKENS, COUNTED_PAIRS, PARTIAL = 1 << 23, 16_000, 2_000_000, 250_000, 250_000
 DEPTHS, SEEN = 8, 4
 GATES, INPUTS = DEPTHS * SEEN, CONTEXTS
 BLOCK_BITS = 14
@@ -71,7 +70,14 @@ TOKENS_A_SUM = 1 << 22
 #: may add up to. Online steps refine them in each document.
 FIRST_WEIGHTS = ((0.37, 0.37, 0.37), (0.4, 0.4, 0.4), (0.5, 0.5, 0.5), (0.48, 0.48, 0.48))
 
+#: Bits of a path's step below the node: the depth and the bit.
+STEP_BITS = DEPTHS.bit_length()
+
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: CRC-32 of one byte, as zlib's tables have it.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = (_CRC >> 1) ^ np.where(_CRC & 1, np.uint32(0xEDB88320), np.uint32(0))
 
 COUNTED = "token binary, n bigint"
 TABLES = "context int, block int, part int, width int, data binary"
@@ -97,24 +103,28 @@ class Tokens:
     def split(cls, texts: pa.Array) -> Tokens:
         """Words between ASCII white space with A-Z lowered; each document closes with the end token, the empty word."""
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-        parts = lists.flatten()
-        filled = pc.greater(pc.binary_length(parts), 0)
-        coded = parts.filter(filled).dictionary_encode()
-        before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+        coded = lists.flatten().dictionary_encode()  # with empty words where white space begins or ends a text
+        different, words, end = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(), pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
         offsets = np.asarray(lists.offsets)
-        sizes = np.diff(before[offsets - offsets[0]]) + 1
-        place = np.full(int(sizes.sum()), len(coded.dictionary), dtype=np.int64)
+        offsets = offsets - offsets[0]
+        if end < 0:
+            different, end = pa.concat_arrays([different, pa.array([b""], pa.binary())]), len(different)
+            sizes = np.diff(offsets).astype(np.int64) + 1
+        else:
+            filled = words != end
+            before = np.concatenate([[0], np.cumsum(filled, dtype=np.int32)])
+            sizes, words = np.diff(before[offsets]).astype(np.int64) + 1, words[filled]
+        place = np.full(int(sizes.sum()), end, dtype=np.int32)
         word = np.ones(len(place), dtype=bool)
         word[np.cumsum(sizes) - 1] = False
-        place[word] = coded.indices.to_numpy()
-        return cls(pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([b""], pa.binary())]), place, sizes)
+        place[word] = words
+        return cls(different, place, sizes)
 
     def looked_up(self, tree: Tree) -> Tokens:
-        listed = self.different.to_pylist()
-        ids = np.fromiter(map(tree.index.get, listed, repeat(tree.escape)), np.int64, len(listed))
+        ids = pc.fill_null(pc.index_in(self.different, value_set=tree.index), tree.escape).to_numpy().astype(np.int64)
         classes = tree.classes[ids]
         rare = np.flatnonzero(ids == tree.escape)
-        classes[rare] = [word_class(listed[i]) for i in rare.tolist()]
+        classes[rare] = word_classes(self.different, rare)
         return Tokens(self.different, self.place, self.sizes, ids, classes)
 
     def slices(self) -> Iterator[tuple[int, Tokens]]:
@@ -162,11 +172,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Tree:
     """Huffman paths of the head tokens and, last, of the escape leaf."""
 
-    index: dict[bytes, int]
+    index: pa.Array  # the head tokens
     log_count: np.ndarray  # log10(count + 1) of each head token
     start: np.ndarray
     length: np.ndarray
-    steps: np.ndarray  # of each path: the nodes, doubled, plus the bits
+    steps: np.ndarray  # of each path: the nodes, then STEP_BITS of depth (below DEPTHS) and bit
     shrunk: np.ndarray  # [node, bit] pseudo-counts with which its contexts start
     classes: np.ndarray
 
@@ -180,6 +190,19 @@ def word_class(token: bytes) -> int:
     return CLASSES + zlib.crc32(token[-3:]) % CLASSES
 
 
+def word_classes(words: pa.Array, at: np.ndarray) -> np.ndarray:
+    """word_class of the words at some places of a binary array."""
+    _, offsets, data = words.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    begin, end = bounds[at], bounds[at + 1]
+    crc = np.full(len(at), 0xFFFFFFFF, dtype=np.uint32)
+    for back in (3, 2, 1):
+        own = np.flatnonzero(end - back >= begin)
+        crc[own] = _CRC[(crc[own] ^ data[end[own] - back]) & 255] ^ (crc[own] >> 8)
+    return CLASSES + (~crc % CLASSES).astype(np.int64)
+
+
 def build_tree(head: list[tuple[bytes, int]], rare: int) -> Tree:
     """head: tokens and counts, most frequent first; rare: occurrences of all other tokens."""
     weights = [c for _, c in head] + [rare + 1]
@@ -211,13 +234,15 @@ def build_tree(head: list[tuple[bytes, int]], rare: int) -> Tree:
         start[at], length[at] = len(nodes), len(own)
         nodes += [k for k, _ in reversed(own)]
         bits += [b for _, b in reversed(own)]
+    order = np.argsort(start, kind="stable")
+    depths = np.minimum(np.arange(len(nodes)) - np.repeat(start[order], length[order]), DEPTHS - 1)
     classes = np.array([i if i < CLASSES else word_class(t) for i, (t, _) in enumerate(head)] + [0], dtype=np.int64)
     return Tree(
-        {t: i for i, (t, _) in enumerate(head)},
+        pa.array([t for t, _ in head], pa.binary()),
         np.array([math.log10(c + 1) for _, c in head]),
         start,
         length,
-        np.array(nodes, dtype=np.int32) * 2 + np.array(bits, dtype=np.int32),
+        (np.array(nodes, dtype=np.int32) << STEP_BITS) + depths.astype(np.int32) * 2 + np.array(bits, dtype=np.int32),
         np.stack([SHRINK / (1 + np.exp(odds)), SHRINK / (1 + np.exp(-odds))], axis=1).astype(np.float32),
         classes,
     )
@@ -267,17 +292,21 @@ class Coded:
         # The bits come block by block, and in each block document by document.
         doubled = np.where(place < FIRST_BLOCK, 0, np.log2(np.maximum(place, 1) / FIRST_BLOCK).astype(np.int64) + 1)
         block = np.where(place < LONGEST_BLOCK, doubled, int(math.log2(LONGEST_BLOCK / FIRST_BLOCK)) + place // LONGEST_BLOCK)
-        order = np.argsort(block, kind="stable")
+        last = block == np.repeat(block[np.cumsum(sizes) - 1], sizes)
+        turn = block * 2 + last  # after its last block a document's weights are not needed
+        order = np.argsort(turn, kind="stable")
         ordered = self.ids[order]
         self.length = tree.length[ordered]
         stops = np.cumsum(self.length)
         at = np.repeat(tree.start[ordered] - (stops - self.length), self.length)
         at += np.arange(len(at))
-        steps = tree.steps.take(at)
-        self.node, self.bit = (steps >> 1).astype(np.int64), (steps & 1).astype(np.int8)
+        self.steps = tree.steps.take(at)
+        self.node, self.bit = (self.steps >> STEP_BITS).astype(np.int64), (self.steps & 1).astype(np.int8)
         self.ordered = doc[order]
-        turns = np.flatnonzero(np.diff(block[order])) + 1
+        turn = turn[order]
+        turns = np.flatnonzero(np.diff(turn)) + 1
         self.cuts = [0, *(stops[turns - 1].tolist()), len(self.node)]
+        self.learns = (turn[[0, *turns.tolist()]] % 2 == 0).tolist()
         mixed = self.node.view(np.uint64) * _M2
         self.slots = [slots_of(np.repeat(start_key(j, key[order]), self.length), mixed, table_bits) for j, key in enumerate(keys)]
 
@@ -298,9 +327,8 @@ class Coded:
         level = (seen >= 4).view(np.int8)
         for least in (32, 512):
             level += (seen >= least).view(np.int8)
-        gate = np.minimum(self.depth, DEPTHS - 1)
-        gate *= SEEN
-        gate += np.repeat(self.ordered * GATES, self.length)
+        gate = np.repeat(self.ordered * GATES, self.length)
+        gate += ((self.steps >> 1) & DEPTHS - 1) * SEEN
         gate += level
         return x, gate
 
@@ -343,7 +371,7 @@ def _trained(batches: Iterator[pa.RecordBatch], tree, table_bits: int) -> Iterat
                         new[1:] |= step[1:] != step[:-1]
                         first = np.flatnonzero(new)
                         bits = step[first].astype(np.int64)
-                        slot = slots_of(keys[first], (bits >> 1).view(np.uint64) * _M2, table_bits)
+                        slot = slots_of(keys[first], (bits >> STEP_BITS).view(np.uint64) * _M2, table_bits)
                         np.add.at(table, slot * 2 + (bits & 1), np.add.reduceat(ns, first))
             pairs.clear()
 
@@ -424,7 +452,7 @@ def code(coded: Coded, tree: Tree, tables: list[np.ndarray], weights: np.ndarray
     own = [np.tile(weights[:, i].astype(np.float32), docs) for i in range(INPUTS)]
     seen = np.full(cells, INERTIA)
     signs = (1 - 2 * coded.bit).astype(np.float32)
-    for a, b in itertools.pairwise(coded.cuts):
+    for (a, b), learns in zip(itertools.pairwise(coded.cuts), coded.learns, strict=True):
         at, sign = cell[a:b], signs[a:b]
         z = own[0].take(at) * x[0, a:b]
         for i in range(1, INPUTS):
@@ -434,7 +462,7 @@ def code(coded: Coded, tree: Tree, tables: list[np.ndarray], weights: np.ndarray
         odds = np.exp(z, out=z)
         whole = 1 + odds
         cost += np.bincount(at, np.log(whole), cells)
-        if b < coded.cuts[-1]:
+        if learns:
             error = np.divide(odds, whole, out=whole)
             error *= sign
             seen += np.bincount(at, minlength=cells)
