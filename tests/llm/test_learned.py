@@ -366,3 +366,10 @@ def test_a_worker_of_the_language_model_needs_little_memory(monkeypatch):
             tracemalloc.stop()
             pa.set_memory_pool(usual)
     assert peaks["trained"] < 150 and peaks["scored"] < 80, peaks
+
+
+def test_gathered_values_equal_those_at_their_places():
+    values = np.random.default_rng(2).random((1000, 2)).astype(np.float32)
+    at = np.random.default_rng(3).integers(0, 1000, 5000)
+    assert (lm_mix.gathered(values.view(np.float64).ravel(), at).view(np.float32).reshape(-1, 2) == values[at]).all()
+    assert not len(lm_mix.gathered(values.ravel(), np.array([], dtype=np.int64)))

@@ -279,6 +279,11 @@ def slots_of(started: np.ndarray, mixed: np.ndarray, table_bits: int) -> np.ndar
     return started.view(np.int64)
 
 
+def gathered(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at], in less than half the time; every place must be one of values."""
+    return values.take(at, mode="wrap")
+
+
 class Coded:
     """The bits of some documents, with the slots of their contexts."""
 
@@ -300,7 +305,7 @@ class Coded:
         stops = np.cumsum(self.length)
         at = np.repeat(tree.start[ordered] - (stops - self.length), self.length)
         at += np.arange(len(at))
-        self.steps = tree.steps.take(at)
+        self.steps = gathered(tree.steps, at)
         self.node, self.bit = (self.steps >> STEP_BITS).astype(np.int64), (self.steps & 1).astype(np.int8)
         self.ordered = doc[order]
         turn = turn[order]
@@ -317,9 +322,9 @@ class Coded:
     def inputs(self, tree: Tree, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """[INPUTS, bit] predictions as log odds, and each bit's gate in its document."""
         x = np.empty((INPUTS, len(self.node)), dtype=np.float32)
-        start = tree.shrunk.view(np.float64).ravel().take(self.node).view(np.float32).reshape(-1, 2)
+        start = gathered(tree.shrunk.view(np.float64).ravel(), self.node).view(np.float32).reshape(-1, 2)
         for j, table in enumerate(tables):
-            counts = table.view(np.float64).reshape(-1).take(self.slots[j]).view(np.float32).reshape(-1, 2)
+            counts = gathered(table.view(np.float64).reshape(-1), self.slots[j]).view(np.float32).reshape(-1, 2)
             both = counts + start
             np.divide(both[:, 1], both[:, 0], out=x[j])
         np.log(x, out=x)
@@ -366,7 +371,7 @@ def _trained(batches: Iterator[pa.RecordBatch], tree, table_bits: int) -> Iterat
                     keys, ns, at = key[own], n[own], tree.start[leaf[own]]
                     other = np.concatenate([[True], keys[1:] != keys[:-1]])
                     for depth in range(long):
-                        step = tree.steps.take(at + depth)
+                        step = gathered(tree.steps, at + depth)
                         new = other.copy()
                         new[1:] |= step[1:] != step[:-1]
                         first = np.flatnonzero(new)
@@ -454,9 +459,9 @@ def code(coded: Coded, tree: Tree, tables: list[np.ndarray], weights: np.ndarray
     signs = (1 - 2 * coded.bit).astype(np.float32)
     for (a, b), learns in zip(itertools.pairwise(coded.cuts), coded.learns, strict=True):
         at, sign = cell[a:b], signs[a:b]
-        z = own[0].take(at) * x[0, a:b]
+        z = gathered(own[0], at) * x[0, a:b]
         for i in range(1, INPUTS):
-            z += own[i].take(at) * x[i, a:b]
+            z += gathered(own[i], at) * x[i, a:b]
         z *= sign  # log odds against the bit that comes
         np.clip(z, -15, 15, out=z)
         odds = np.exp(z, out=z)
