@@ -430,3 +430,21 @@ def test_alerts_meet_their_details_without_pairs(spark, tmp_path):
     listed = {r["id"]: [s["report_id"] for s in r["spoken"]] for r in linking.link_details(alerts, details).collect()}
     ends = {r["id"]: (r["n"], r["newest"], r["oldest"]) for r in linking.detail_ends(alerts, details).collect() if r["id"] != 9}
     assert ends == {i: (len(s), s[0] if s else None, s[-1] if s else None) for i, s in listed.items() if i != 9}
+
+
+def test_alert_details_of_one_time_give_the_least_id_to_both_ends(spark, tmp_path):
+    """The SQL leaves open which of them it takes, so counts and times are held against it and the ids against the rule."""
+    import duckdb
+    from wavetally.plans import catalog
+
+    start = datetime(2024, 1, 1)
+    once = [(3, start, "error"), (14, start + timedelta(hours=3), "error"), (15, start + timedelta(hours=9), "error")]
+    once += [(20 + i, start + timedelta(minutes=10 * i, microseconds=i), "purchase") for i in range(20)]
+    rows = [(i + 1200 * copy, at, kind) for copy in (2, 0, 3, 1) for i, at, kind in once]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    found = sorted(tuple(r) for r in catalog.QUERIES["alert_detail_link"](spark, str(tmp_path)).collect())
+    assert found[:3] == [(3, 12, 22, 20), (14, 8, 39, 38), (15, 0, None, None)] and [r[1:] for r in found] == [r[1:] for r in found[:3]] * 4
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    at = lambda i: i if i is None else i % 1200
+    assert found == sorted((i, n, at(newest), at(oldest)) for i, n, newest, oldest in con.execute(catalog.ORACLES["alert_detail_link"]).fetchall())
